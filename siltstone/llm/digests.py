@@ -64,7 +64,7 @@ def cluster(keys: pd.DataFrame, mean: np.ndarray, weight: np.ndarray, delta: int
 
 
 def quantiles(means: np.ndarray, weights: np.ndarray, code: np.ndarray, low: np.ndarray, high: np.ndarray, qs: list[float]) -> np.ndarray:
-    """Estimates, one row per group: interpolated between the middles of neighbouring clusters."""
+    """Estimates, one row per group: exact where a cluster is one value, else interpolated between clusters."""
     starts = np.flatnonzero(np.diff(code, prepend=-1))
     sizes = np.diff(np.append(starts, len(code)))
     totals = np.add.reduceat(weights, starts)
@@ -81,7 +81,11 @@ def quantiles(means: np.ndarray, weights: np.ndarray, code: np.ndarray, low: np.
         x0, y0 = np.where(no_left, 0.0, middle[left]), np.where(no_left, low, means[left])
         x1, y1 = np.where(no_right, 1.0, middle[right]), np.where(no_right, high, means[right])
         share = np.divide(q - x0, x1 - x0, out=np.zeros(len(starts)), where=x1 > x0)
-        out[:, j] = y0 + np.clip(share, 0, 1) * (y1 - y0)
+        between = y0 + np.clip(share, 0, 1) * (y1 - y0)
+        # The cluster that holds rank ceil(q n): a single value is the exact percentile.
+        rank = np.clip(np.ceil(q * totals), 1, totals)
+        holder = np.searchsorted(upto, rank + (upto[starts] - weights[starts]))
+        out[:, j] = np.where(weights[holder] == 1, means[holder], between)
     return out
 
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import queries as numbers
+from siltstone.llm import text_queries
 
-MODULES = [numbers]
+MODULES = [numbers, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
