@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leaks, packing
+from siltstone.llm import leaks, mojibake, packing
 from siltstone.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -41,5 +41,17 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.where(f"run >= {leaks.WINDOW}").select("doc_id", "item_id")
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks}
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Every garbled document with its text restored as far as it can be; ``lost`` tells that some is gone."""
+    return mojibake.find_garbled(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_restored(spark, sf).select("doc_id").distinct()
+
+
+QUERIES = {
+    "p10_found": p10_found, "p10_restored": p10_restored,
+   "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks,
+}
 ORACLES: dict[str, str] = {}
