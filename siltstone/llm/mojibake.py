@@ -229,9 +229,9 @@ class Mender:
             if c != mended[i]:
                 odd |= mended[i].isalpha() and _odd(was[i], c, was[i + 2]) and not _odd(now[i], mended[i], now[i + 2])
                 odd |= mended[i] == "’" and c.isalpha() and bool(ELIDED.search(now[: i + 1].rpartition(" ")[2] + now[i + 1 :]))
-        return gain, odd
+        return gain + 2 * odd, odd
 
-    def _mend_words(self, text: str, hits: list[tuple[int, int, set[int]]]) -> list[tuple[int, int, str, float]]:
+    def _mend_words(self, text: str, pairs: set[int]) -> list[tuple[int, int, str, float]]:
         """The words that one pair of encodings explains, for the pair that explains most.
 
         A pair needs a word whose present spelling can't be an author's, or else two different words and most
@@ -240,7 +240,7 @@ class Mender:
         words = [(m.start(), m.end()) for m in WORD.finditer(text)]
         best: list[tuple[int, int, str, float]] = []
         most = 0.0
-        for p in sorted({p for _, _, ps in hits for p in ps}):
+        for p in sorted(pairs):
             table, spans, odd, changed = _map(*PAIRS[p]), [], False, 0
             for a, b in words:
                 word = text[a:b]
@@ -270,10 +270,11 @@ class Mender:
                 if kind == "u":
                     us.append((end, value))
                 else:
-                    ps.append((end - 2, end + 1, value))
+                    ps.append((end, value))
             spans = self._mend_sequences(now, us) if us else []
-            if not spans and ps:
-                spans = self._mend_words(now, ps)
+            if not spans:
+                # A spelling that can't be an author's is looked into even where the corpus is too small to tell.
+                spans = self._mend_words(now, {p for _, pairs in ps for p in pairs} if not any(_odd(*t) for t in triples(now)) else set(range(len(PAIRS))))
             if not spans:
                 break
             garbled, parts, at = True, [], 0
