@@ -34,7 +34,7 @@ def _split(c: Compiler, args: Args, numbers: int) -> tuple[list[Column], list[fl
     terms = [str(v).lower() for v in literals[numbers:]]
     if len(terms) < 2:
         raise QueryError("at least two terms are needed")
-    texts = [F.array_join(F.transform(F.col(f.column), lambda x, f=f: f.raw(x)), " ") if f.multi else f.raw(F.col(f.column)) for f in fields]
+    texts = [F.array_join(F.transform(F.col(f.column), lambda x: f.raw(x)), " ") if f.multi else f.raw(F.col(f.column)) for f in fields]
     return texts, [float(v) for v in literals[:numbers]], terms  # type: ignore[arg-type]
 
 

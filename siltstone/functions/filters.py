@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.dates import column_millis, following, granularity, millis, parse_date
+from siltstone.lang.dates import column_millis, following, granularity, millis, parse_date
 from siltstone.lang.ast import Ident, Lit, Node
 from siltstone.lang.jexl import QueryError
 from siltstone.plans.catalog import DATE, Field
@@ -47,7 +47,7 @@ def occurrence(c: Compiler, args: Args) -> Column:
 def at_least_count_of(c: Compiler, args: Args) -> Column:
     """At least n of the patterns hit; a pattern gives one hit at most, and equal hits count once."""
     n, values = int(c.text(args[0])), c.array(args[1])
-    hits = [F.get(F.filter(values.column, lambda x, p=p: truth(full_match(x["raw"], c.text(p)))), F.lit(0)) for p in args[2:]]
+    hits = [F.get(F.filter(values.column, lambda x: truth(full_match(x["raw"], c.text(p)))), F.lit(0)) for p in args[2:]]
     return F.size(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))) >= n
 
 
@@ -102,7 +102,7 @@ def between_dates(c: Compiler, args: Args) -> Column:
 
 
 def _extreme(c: Compiler, node: Node, most: bool) -> Column:
-    times = [F.transform(F.filter(f.column, lambda x, f=f: f.value(x).isNotNull()), lambda x, f=f: _time(f, x)) if f.multi else F.array(_time(f, F.col(f.column))) for f in c.values(node).fields]
+    times = [F.transform(F.filter(f.column, lambda x: f.value(x).isNotNull()), lambda x: _time(f, x)) if f.multi else F.array(_time(f, F.col(f.column))) for f in c.values(node).fields]
     pick = F.array_max if most else F.array_min
     return pick(F.array(*[pick(t) for t in times])) if times else F.lit(None).cast("bigint")
 

@@ -50,12 +50,12 @@ def _linked(c: Compiler, args: Args, left: bool) -> ValueArray:
             near = lambda x, y: left_of(y["ctx"], pos) == left_of(x["ctx"], pos)
         else:
             near = lambda x, y: F.substring_index(y["ctx"], ".", -1) == right_of(x["ctx"], pos)
-        hit = lambda y, regex=regex: truth(full_match(y["raw"], regex))
+        hit = lambda y: truth(full_match(y["raw"], regex))
         near_hit = lambda x, y, near=near, hit=hit: truth(near(x, y)) & hit(y)
         # From the left, a match counts as soon as a linked value exists, whatever that value says.
         seen = near if left else near_hit
-        matches.append(F.filter(first.column, lambda x, o=other, seen=seen: F.exists(o.column, lambda y: truth(seen(x, y)))))
-        matches.append(F.filter(other.column, lambda y, near_hit=near_hit: F.exists(first.column, lambda x: near_hit(x, y))))
+        matches.append(F.filter(first.column, lambda x: F.exists(other.column, lambda y: truth(seen(x, y)))))
+        matches.append(F.filter(other.column, lambda y: F.exists(first.column, lambda x: near_hit(x, y))))
     texts = [F.transform(m, lambda x: F.struct(x["field"], x["raw"], x["norm"].cast("string").alias("norm"), x["ctx"])) for m in matches]
     every = F.array_distinct(F.flatten(F.array(*texts)))
     return ValueArray(F.when(F.size(every) >= len(pairs), every).otherwise(F.filter(every, lambda _: F.lit(False))))

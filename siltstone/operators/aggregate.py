@@ -28,7 +28,7 @@ def unique_keys(catalog: Catalog, fields: dict[str, list[str]]) -> list[Column]:
     for name, grains in fields.items():
         parts = []
         for f in catalog.lookup(name):
-            cut = lambda x, f=f: F.concat_ws("/", *[at_granularity(f, f.value(x), g) for g in grains])
+            cut = lambda x: F.concat_ws("/", *[at_granularity(f, f.value(x), g) for g in grains])
             if f.multi:
                 parts.append(F.when(F.size(f.column) > 0, F.array_sort(F.transform(f.column, cut)).cast("string")))
             else:

@@ -49,7 +49,7 @@ def reverse_discover(index: DataFrame, suffix: str, field: str | None = None) ->
 
 def facets(df: DataFrame, fields: dict[str, str], day: str | None = None, least: int = 1, most: int | None = None) -> DataFrame:
     """field, value[, day], count over documents; lists count each value. One pass explodes all fields at once."""
-    pairs = [F.transform(F.array_distinct(_as_array(df, c)), lambda v, n=n: F.struct(F.lit(n).alias("field"), v.alias("value"))) for n, c in fields.items()]
+    pairs = [F.transform(F.array_distinct(_as_array(df, c)), lambda v: F.struct(F.lit(n).alias("field"), v.alias("value"))) for n, c in fields.items()]
     rows = df.select(F.explode(F.flatten(F.filter(F.array(*pairs), lambda p: p.isNotNull()))).alias("p"), *([day] if day else []))
     out = rows.where("p.value is not null").groupBy("p.field", "p.value", *([day] if day else [])).agg(F.count("*").alias("count")).where(F.col("count") >= least)
     return out if most is None else out.orderBy(F.desc("count"), "field", "value").limit(most)

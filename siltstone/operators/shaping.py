@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from siltstone.lang.ast import And, Call, Cmp, Ident, Lit, Marker, Node, Or
 from siltstone.lang.jexl import QueryError
 from siltstone.plans.catalog import Catalog
 from siltstone.plans.compiler import OPS, Values, full_match, truth
+from siltstone.storage import stage
 
 
 def project(df: DataFrame, catalog: Catalog, include: list[str] | None = None, exclude: list[str] | None = None, keep: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
@@ -43,8 +45,8 @@ def limit_fields(df: DataFrame, catalog: Catalog, limits: dict[str, int], hits:
             if not f.multi:
                 continue
             values = F.col(f.column)
-            hit = (lambda x, f=f: truth(hits(f.name, f.raw(x)))) if hits else (lambda x: F.lit(False))
-            first = F.concat(F.filter(values, hit), F.filter(values, lambda x, hit=hit: ~hit(x)))
+            hit = (lambda x: truth(hits(f.name, f.raw(x)))) if hits else (lambda x: F.lit(False))
+            first = F.concat(F.filter(values, hit), F.filter(values, lambda x: ~hit(x)))
             n_hits = F.size(F.filter(values, hit))
             room = n_hits if n <= 0 else F.greatest(F.lit(n), n_hits)
             new[f.column] = F.when(values.isNotNull(), F.slice(first, F.lit(1), room))
@@ -90,26 +92,59 @@ def mask(df: DataFrame, column: str, masked: str, visible: Column) -> DataFrame:
     return df.withColumn(column, F.when(truth(visible), F.col(column)).otherwise(F.col(masked))).drop(masked)
 
 
+def satisfied(expression: str | None, auths: frozenset[str]) -> bool:
+    """Whether labels joined by &, | and parentheses hold for a caller; no expression is public, a broken one hidden."""
+    if not expression or not expression.strip():
+        return True
+    tokens = re.findall(r'"[^"]*"|[\w.:/-]+|[&|()]|\S', expression)
+    at = 0
+
+    def either() -> bool:
+        nonlocal at
+        out = both()
+        while at < len(tokens) and tokens[at] == "|":
+            at += 1
+            out = both() or out
+        return out
+
+    def both() -> bool:
+        nonlocal at
+        out = one()
+        while at < len(tokens) and tokens[at] == "&":
+            at += 1
+            out = one() and out
+        return out
+
+    def one() -> bool:
+        nonlocal at
+        t = tokens[at]
+        at += 1
+        if t == "(":
+            out = either()
+            if tokens[at] != ")":
+                raise IndexError
+            at += 1
+            return out
+        if not re.match(r'["\w.:/-]', t):
+            raise IndexError
+        return t.strip('"') in auths
+
+    try:
+        return either() and at == len(tokens)
+    except IndexError:
+        return False
+
+
 def visible(expression: Column, auths: set[str]) -> Column:
-    """Whether a visibility expression of labels, &, | and parentheses holds for a caller; none at all is public.
+    """Whether a visibility expression holds for a caller. A plain label or none at all is decided without Python."""
+    have = frozenset(auths)
 
-    Every distinct expression is decided by rewriting: labels become 1 or 0, and innermost groups collapse.
-    """
-    have = "|".join(sorted(map(re.escape, auths), key=len, reverse=True))
-    bits = F.regexp_replace(expression, r"[\s\"]", "")
-    if have:
-        bits = F.regexp_replace(bits, rf"(?<![\w.:/-])(?:{have})(?![\w.:/-])", "\u0001")
-    bits = F.regexp_replace(bits, r"[\w.:/-]+", "0")
-    bits = F.regexp_replace(bits, "\u0001", "1")
-    for _ in range(4):  # nesting depth
-        bits = F.regexp_replace(bits, r"\((\d)\)", "$1")
-        for _ in range(3):
-            bits = F.regexp_replace(bits, r"(?<![\d])1(&1)+(?!\d)", "1")
-            bits = F.regexp_replace(bits, r"(?:0&[01]|1&0)(?:&[01])*", "0")
-        bits = F.regexp_replace(bits, r"(?<=^|\()[01](?:\|[01])*\|?(?=\)|$)", "$0")
-        bits = F.regexp_replace(bits, r"(?<=^|\()(?:[01]\|)*1(?:\|[01])*(?=\)|$)", "1")
-        bits = F.regexp_replace(bits, r"(?<=^|\()0(?:\|0)+(?=\)|$)", "0")
-    return expression.isNull() | (expression == "") | (bits == "1")
+    @F.pandas_udf("boolean")
+    def decide(values: pd.Series) -> pd.Series:
+        return values.map({v: satisfied(v, have) for v in values.unique()}).astype(bool)
+
+    plain = expression.isNull() | expression.rlike(r"^[\w.:/-]*$")
+    return F.when(plain, expression.isNull() | (expression == "") | expression.isin(*sorted(have))).otherwise(decide(F.when(~plain, expression)))
 
 
 def record_id(shard: Column, datatype: Column, uid: Column) -> Column:
@@ -120,8 +155,6 @@ def pages(df: DataFrame, order: list[str | Column], size: int) -> DataFrame:
     """Adds ``page``, from 1. The numbers come from a range sort and per-partition counts, not from one task."""
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
-    from siltstone.storage import stage
-
     ordered = stage(ordered, "pages")
     counts = ordered.groupBy("_p").count()
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")  # one row per partition

@@ -32,7 +32,7 @@ def ngrams(chunks: Column, n: int = NGRAM) -> Column:
 def edit_score(a: Column, b: Column, size: Column) -> Column:
     """0 to 100: 100 less the edit distance as a share of both lengths; small chunks can't score high."""
     long = F.length(a) + F.length(b)
-    scaled = F.expr("0") + F.floor(F.levenshtein(a, b) * 64 / long)
+    scaled = F.floor(F.levenshtein(a, b) * 64 / long)
     score = 100 - F.floor(scaled * 100 / 64)
     cap = F.floor(size / 3) * F.least(F.length(a), F.length(b))
     return F.when(long == 0, 0).otherwise(F.greatest(F.lit(0), F.least(score, cap))).cast("int")

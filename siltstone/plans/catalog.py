@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.dates import column_millis, millis, parse_date
+from siltstone.lang.dates import column_millis, millis, parse_date
 from siltstone.lang.jexl import QueryError
 
 TEXT, EXACT, NUMBER, DATE, IP = "text", "exact", "number", "date", "ip"

@@ -45,7 +45,7 @@ class Values:
             if f.multi:
                 if test(f, F.col(f.column)[0]) is None:
                     continue
-                one = F.exists(F.col(f.column), lambda x, f=f: truth(test(f, x)))  # type: ignore[arg-type]
+                one = F.exists(F.col(f.column), lambda x: truth(test(f, x)))  # type: ignore[arg-type]
             else:
                 one = test(f, F.col(f.column))  # type: ignore[assignment]
                 if one is None:
@@ -74,7 +74,7 @@ class Values:
         parts = []
         for f in self.fields:
             if f.multi:
-                parts.append(F.transform(F.filter(f.column, lambda x, f=f: f.value(x).isNotNull()), lambda x, f=f: element(f, x)))
+                parts.append(F.transform(F.filter(f.column, lambda x: f.value(x).isNotNull()), lambda x: element(f, x)))
             else:
                 parts.append(F.filter(F.array(element(f, F.col(f.column))), lambda x: x["raw"].isNotNull()))
         empty = F.array().cast("array<struct<field:string,raw:string,norm:string,ctx:string>>")

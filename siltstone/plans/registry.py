@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import core_problems
+from siltstone.plans import core_problems, query_predicates
 
-MODULES = [core_problems]
+MODULES = [core_problems, query_predicates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

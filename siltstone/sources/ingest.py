@@ -124,6 +124,6 @@ def event_fields(df: DataFrame, catalog_columns: list[str], keys: list[str]) ->
     pairs = []
     for c in catalog_columns:
         values = F.col(c).cast("array<string>") if df.schema[c].dataType.typeName() == "array" else F.array(F.col(c).cast("string"))
-        pairs.append(F.transform(values, lambda v, c=c: F.struct(F.lit(c.upper()).alias("field"), v.alias("value"))))
+        pairs.append(F.transform(values, lambda v: F.struct(F.lit(c.upper()).alias("field"), v.alias("value"))))
     rows = df.select(*keys, F.explode(F.flatten(F.filter(F.array(*pairs), lambda p: p.isNotNull()))).alias("p"))
     return rows.select(*keys, "p.field", "p.value").where("value is not null")
