@@ -88,7 +88,8 @@ def atom_values_match(c: Compiler, args: Args) -> ValueArray:
     out = c.array(args[0])
     for node in args[1:]:
         other = c.array(node)
-        same = lambda x, y: (F.substring_index(x["ctx"], ".", -1) == F.substring_index(y["ctx"], ".", -1)) & (x["norm"].cast("string") == y["norm"].cast("string"))
+        text = (lambda n: n) if out.type == other.type else (lambda n: n.cast("string"))
+        same = lambda x, y, text=text: (F.substring_index(x["ctx"], ".", -1) == F.substring_index(y["ctx"], ".", -1)) & (text(x["norm"]) == text(y["norm"]))
         out = out.keep(lambda x, o=other: F.exists(o.column, lambda y: truth(same(x, y))))
     return out
 
