@@ -39,8 +39,8 @@ def build(df: DataFrame, catalog: Catalog, definitions: list[EdgeDefinition], at
     for d in definitions:
         rows = df if d.precondition is None else df.where(Compiler(catalog).filter(parse(d.precondition)))
         act = F.date_format(activity or at, "yyyyMMdd")
-        pairs = rows.select(F.explode(_values(df, catalog.fields[d.source].column)).cast("string").alias("source"), catalog.fields[d.sink].column, F.date_format(at, "yyyyMMdd").alias("date"), F.hour(at).alias("hour"), act.alias("activity_date"))
-        pairs = pairs.withColumn("sink", F.explode(_values(df, catalog.fields[d.sink].column)).cast("string"))
+        pairs = rows.select(F.explode(_values(df, catalog.fields[d.source].column).cast("array<string>")).alias("source"), catalog.fields[d.sink].column, F.date_format(at, "yyyyMMdd").alias("date"), F.hour(at).alias("hour"), act.alias("activity_date"))
+        pairs = pairs.withColumn("sink", F.explode(_values(df, catalog.fields[d.sink].column).cast("array<string>")))
         edges = pairs.where("source is not null and sink is not null").select(
             "source", "sink", F.lit(d.type).alias("type"), F.lit(f"{d.source_relation}-{d.sink_relation}").alias("relation"),
             F.lit(f"{d.source_collection}-{d.sink_collection}" if d.source_collection or d.sink_collection else "").alias("attribute1"), "date", "hour", "activity_date",

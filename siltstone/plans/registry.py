@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import core_problems, query_documents, query_predicates
+from siltstone.plans import core_problems, query_documents, query_graph, query_predicates
 
-MODULES = [core_problems, query_predicates, query_documents]
+MODULES = [core_problems, query_predicates, query_documents, query_graph]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,3 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """A grouped event query over line items."""
+    return query_documents.QUERIES["group_by_sum"](spark, folder)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,18 +36,14 @@ def flatten_json(df: DataFrame, column: str, mode: str = "NORMAL", delimiter: st
     GROUPED by their own name followed by the path with the number of each occurrence, GROUPED_AND_NORMAL by
     both. Text that isn't a JSON object gives null.
     """
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf("array<struct<name:string,value:string>>")
     def flat(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _flatten_text(t, mode.upper(), delimiter, occurrence, json))
+        return texts.map(lambda t: _flatten_text(t, mode.upper(), delimiter, occurrence))
 
     return df.withColumn("fields", flat(F.col(column)))
 
 
-def _flatten_text(text: str | None, mode: str, delimiter: str, occurrence: str, json) -> list | None:  # noqa: ANN001
+def _flatten_text(text: str | None, mode: str, delimiter: str, occurrence: str) -> list | None:
     try:
         root = json.loads(text) if text else None
     except ValueError:
@@ -89,8 +89,6 @@ def simple_fields(df: DataFrame, column: str) -> Column:
 def read_between(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """Records of text between a start and an end token, tokens included."""
     text = spark.read.text(path, wholetext=True)
-    import re
-
     pattern = f"(?s)({re.escape(start)}.*?{re.escape(end)})"
     return text.select(F.explode(F.regexp_extract_all("value", F.lit(pattern), 1)).alias("record"))
 
