@@ -7,7 +7,9 @@ setting (tests) gets a temporary folder.
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -26,12 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _LOCAL:
-        _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        folder = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, folder, True)
+        _LOCAL[sc.applicationId] = f"file://{folder}"
     return _LOCAL[sc.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has staged. Results that still read it must have been made before."""
+    delete(spark, f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
