@@ -187,7 +187,8 @@ def containers(items: DataFrame, capacity: int = CAPACITY, block_items: int = BL
             }
         )
 
-    packed = numbered.where("n_tokens > 0").groupBy("block").applyInPandas(run, f"container long, doc_id {kind}, piece int, first_token long, n_tokens long")
+    # A number of partitions of its own: by bytes, which are few, whole runs of blocks would share a task.
+    packed = numbered.where("n_tokens > 0").repartition(blocks, "block").groupBy("block").applyInPandas(run, f"container long, doc_id {kind}, piece int, first_token long, n_tokens long")
     empty = items.where("n_tokens = 0").select(F.lit(None).cast("long").alias("container"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens")
     return packed.unionByName(empty)
 
