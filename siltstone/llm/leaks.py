@@ -127,7 +127,9 @@ def seeds(items: dict[int, list[str]], frequency: dict[int, int]) -> dict[int, s
         grams = gram_hashes(ws, known).view(np.int64).tolist()
         width = WINDOW - N + 1
         windows = [grams[i : i + width] for i in range(max(1, len(grams) - width + 1))] if grams else []
-        out[item] = {min(w, key=lambda g: (frequency.get(g, 0), g)) for w in windows}
+        # A window with an n-gram that occurs nowhere is nowhere whole; its others still lead to edited copies.
+        present = [[g for g in w if g in frequency] for w in windows]
+        out[item] = {min(w, key=lambda g: (frequency[g], g)) for w in present if w}
     return out
 
 
