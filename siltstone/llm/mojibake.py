@@ -179,7 +179,9 @@ class Mender:
         s = f"{before}{seq}{after}"
         was = min(self.usage.of(_near(s[i]), s[i + 1], _near(s[i + 2]), 1) for i in range(len(seq)) if ord(s[i + 1]) > 127)
         gain = self.usage.of(_near(left), char, _near(right)) - was
-        if char in "“”„":
+        if _mixed(left + char) or _mixed(char + right):
+            gain -= 8
+        elif char in "“”„":
             gain += 2
         elif char.isalpha():
             gain += 4 if left.isalpha() or right.isalpha() else 0
@@ -210,7 +212,10 @@ class Mender:
         best: list[tuple[int, int, str, float]] = []
         most = 0.0
         for r in sorted(readings):
-            spans = [x for x in self._spans(text, hits, r) if x[3] >= LEAST]
+            spans = self._spans(text, hits, r)
+            # Where a reading explains one place for sure, little is needed for the next.
+            sure = any(x[3] >= LEAST for x in spans)
+            spans = [x for x in spans if x[3] >= (1 if sure else LEAST)]
             total = sum(x[3] * (x[1] - x[0]) for x in spans)
             if total > most:
                 best, most = spans, total
