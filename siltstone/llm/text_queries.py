@@ -31,9 +31,12 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that contain a passage of an item, whole, in part or edited: half the item's score or a run of 12 words."""
+    """Documents that contain a passage of an item, whole, in part or edited.
+
+    Either 12 consecutive words, or an alignment worth 12 matches and half of the whole item.
+    """
     pairs = leaks.find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item").select("item_id", "text"))
-    return pairs.where(f"share >= 0.5 or run >= {leaks.WINDOW}")
+    return pairs.where(f"(share >= 0.5 and score >= {leaks.MATCH * leaks.WINDOW}) or run >= {leaks.WINDOW}")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
