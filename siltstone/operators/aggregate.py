@@ -83,7 +83,12 @@ def _linked(values: Column, chosen: Column) -> Column:
 
 
 def _aggregate(op: str, c: Column) -> Column:
-    return {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "average": F.avg}[op](c)
+    return {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "average": lambda x: ten_digits(F.avg(x))}[op](c)
+
+
+def ten_digits(c: Column) -> Column:
+    """Rounded to ten significant digits, half up: averages are kept no finer."""
+    return F.format_string("%.9e", c).try_cast("double")
 
 
 def _array_aggregate(op: str, a: Column) -> Column:
@@ -91,7 +96,7 @@ def _array_aggregate(op: str, a: Column) -> Column:
     if op == "sum":
         return F.sum(total)
     if op == "average":
-        return F.sum(total) / F.sum(F.size(a))
+        return ten_digits(F.try_divide(F.sum(total), F.sum(F.size(a))))
     return {"min": F.min(F.array_min(a)), "max": F.max(F.array_max(a)), "count": F.sum(F.size(a))}[op]
 
 
@@ -107,6 +112,14 @@ def index_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("total"), F.count_distinct(value).alias("distinct"))
 
 
+def facet_estimates(df: DataFrame, by: list[str], identifier: str, least: int = 1, most: int | None = None) -> DataFrame:
+    """Estimated distinct documents per facet from sketches, with the bounds of two standard errors."""
+    error = 1.04 / 2**6  # sketches of 4096 buckets
+    out = df.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_sketch_agg(identifier, 12)).alias("estimate")).where(F.col("estimate") >= least)
+    out = out.withColumns({"lower": F.floor(F.col("estimate") * (1 - 2 * error)), "upper": F.ceil(F.col("estimate") * (1 + 2 * error))})
+    return out if most is None else out.orderBy(F.desc("estimate"), *by).limit(most)
+
+
 def uid_lists(df: DataFrame, by: list[str], uid: str, most: int = 20) -> DataFrame:
     """UIDs per key while there are at most ``most``, else their number alone. No list grows beyond most + 1."""
     each = df.select(*by, uid).distinct()

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.lang.jexl import parse
 from siltstone.plans.catalog import TEXT, Catalog, Field
-from siltstone.plans.compiler import Compiler
+from siltstone.plans.compiler import Compiler, full_match
 
 KEYS = ["source", "sink", "type", "relation", "attribute1", "date"]
 
@@ -86,6 +87,14 @@ def query(edges: DataFrame, text: str, dates: tuple[str, str] | None = None, dat
     return out if dates is None else out.where(F.col(date_column).between(*dates))
 
 
+def extended_query(edges: DataFrame, sources: list[str], sinks: list[str] = (), dates: tuple[str, str] | None = None) -> DataFrame:  # type: ignore[assignment]
+    """Edges from any of a list of sources, in any case, to sinks that match one of the expressions."""
+    out = edges.where(F.lower("source").isin(*[s.lower() for s in sources]))
+    if sinks:
+        out = out.where(reduce(lambda a, b: a | b, [full_match(F.col("sink"), s) for s in sinks]))
+    return out if dates is None else out.where(F.col("date").between(*dates))
+
+
 def to_documents(edges: DataFrame, docs: DataFrame, source: str, sink: str) -> DataFrame:
     """Documents that hold both ends of one of the edges; the edges are first reduced to their ends."""
     ends = edges.select("source", "sink").distinct()

@@ -43,3 +43,11 @@ def modify(df: DataFrame, key: str, changes: DataFrame, column: str) -> DataFram
         .otherwise(F.col(column))
     )
     return j.withColumn(column, new).drop("_key", "action", "old", "new")
+
+
+def history(before: DataFrame, after: DataFrame, key: str, column: str, at: str) -> DataFrame:
+    """key, removed, added, at of every key whose values a modification changed."""
+    b = before.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))).alias("_old"))
+    a = after.groupBy(F.col(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))).alias("_new"))
+    both = a.join(b, F.col(key) == F.col("_key"))
+    return both.where(~F.col("_old").eqNullSafe(F.col("_new"))).select(key, F.array_except("_old", "_new").alias("removed"), F.array_except("_new", "_old").alias("added"), F.lit(at).alias("at"))

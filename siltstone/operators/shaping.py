@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from siltstone.lang.ast import And, Call, Cmp, Ident, Lit, Marker, Node, Or
 from siltstone.lang.jexl import QueryError
+from siltstone.operators.results import ROW, number_rows
 from siltstone.plans.catalog import Catalog
 from siltstone.plans.compiler import OPS, Values, full_match, truth
-from siltstone.storage import stage
 
 
 def project(df: DataFrame, catalog: Catalog, include: list[str] | None = None, exclude: list[str] | None = None, keep: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
@@ -151,15 +151,38 @@ def record_id(shard: Column, datatype: Column, uid: Column) -> Column:
     return F.concat_ws("/", shard, datatype, uid)
 
 
-def pages(df: DataFrame, order: list[str | Column], size: int) -> DataFrame:
+def pages(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """Adds ``page``, from 1. The numbers come from a range sort and per-partition counts, not from one task."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
-    ordered = stage(ordered, "pages")
-    counts = ordered.groupBy("_p").count()
-    before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")  # one row per partition
-    base = F.shiftleft(F.col("_p").cast("bigint"), 33)
-    return ordered.join(F.broadcast(before), "_p").withColumn("page", ((F.col("_before") + F.col("_k") - base) / F.lit(size)).cast("bigint") + 1).drop("_p", "_k", "_before")
+    return number_rows(df, order).withColumn("page", F.expr(f"({ROW} - 1) div {int(size)} + 1")).drop(ROW)
+
+
+def matching_field_sets(df: DataFrame, catalog: Catalog, hits: dict[str, Callable[[Column], Column]], linked: list[str]) -> DataFrame:
+    """Values of the linked fields only in the groups in which all the hit fields hit; other fields stay."""
+    groups: Column | None = None
+    for name, hit in hits.items():
+        ctx = F.array_distinct(F.transform(F.filter(Values(catalog.lookup(name)).array().column, lambda x: truth(hit(x["raw"]))), lambda x: x["ctx"]))
+        groups = ctx if groups is None else F.array_intersect(groups, ctx)
+    new = {f.column: F.filter(f.column, lambda x: F.array_contains(groups, x["ctx"])) for n in linked for f in catalog.lookup(n) if f.context}
+    return df.withColumns(new)
+
+
+def drop_empty(df: DataFrame, catalog: Catalog, names: list[str] | None = None) -> DataFrame:
+    """Without documents that hold none of the fields."""
+    some = F.lit(False)
+    for n in names or list(catalog.fields):
+        some = some | Values(catalog.lookup(n)).present()
+    return df.where(some)
+
+
+def enrich(df: DataFrame, facts: DataFrame, on: list[str], most_rows: int = 1_000_000) -> DataFrame:
+    """Facts added to documents by key. The facts are broadcast only if their number has been checked."""
+    small = facts.limit(most_rows + 1).count() <= most_rows
+    return df.join(F.broadcast(facts) if small else facts, on, "left")
+
+
+def permute(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """A user's own transformations, one after the other."""
+    return reduce(lambda d, f: d.transform(f), steps, df)
 
 
 def virtual_field(df: DataFrame, name: str, parts: list[str], separator: str = "_", allow_missing: bool = False) -> DataFrame:

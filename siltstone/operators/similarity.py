@@ -55,3 +55,9 @@ def similar(queries: DataFrame, rows: DataFrame, query_hash: str, row_hash: str,
     """query, row, score of hashes that score at least ``least``."""
     scored = candidates(queries, rows, query_hash, row_hash).withColumn("score", edit_score(F.col("a"), F.col("b"), F.col("size")))
     return scored.groupBy("query", "row").agg(F.max("score").alias("score")).where(F.col("score") >= least)
+
+
+def similar_rows(queries: DataFrame, rows: DataFrame, query_hash: str, row_hash: str, least: int = 50) -> DataFrame:
+    """All columns of the rows whose hash is similar to one looked up, with that hash and the score."""
+    found = similar(queries, rows, query_hash, row_hash, least)
+    return rows.join(found.withColumnRenamed("row", row_hash), row_hash)

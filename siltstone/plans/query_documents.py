@@ -249,15 +249,9 @@ def page_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, trim(concat_ws(' ', nullif(regexp_extract(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', '^(?:.*? )??((?:[^ ]+ ){0,3})the reverse index ((?:[^ ]+ ){0,3})', 0), ''))) IS NOT NULL AS hit FROM documents
-WHERE contains(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' the reverse index ')""")
+SELECT doc_id, trim(regexp_extract(line, '((?:[^ ]+ ){0,3})the reverse index((?: [^ ]+){0,3})', 0)) AS HIT_EXCERPT FROM (
+  SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS line FROM documents) AS d WHERE contains(line, ' the reverse index ')""")
 def excerpt(spark: SparkSession, sf: str) -> DataFrame:
-    out = on(spark, sf, "documents").run("content:phrase(TEXT, termOffsetMap, 'the', 'reverse', 'index')", options=with_options(excerpt_fields="TEXT/3/both"))
-    return out.select("doc_id", F.contains("HIT_EXCERPT", F.lit("the reverse index")).alias("hit"))
-
-
-@query()
-def excerpt_text(spark: SparkSession, sf: str) -> DataFrame:
     out = on(spark, sf, "documents").run("content:phrase(TEXT, termOffsetMap, 'the', 'reverse', 'index')", options=with_options(excerpt_fields="TEXT/3/both"))
     return out.select("doc_id", "HIT_EXCERPT")
 
@@ -278,3 +272,31 @@ def content_lookup(spark: SparkSession, sf: str) -> DataFrame:
     from siltstone.operators.joins import lookup
 
     return lookup(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", [17, 42, 99])
+
+
+@query("""
+SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY n) AS flags FROM (
+  SELECT l_orderkey, l_returnflag, l_linestatus, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) AS n FROM lineitem) AS d
+WHERE l_linestatus = 'F' AND l_quantity > 40 GROUP BY l_orderkey""")
+def matching_field_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Flags only of the lines in which both other fields hit."""
+    q = order_documents(spark, sf)
+    out = shaping.matching_field_sets(q.docs, q.catalog, {"STATUS": lambda v: v == "F", "QTY": lambda v: v.cast("double") > 40}, ["FLAG"])
+    return out.where(F.size("flag") > 0).select("l_orderkey", F.array_join(F.transform("flag", lambda x: x["value"]), ",").alias("flags"))
+
+
+@query("SELECT uid, event_id, load_ts FROM city_event WHERE code IS NOT NULL OR coalesce(len(list_filter(state, lambda x: x IS NOT NULL)), 0) > 0")
+def drop_empty_documents(spark: SparkSession, sf: str) -> DataFrame:
+    q = on(spark, sf, "city_event")
+    return shaping.drop_empty(q.docs.select(*q.docs.columns), q.catalog, ["CODE", "STATE"]).select("uid", "event_id", "load_ts")
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def enrich_documents(spark: SparkSession, sf: str) -> DataFrame:
+    facts = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return shaping.enrich(table(spark, sf, "customer"), facts, ["c_nationkey"]).select("c_custkey", "n_name")
+
+
+@query()
+def facet_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    return aggregate.facet_estimates(table(spark, sf, "city_event"), ["continent"], "uid", least=2)

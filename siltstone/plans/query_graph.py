@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.lang import jexl
-from siltstone.operators import cachedsql, discovery, edges, joins, lifecycle, shaping, similarity
+from siltstone.lang import jexl, lucene
+from siltstone.functions.content import tokens
+from siltstone.operators import cachedsql, discovery, edges, indexsearch, joins, lifecycle, shaping, similarity
+from siltstone.operators.results import CachedResult
 from siltstone.plans.catalog import Catalog, pad_ipv4
 from siltstone.plans.query_documents import Run
 from siltstone.plans.query_predicates import on
@@ -426,3 +428,72 @@ def atom_feed(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").where("source is not null").select("source", "shard_id", "doc_id", "n_chars")
     part = rows.groupBy("source", F.pmod(F.hash("doc_id"), F.lit(64)).alias("salt")).agg(newest.alias("top"))
     return part.select(F.col("source"), F.inline("top")).groupBy("source").agg(newest.alias("top")).select(F.col("source").alias("category"), F.inline("top")).select("category", "doc_id", "n_chars")
+
+
+POSTINGS = "(SELECT shard_id, datatype, field_name, norm_value, unnest(uid_list) AS uid FROM term_index) AS p"
+
+
+def _holding(condition: str) -> str:
+    return f"SELECT DISTINCT shard_id, datatype, uid FROM {POSTINGS} WHERE uid IS NOT NULL AND {condition}"
+
+
+@query(f"{_holding("field_name = 'COUNTRY' AND norm_value = 'draldozimia'")} INTERSECT {_holding("field_name = 'ACCESS' AND norm_value = 'private'")}")
+def index_and(spark: SparkSession, sf: str) -> DataFrame:
+    return indexsearch.search(table(spark, sf, "term_index"), jexl.parse("COUNTRY == 'draldozimia' && ACCESS == 'private'"))
+
+
+@query(f"(({_holding("field_name = 'CITY' AND regexp_full_match(norm_value, 'be.*', 'is')")}) UNION ({_holding("norm_value = 'pabeia'")})) EXCEPT {_holding("field_name = 'ACCESS' AND norm_value = 'public'")}")
+def index_or_not(spark: SparkSession, sf: str) -> DataFrame:
+    return indexsearch.search(table(spark, sf, "term_index"), jexl.parse("(CITY =~ 'be.*' || _ANYFIELD_ == 'pabeia') && !(ACCESS == 'public')"))
+
+
+@query("SELECT doc_id, term, array_to_string(list(pos - 1 ORDER BY pos), ',') AS offsets FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents WHERE lang = 'pl') AS d) AS e GROUP BY doc_id, term")
+def term_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where("lang = 'pl'")
+    once = indexsearch.terms(docs, ["doc_id"], tokens(F.col("text")), "TEXT")
+    return indexsearch.merge_offsets(once.unionByName(once), ["doc_id"]).select("doc_id", "term", F.array_join(F.col("offsets").cast("array<string>"), ",").alias("offsets"))
+
+
+@query("SELECT strftime(load_ts, '%Y%m%d') AS date, array_to_string(list_sort(list(DISTINCT start_date)), ',') AS days FROM city_event WHERE strftime(load_ts, '%Y%m%d') BETWEEN '20150110' AND '20150115' AND start_date IS NOT NULL GROUP BY 1")
+def date_index(spark: SparkSession, sf: str) -> DataFrame:
+    index = indexsearch.date_index(table(spark, sf, "city_event"), "uid", {"LOADED": "load_ts"}, "start_date")
+    return indexsearch.days_of(index, "LOADED", "20150110", "20150115").select("date", F.array_join("days", ",").alias("days"))
+
+
+@query(f"SELECT source, sink, date FROM {EDGES_SQL} WHERE lower(source) IN ('nadel', 'gorwen') AND (regexp_full_match(sink, '.*land', 'is') OR regexp_full_match(sink, 'nor.*', 'is'))")
+def edge_extended_query(spark: SparkSession, sf: str) -> DataFrame:
+    return edges.extended_query(_edges(spark, sf), ["NADEL", "Gorwen"], [".*LAND", "nor.*"]).select("source", "sink", "date")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE lower(o_orderpriority) = '1-urgent' ORDER BY o_totalprice, o_orderkey LIMIT 50 OFFSET 100")
+def cached_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows 101 to 150 of a kept result."""
+    kept = CachedResult(spark).load(on(spark, sf, "orders").matching("O_ORDERPRIORITY == '1-URGENT'").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "urgent")
+    return kept.get_rows(101, 150)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey = 5 OR lower(c_name) = 'customer#000000007'")
+def uuid_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    q = on(spark, sf, "customer")
+    node = lucene.uuid_query("key:5 OR name:Customer#000000007", {"KEY": "C_CUSTKEY", "NAME": "C_NAME"})
+    return q.matching(str(node)).select("c_custkey")
+
+
+@query("""
+SELECT uid, array_to_string(['Nadel'], ',') AS removed, CASE WHEN bool_or(list_contains(city, 'Newtown')) THEN '' ELSE 'Newtown' END AS added FROM city_event
+WHERE uid IN (SELECT uid FROM city_event WHERE num >= 500) GROUP BY uid HAVING bool_or(coalesce(list_contains(city, 'Nadel'), false))""")
+def modify_history(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "city_event").select("uid", "city", "num")
+    changes = docs.where("num >= 500").select("uid").distinct().select("uid", F.lit("UPDATE").alias("action"), F.lit("Nadel").alias("old"), F.lit("Newtown").alias("new"))
+    log = lifecycle.history(docs, lifecycle.modify(docs, "uid", changes, "city"), "uid", "city", "2015-02-01")
+    return log.select("uid", F.array_join("removed", ",").alias("removed"), F.array_join("added", ",").alias("added"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, source, '96:' || md5(text) || ':' || substr(md5(text), 1, 16) AS hash FROM documents WHERE text IS NOT NULL)
+SELECT source, count(DISTINCT doc_id) AS n FROM h WHERE hash IN (SELECT hash FROM h WHERE doc_id % 100 = 0) GROUP BY source""")
+def ssdeep_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of the documents that are similar to those looked up."""
+    rows = _hashes(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    found = similarity.similar_rows(rows.where("doc_id % 100 = 0").select("hash"), rows, "hash", "hash", 95)
+    return found.groupBy("source").agg(F.count_distinct("doc_id").alias("n"))

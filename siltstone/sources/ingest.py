@@ -125,3 +125,11 @@ def event_fields(df: DataFrame, catalog_columns: list[str], keys: list[str]) ->
         pairs.append(F.transform(values, lambda v: F.struct(F.lit(c.upper()).alias("field"), v.alias("value"))))
     rows = df.select(*keys, F.explode(F.flatten(F.filter(F.array(*pairs), lambda p: p.isNotNull()))).alias("p"))
     return rows.select(*keys, "p.field", "p.value").where("value is not null")
+
+
+def read_with_errors(spark: SparkSession, path: str, schema: T.StructType, form: str = "csv", **options: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, error rows): rows that don't fit the schema go to the second, with their text and file."""
+    bad = "_corrupt"
+    df = spark.read.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())])).format(form).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).options(**options).load(path)
+    df = df.withColumn("_file", F.col("_metadata.file_path"))
+    return df.where(F.col(bad).isNull()).drop(bad, "_file"), df.where(F.col(bad).isNotNull()).select(F.col(bad).alias("record"), F.col("_file").alias("file"))
