@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.lang.ast import And, Call, Cmp, Ident, Lit, Marker, Node, Or
@@ -82,9 +82,14 @@ def hit_terms(node: Node, catalog: Catalog) -> Column:
 
 
 def latest_versions(df: DataFrame, by: list[str], version: str) -> DataFrame:
-    """Rows with the highest version of each document; ties stay."""
-    top = F.max(version).over(Window.partitionBy(*by))
-    return df.withColumn("_top", top).where(F.col(version).eqNullSafe(F.col("_top"))).drop("_top")
+    """Rows with the highest version of each document; ties stay.
+
+    The highest versions come from an aggregation that combines map-side; a document with very many rows is
+    split by the join, not gathered in one window.
+    """
+    top = df.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.max(version).alias("_top"))
+    on = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    return df.join(top, on & F.col(version).eqNullSafe(F.col("_top"))).drop("_top", *[f"_{b}" for b in by])
 
 
 def mask(df: DataFrame, column: str, masked: str, visible: Column) -> DataFrame:

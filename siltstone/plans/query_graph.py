@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.lang import jexl, lucene
@@ -422,12 +422,10 @@ def query_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source AS category, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_id DESC, doc_id DESC) AS n FROM documents WHERE source IS NOT NULL) AS d WHERE n <= 5")
 def atom_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """The five newest documents of every category, by an aggregation that keeps five."""
-    newest = F.expr("slice(sort_array(collect_list(struct(shard_id, doc_id, n_chars)), false), 1, 5)")
-    # max_by with a count keeps five rows per category while aggregating, so no category is gathered whole.
-    rows = table(spark, sf, "documents").where("source is not null").select("source", "shard_id", "doc_id", "n_chars")
-    part = rows.groupBy("source", F.pmod(F.hash("doc_id"), F.lit(64)).alias("salt")).agg(newest.alias("top"))
-    return part.select(F.col("source"), F.inline("top")).groupBy("source").agg(newest.alias("top")).select(F.col("source").alias("category"), F.inline("top")).select("category", "doc_id", "n_chars")
+    """The five newest documents of every category. The rank's limit is applied before rows are shuffled, too."""
+    rows = table(spark, sf, "documents").where("source is not null").select(F.col("source").alias("category"), "shard_id", "doc_id", "n_chars")
+    newest = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("shard_id"), F.desc("doc_id")))
+    return rows.withColumn("n", newest).where("n <= 5").select("category", "doc_id", "n_chars")
 
 
 POSTINGS = "(SELECT shard_id, datatype, field_name, norm_value, unnest(uid_list) AS uid FROM term_index) AS p"
