@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.storage import SnapshotStore, fresh_path
+from siltstone.storage import SnapshotStore, children, fresh_path
 
 WORD = 32
 BLOCK = WORD * WORD
@@ -130,8 +130,13 @@ class ChangeStore:
             mark_dir = self.store.next_dir("marks")
             marks.write.parquet(mark_dir)
             marks = self.spark.read.schema("entry long, watermark long").parquet(mark_dir)
-            both = whole.join(marks, "entry", "left").withColumn("watermark", F.coalesce("watermark", F.lit(self.base)))
-            ready, held = both.where("seq <= watermark"), both.where("seq > watermark").select(*CHANGES.names)
+            # Split once: the held part is stored as it is, the ready part is read by the steps below.
+            both = whole.join(marks, "entry", "left").withColumn("ready", F.col("seq") <= F.coalesce("watermark", F.lit(self.base)))
+            split = self.store.next_dir("pending")
+            both.select(*CHANGES.names, "ready").write.partitionBy("ready").parquet(split)
+            made = children(self.spark, split)
+            held = f"{split}/ready=false" if "ready=false" in made else None
+            ready = self.spark.read.schema(CHANGES).parquet(f"{split}/ready=true") if "ready=true" in made else whole.limit(0)
         state_dir, entry_dir = self.store.next_dir("state"), self.store.next_dir("entries")
         deeds = ready.select(
             "entry", "seq",
@@ -153,9 +158,7 @@ class ChangeStore:
             "pending": {},
         }
         if held is not None:
-            held_dir = self.store.next_dir("pending")
-            held.write.parquet(held_dir)
-            parts["pending"] = {v: {"dir": held_dir}}
+            parts["pending"] = {v: {"dir": held}}
         self.store.commit(parts)
 
     def entries(self) -> DataFrame:
