@@ -20,8 +20,8 @@ def collapse(chunks: Column) -> Column:
 def parts(hash_: Column) -> Column:
     """[(size, chunks), (2 size, double chunks)]."""
     p = F.split(hash_, ":", 3)
-    size = p[0].try_cast("bigint")
-    return F.array(F.struct(size.alias("size"), collapse(p[1]).alias("chunks")), F.struct((size * 2).alias("size"), collapse(p[2]).alias("chunks")))
+    size = F.get(p, F.lit(0)).try_cast("bigint")
+    return F.array(F.struct(size.alias("size"), collapse(F.get(p, F.lit(1))).alias("chunks")), F.struct((size * 2).alias("size"), collapse(F.get(p, F.lit(2))).alias("chunks")))
 
 
 def ngrams(chunks: Column, n: int = NGRAM) -> Column:

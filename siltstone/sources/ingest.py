@@ -128,8 +128,11 @@ def event_fields(df: DataFrame, catalog_columns: list[str], keys: list[str]) ->
 
 
 def read_with_errors(spark: SparkSession, path: str, schema: T.StructType, form: str = "csv", **options: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, error rows): rows that don't fit the schema go to the second, with their text and file."""
+    """(good rows, error rows) of lines of CSV or JSON: lines that don't fit the schema go to the second, with their file."""
     bad = "_corrupt"
-    df = spark.read.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())])).format(form).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).options(**options).load(path)
-    df = df.withColumn("_file", F.col("_metadata.file_path"))
-    return df.where(F.col(bad).isNull()).drop(bad, "_file"), df.where(F.col(bad).isNotNull()).select(F.col(bad).alias("record"), F.col("_file").alias("file"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    full = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad} | options
+    parsed = F.from_csv("value", full.toDDL(), how) if form == "csv" else F.from_json("value", full, how)
+    rows = text.withColumn("r", parsed)
+    return rows.where(F.col(f"r.{bad}").isNull()).select("r.*").drop(bad), rows.where(F.col(f"r.{bad}").isNotNull()).select(F.col("value").alias("record"), "file")
