@@ -10,9 +10,12 @@ from siltstone.lang.jexl import QueryError, is_range
 from siltstone.plans.compiler import OPS, full_match
 
 
-def fragments(index: DataFrame, fragment_id: str) -> DataFrame:
-    """Each delivered fragment once."""
-    return index.dropDuplicates([fragment_id])
+def fragments(index: DataFrame, columns: list[str], fragment_id: str = "fragment_id") -> DataFrame:
+    """Each delivered fragment once, with the given columns, which its deliveries agree in.
+
+    Conditions on terms belong before it, so that fewer rows are shuffled.
+    """
+    return index.select(fragment_id, *columns).distinct()
 
 
 def term_condition(node: Node, term: str = "norm_value", field: str = "field_name") -> Column:
@@ -34,15 +37,16 @@ def term_condition(node: Node, term: str = "norm_value", field: str = "field_nam
     raise QueryError(f"nothing to discover in {node}")
 
 
-def discover(index: DataFrame, node: Node, by: tuple[str, ...] = ("norm_value", "field_name", "datatype"), day: Column | None = None, count: str = "uid_count") -> DataFrame:
+def discover(index: DataFrame, node: Node, by: tuple[str, ...] = ("norm_value", "field_name", "datatype"), day: Column | None = None, count: str = "uid_count", fragment_id: str = "fragment_id") -> DataFrame:
     """Counts of the terms that a query names, per field, datatype and day; sums of zero or less are left out."""
     day = F.substring("shard_id", 1, 8) if day is None else day
-    hits = index.where(term_condition(node)).select(*by, day.alias("date"), count)
+    found = index.where(term_condition(node)).withColumn("date", day)
+    hits = fragments(found, [*by, "date", count], fragment_id)
     return hits.groupBy(*by, "date").agg(F.sum(count).alias("count")).where("count > 0")
 
 
 def reverse_discover(index: DataFrame, suffix: str, field: str | None = None) -> DataFrame:
-    """Terms that end in a text: a prefix search on the reversed term."""
+    """Entries of terms that end in a text: a prefix search on the reversed term."""
     hits = index.where(F.reverse("norm_value").startswith(suffix[::-1]))
     return hits.where(F.col("field_name") == field) if field else hits
 

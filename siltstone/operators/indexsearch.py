@@ -55,7 +55,7 @@ def search(index: DataFrame, node: Node, uids: str = "uid_list", keys: tuple[str
     bit = {leaf: i for i, leaf in enumerate(leaves)}
     if _decide(node, bit, 0):
         raise QueryError("documents without any of the terms can't be found in the index")
-    conditions = {leaf: F.coalesce(term_condition(leaf), F.lit(False)) for leaf in leaves}
+    conditions = {leaf: term_condition(leaf) for leaf in leaves}  # null is as good as false here, and plain conditions reach the scan
     marks = F.lit(0).cast("long")
     some = F.lit(False)
     for leaf, c in conditions.items():

@@ -35,7 +35,7 @@ FRAGMENTS = "(SELECT fragment_id, any_value(norm_value) AS norm_value, any_value
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    return discovery.fragments(table(spark, sf, "term_index").select("fragment_id", "norm_value", "field_name", "shard_id", "datatype", "uid_count"), "fragment_id")
+    return table(spark, sf, "term_index").select("fragment_id", "norm_value", "field_name", "shard_id", "datatype", "uid_count")
 
 
 def _discovered(condition: str) -> str:
@@ -59,7 +59,8 @@ def discovery_range(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT norm_value, field_name, CAST(sum(uid_count) AS BIGINT) AS count FROM {FRAGMENTS} WHERE norm_value LIKE '%land' GROUP BY ALL")
 def discovery_reverse(spark: SparkSession, sf: str) -> DataFrame:
-    return discovery.reverse_discover(_index(spark, sf), "land").groupBy("norm_value", "field_name").agg(F.sum("uid_count").alias("count"))
+    hits = discovery.reverse_discover(_index(spark, sf), "land")
+    return discovery.fragments(hits, ["norm_value", "field_name", "uid_count"]).groupBy("norm_value", "field_name").agg(F.sum("uid_count").alias("count"))
 
 
 @query("SELECT v.access_level, lower(country) AS term, count(*) AS count FROM city_event AS v WHERE lower(country) = 'pabeia' GROUP BY ALL")
@@ -69,12 +70,13 @@ def discovery_by_vis(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT field_name, datatype, shard_id, CAST(sum(uid_count) AS BIGINT) AS count FROM {FRAGMENTS} WHERE norm_value = 'draldozimia' GROUP BY ALL")
 def term_index_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf).where("norm_value = 'draldozimia'").groupBy("field_name", "datatype", "shard_id").agg(F.sum("uid_count").alias("count"))
+    rows = discovery.fragments(_index(spark, sf).where("norm_value = 'draldozimia'"), ["field_name", "datatype", "shard_id", "uid_count"])
+    return rows.groupBy("field_name", "datatype", "shard_id").agg(F.sum("uid_count").alias("count"))
 
 
 @query(f"SELECT field_name, norm_value, datatype, count(*) AS entries, CAST(sum(uid_count) AS BIGINT) AS count FROM {FRAGMENTS} WHERE field_name IN ('CONTINENT', 'ACCESS') GROUP BY ALL")
 def index_count(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _index(spark, sf).where(F.col("field_name").isin("CONTINENT", "ACCESS"))
+    rows = discovery.fragments(_index(spark, sf).where(F.col("field_name").isin("CONTINENT", "ACCESS")), ["field_name", "norm_value", "datatype", "uid_count"])
     return rows.groupBy("field_name", "norm_value", "datatype").agg(F.count("*").alias("entries"), F.sum("uid_count").alias("count"))
 
 
