@@ -56,6 +56,7 @@ JOINERS = set("’‘'-–—…′″°·/“”„«»|│×")
 COMMON = 10  # documents in which a triple must occur to be garbled into a pattern
 
 
+@lru_cache
 def _bytes_to_chars(encoding: str) -> dict[int, str]:
     """Characters of the high bytes; bytes without one become control characters, as most readers do."""
     return {b: bytes([b]).decode(encoding, "ignore") or chr(b) for b in range(128, 256)}
@@ -142,38 +143,41 @@ class Usage:
         return math.log(max(0, self.counts.get(a + c + b, 0) - own) + 0.002 * max(0, kind - own) + 0.01)
 
 
+def neighbourhoods(counts: dict[str, int]) -> dict[str, int]:
+    """Garbled triples that are far less usual than what they come from: {sequence: bits of its pairs}."""
+    usage = Usage(counts)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    common = {t for t, n in counts.items() if n >= COMMON}
+    members = {"l": lower, "U": upper, " ": " "}
+    for kind, n in usage.kinds.items():
+        if n >= 20 * COMMON and kind[0] in members and kind[2] in members and (kind[0] + kind[2]) != "  ":
+            common.update(a + kind[1] + b for a in members[kind[0]] for b in members[kind[2]])
+    worth = {t: usage.of(*t) for t in common}
+    out: dict[str, int] = {}
+    for p, (true, read) in enumerate(PAIRS):
+        back = {t: r for r, t in _map(true, read).items()}
+        for t, usual in worth.items():
+            if t[1] in back:
+                g = "".join(back.get(c, c) for c in t)
+                if usual - usage.of(_near(g[0]), g[1], _near(g[2]), 1) >= 1:
+                    out[g] = out.get(g, 0) | 1 << p
+    return out
+
+
 class Mender:
-    """Finds and undoes garbling; built once per worker from the corpus statistics."""
+    """Finds and undoes garbling; made once per worker from the corpus statistics."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], patterns: dict[str, int] | None = None):
         self.usage = Usage(counts)
         self.readings = sequences()
         self.found = ahocorasick.Automaton()
         for s in self.readings:
             self.found.add_word(s, ("u", s))
-        for s, pairs in self._neighbourhoods(counts).items():
+        for s, pairs in (neighbourhoods(counts) if patterns is None else patterns).items():
             if s not in self.readings:
                 self.found.add_word(s, ("p", pairs))
         self.found.make_automaton()
 
-    def _neighbourhoods(self, counts: dict[str, int]) -> dict[str, set[int]]:
-        """Garbled triples that are far less usual than what they come from: {sequence: pairs}."""
-        lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-        common = {t for t, n in counts.items() if n >= COMMON}
-        members = {"l": lower, "U": upper, " ": " "}
-        for kind, n in self.usage.kinds.items():
-            if n >= 20 * COMMON and kind[0] in members and kind[2] in members and (kind[0] + kind[2]) != "  ":
-                common.update(a + kind[1] + b for a in members[kind[0]] for b in members[kind[2]])
-        out: dict[str, set[int]] = {}
-        for p, (true, read) in enumerate(PAIRS):
-            back = {t: r for r, t in _map(true, read).items()}
-            for t in common:
-                if t[1] in back:
-                    g = "".join(back.get(c, c) for c in t)
-                    if self.usage.of(*t) - self.usage.of(_near(g[0]), g[1], _near(g[2]), 1) >= 1:
-                        out.setdefault(g, set()).add(p)
-        return out
-
     def _gain_of_sequence(self, before: str, seq: str, after: str, char: str, left: str, right: str) -> float:
         """How much more usual the place becomes; left and right are the neighbours once mended."""
         s = f"{before}{seq}{after}"
@@ -270,16 +274,19 @@ class Mender:
             return False, None
         garbled, now = False, text
         for _ in range(4):
-            us, ps = [], []
+            us, pairs = [], 0
             for end, (kind, value) in self.found.iter(now):
                 if kind == "u":
                     us.append((end, value))
                 else:
-                    ps.append((end, value))
+                    pairs |= value
             spans = self._mend_sequences(now, us) if us else []
             if not spans:
                 # A spelling that can't be an author's is looked into even where the corpus is too small to tell.
-                spans = self._mend_words(now, {p for _, pairs in ps for p in pairs} if not any(_odd(*t) for t in triples(now)) else set(range(len(PAIRS))))
+                if any(_odd(*t) for t in triples(now)):
+                    pairs = (1 << len(PAIRS)) - 1
+                if pairs:
+                    spans = self._mend_words(now, {p for p in range(len(PAIRS)) if pairs >> p & 1})
             if not spans:
                 break
             garbled, parts, at = True, [], 0
@@ -292,14 +299,17 @@ class Mender:
         return garbled, now if garbled else None
 
 
-def mend_texts(counts):
-    """mapInArrow function: (doc_id, text) to (doc_id, restored, lost) of the garbled ones. ``counts``: broadcast."""
+def mend_texts(learnt):
+    """mapInArrow function: (doc_id, text) to (doc_id, restored, lost) of the garbled ones.
+
+    ``learnt`` is the broadcast of the triples' counts and the patterns made of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mender = None
         for batch in batches:
             if mender is None:
-                mender = Mender(counts.value)
+                mender = Mender(*learnt.value)
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 garbled, mended = mender.mend(text)
@@ -320,6 +330,7 @@ def corpus_triples(docs: DataFrame) -> dict[str, int]:
 
 def find_garbled(docs: DataFrame) -> DataFrame:
     """doc_id, restored, lost of every garbled row of ``docs`` (doc_id, text)."""
-    counts = docs.sparkSession.sparkContext.broadcast(corpus_triples(docs))
+    counts = corpus_triples(docs)
+    learnt = docs.sparkSession.sparkContext.broadcast((counts, neighbourhoods(counts)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(mend_texts(counts), f"doc_id {kind}, restored string, lost boolean")
+    return docs.select("doc_id", "text").mapInArrow(mend_texts(learnt), f"doc_id {kind}, restored string, lost boolean")
