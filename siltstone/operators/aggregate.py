@@ -45,21 +45,24 @@ def unique(df: DataFrame, catalog: Catalog, fields: dict[str, list[str]], order:
     return first.select("_row.*")
 
 
-def group(df: DataFrame, catalog: Catalog, by: list[str], aggregates: dict[str, list[str]] | None = None) -> DataFrame:
+def group(df: DataFrame, catalog: Catalog, by: list[str], aggregates: dict[str, list[str]] | None = None, visibility: str | None = None) -> DataFrame:
     """Counts of combinations of values, and sums, minima, maxima, counts and averages of other fields.
 
     Values of several fields belong together if they have the same grouping context; fields that share no
-    context combine all with all. A document without any of the fields counts in the group of nulls.
+    context combine all with all. A document without any of the fields counts in the group of nulls. With a
+    column of visibilities, each group gets the conjunction of those of its documents.
     """
     aggregates = aggregates or {}
     simple = all(not f.multi for n in [*by, *sum(aggregates.values(), [])] for f in catalog.lookup(n))
     specs = [(op, n) for op, names in aggregates.items() for n in names]
+    seen = [] if visibility is None else [F.col(visibility).alias("_vis")]
+    combined = [] if visibility is None else [F.array_join(F.array_sort(F.collect_set("_vis")), "&").alias("VISIBILITY")]
     if simple:
         columns = {n: F.col(catalog.lookup(n)[0].column) for n in [*by, *(n for _, n in specs)]}
-        rows = df.select(*[columns[n].alias(n) for n in dict.fromkeys([*by, *(n for _, n in specs)])])
+        rows = df.select(*[columns[n].alias(n) for n in dict.fromkeys([*by, *(n for _, n in specs)])], *seen)
         aggs = [_aggregate(op, F.col(n)).alias(f"{n}_{op.upper()}") for op, n in specs]
-        return rows.groupBy(*by).agg(F.count("*").alias("COUNT"), *aggs)
-    rows = df.select(*[Values(catalog.lookup(n)).array().column.alias(f"_a_{n}") for n in dict.fromkeys([*by, *(n for _, n in specs)])])
+        return rows.groupBy(*by).agg(F.count("*").alias("COUNT"), *aggs, *combined)
+    rows = df.select(*[Values(catalog.lookup(n)).array().column.alias(f"_a_{n}") for n in dict.fromkeys([*by, *(n for _, n in specs)])], *seen)
     for i, n in enumerate(by):
         values = F.col(f"_a_{n}")
         for other in by[:i]:  # a value of an earlier field decides which values of this one go with it
@@ -73,7 +76,7 @@ def group(df: DataFrame, catalog: Catalog, by: list[str], aggregates: dict[str,
         norms = F.transform(values, lambda x: x["norm"])
         aggs.append(_array_aggregate(op, norms).alias(f"{n}_{op.upper()}"))
     named = [F.col(f"_g_{n}")["raw"].alias(n) for n in by]
-    return rows.groupBy(*named).agg(F.count("*").alias("COUNT"), *aggs)
+    return rows.groupBy(*named).agg(F.count("*").alias("COUNT"), *aggs, *combined)
 
 
 def _linked(values: Column, chosen: Column) -> Column:

@@ -7,17 +7,19 @@ grouping need survive the projection.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import siltstone.functions  # noqa: F401  (registers the functions)
 from siltstone.lang import jexl, lucene
-from siltstone.lang.ast import Call, Marker, Node, And, Or, Not, Cmp
+from siltstone.lang.ast import And, Call, Cmp, Marker, Node, Or, fields
 from siltstone.operators import aggregate, shaping
 from siltstone.plans.catalog import Catalog
-from siltstone.plans.compiler import Compiler, full_match, OPS, truth
+from siltstone.plans.compiler import OPS, Compiler, full_match, truth
 from siltstone.plans.options import Options, extract
 
 
@@ -36,6 +38,10 @@ class EventQuery:
     datatype: str | None = None
     macros: dict[str, str] = field(default_factory=dict)
     full_scan: bool = True
+    date_types: dict[str, str] = field(default_factory=dict)  # other kinds of dates and their columns
+    rules: list[Callable[[Node], Node]] = field(default_factory=list)  # a user's own rewrites of the tree
+    models: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    most_days: int | None = None
 
     def parse(self, text: str, syntax: str = "JEXL", options: Options | None = None) -> tuple[Node | None, Options]:
         """The condition without options, and the options."""
@@ -43,14 +49,34 @@ class EventQuery:
         tokenized = {n for n, f in self.catalog.fields.items() if f.tokenized}
         node = lucene.to_tree(text, tokenized) if syntax.upper().startswith("LUCENE") else jexl.parse(text)
         options = options or Options()
-        return extract(node, options), options
+        node = extract(node, options)
+        for rule in self.rules if node is not None else []:
+            node = rule(node)
+        if options.other.get("ignore.nonexistent.fields", "true").lower() == "false":
+            known = self._catalog(options)
+            if unknown := sorted(f for f in fields(node) if not f.startswith("_") and f.lower() != "termoffsetmap" and not known.lookup(f)):
+                raise jexl.QueryError(f"unknown fields {unknown}")
+        return node, options
+
+    def _catalog(self, options: Options) -> Catalog:
+        """The catalog with the model that the options name."""
+        name = options.other.get("model.name")
+        if name is None:
+            return self.catalog
+        if name not in self.models:
+            raise jexl.QueryError(f"no model {name}")
+        return replace(self.catalog, model=self.catalog.model | self.models[name])
+
+    def explain(self, text: str, syntax: str = "JEXL", dates: tuple[str, str] | None = None) -> str:
+        """How Spark would run the query; nothing is run."""
+        return self.run(text, syntax, dates)._jdf.queryExecution().explainString(self.docs.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def plan(self, text: str, syntax: str = "JEXL") -> str:
         """The query as it would run, as text."""
         return str(self.parse(text, syntax)[0])
 
     def compiler(self, options: Options) -> Compiler:
-        return Compiler(self.catalog, options.lenient - options.strict, options.no_expansion)
+        return Compiler(self._catalog(options), options.lenient - options.strict, options.no_expansion)
 
     def matching(self, text: str, syntax: str = "JEXL", dates: tuple[str, str] | None = None, options: Options | None = None) -> DataFrame:
         """The documents that satisfy the query, unshaped."""
@@ -58,8 +84,14 @@ class EventQuery:
 
     def _matching(self, node: Node | None, options: Options, dates: tuple[str, str] | None) -> DataFrame:
         df = self.docs
-        if dates and self.day:
-            df = df.where(F.col(self.day).between(*dates))
+        kind = options.other.get("date.type")
+        if kind is not None and kind.upper() not in self.date_types:
+            raise jexl.QueryError(f"no dates of type {kind}")
+        day = self.date_types[kind.upper()] if kind is not None else self.day
+        if dates and self.most_days is not None and (datetime.strptime(dates[1], "%Y%m%d") - datetime.strptime(dates[0], "%Y%m%d")).days >= self.most_days:
+            raise jexl.QueryError(f"more than {self.most_days} days")
+        if dates and day:
+            df = df.where(F.col(day).between(*dates))
         if options.shards_and_days and self.day:
             df = df.where(F.col(self.day).isin(options.shards_and_days))
         if options.datatypes and self.datatype:
@@ -93,6 +125,8 @@ class EventQuery:
             df = shaping.project(df, self.catalog, o.include, o.exclude, keep + needed)
         if o.limit_fields:
             df = shaping.limit_fields(df, self.catalog, o.limit_fields, None if node is None else _hit_test(node, self.catalog))
+        if o.other.get("include.grouping.context", "true").lower() == "false" and not o.group:
+            df = df.withColumns({f.column: F.transform(f.column, lambda x: x["value"]) for f in self.catalog.fields.values() if f.context and f.column in df.columns})
         if o.unique:
             df = aggregate.unique(df, self.catalog, o.unique, self.ids)
         if o.group:

@@ -300,3 +300,19 @@ def enrich_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def facet_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.facet_estimates(table(spark, sf, "city_event"), ["continent"], "uid", least=2)
+
+
+@query("SELECT country AS COUNTRY, count(*) AS COUNT, array_to_string(list_sort(list(DISTINCT access_level)), '&') AS VISIBILITY FROM city_event WHERE num >= 500 GROUP BY country")
+def group_visibility(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels that a caller needs to see the whole of each group."""
+    q = on(spark, sf, "city_event")
+    return aggregate.group(q.matching("NUM >= 500"), q.catalog, ["COUNTRY"], visibility="access_level")
+
+
+@query("SELECT uid, event_id, load_ts FROM city_event WHERE strftime(load_ts, '%Y%m%d') BETWEEN '20150110' AND '20150112' AND lower(continent) = 'aurrira'")
+def date_type_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The date range of a query on another kind of date."""
+    q = on(spark, sf, "city_event")
+    q.docs = q.docs.withColumn("load_day", F.date_format("load_ts", "yyyyMMdd"))
+    q.date_types["LOAD"] = "load_day"
+    return q.matching("CONTINENT == 'aurrira'", dates=("20150110", "20150112"), options=with_options(date_type="LOAD")).select("uid", "event_id", "load_ts")

@@ -196,3 +196,18 @@ def test_excerpt_sides(spark):
     get = lambda n, side: [r[0] for r in df.select(excerpt(F.col("t"), ["three", "four"], n, side)).collect()]
     assert get(1, "both") == ["two three four five", None, None]
     assert get(9, "before") == ["one two three four", None, None] and get(1, "after")[0] == "three four five"
+
+
+def test_further_options(q):
+    import dataclasses
+
+    assert q.run("ID == 'SOPRANO'", options=Options(other={"include.grouping.context": "false"})).first()["name"] == ["ANTHONY", "MEADOW"]
+    with pytest.raises(QueryError):
+        q.matching("NOPE == 1", options=Options(other={"ignore.nonexistent.fields": "false"}))
+    other = dataclasses.replace(q, models={"m": {"WHO": ["NAME"]}}, rules=[lambda n: n], most_days=2)
+    assert found(other, "WHO == 'bruno'", options=Options(other={"model.name": "m"})) == {"TATTAGLIA"}
+    for kw in (dict(options=Options(other={"model.name": "x"})), dict(options=Options(other={"date.type": "x"})), dict(dates=("20240101", "20240105"))):
+        with pytest.raises(QueryError):
+            other.matching("ID == 'CAPONE'", **kw)
+    assert found(other, "ID == 'CAPONE'", dates=("20240101", "20240102")) == {"CAPONE"}
+    assert "Scan" in q.explain("ID == 'CAPONE'") and q.plan("ID:c*", "LUCENE") == "ID =~ 'c.*?'"
