@@ -88,8 +88,14 @@ def sequences() -> dict[str, dict[str, str]]:
     return {s: d for s, d in out.items() if len(s) > 1}
 
 
+#: Characters that triples tell apart: those of the alphabet and those that the encodings have. This bounds the
+#: statistics, whatever scripts a corpus holds; any other character is one and the same letter to them.
+TOLD = {chr(c) for lo, hi in ALPHABET for c in range(lo, hi + 1)} | {c for e in {*READ_AS, *sum(PAIRS, ())} for c in _bytes_to_chars(e).values()} | {LOST}
+OTHER = "字"
+
+
 def _near(c: str) -> str:
-    return "0" if c.isdigit() else " " if c.isspace() else c
+    return c if "a" <= c <= "z" else "0" if c.isdigit() else " " if c.isspace() else c if c < "\x80" or c in TOLD else OTHER
 
 
 def _class(c: str) -> str:
@@ -100,7 +106,7 @@ def _class(c: str) -> str:
 
 def triples(text: str) -> list[str]:
     t = f" {text} "
-    return [_near(t[i]) + t[i + 1] + _near(t[i + 2]) for i in (m.start() for m in NON_ASCII.finditer(text))]
+    return [_near(t[i]) + t[i + 1] + _near(t[i + 2]) for i in (m.start() for m in NON_ASCII.finditer(text)) if t[i + 1] in TOLD]
 
 
 def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +329,7 @@ def mend_texts(learnt):
 
 
 def corpus_triples(docs: DataFrame) -> dict[str, int]:
-    """Document frequency of every triple around a non-ASCII character: bounded by the alphabets in use."""
+    """Document frequency of every triple around a character of ``TOLD``: so many characters, so many triples at most."""
     counts = docs.select("text").where("text is not null").mapInArrow(count_triples, "triple string, n long").groupBy("triple").agg(F.sum("n").alias("n"))
     return {r["triple"]: r["n"] for r in counts.toLocalIterator()}
 

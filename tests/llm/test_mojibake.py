@@ -76,3 +76,12 @@ def test_table(spark):
     got = sorted((x["doc_id"], x["restored"], x["lost"]) for x in mojibake.find_garbled(df).collect())
     assert got == [(1000, CLEAN[2], False)] * 2 + [(1003, None, True)]
     assert mojibake.find_garbled(df.where("false")).collect() == []
+
+
+def test_other_scripts_are_one_letter():
+    assert mojibake.triples("漢字é漢 à1") == ["字é字", " à0"]
+    assert mojibake.triples("漢字" * 1000) == []
+
+
+def test_other_scripts_stay(mender):
+    assert mender.mend("漢字とかな、한국어, ไทย, العربية " * 50) == (False, None)

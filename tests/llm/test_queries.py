@@ -11,6 +11,8 @@ QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, name):
     got = QUERIES[name](spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     if name in ORACLES:
         assert difference(connect(sf), got, ORACLES[name])[1] == ""
     else:
