@@ -1,7 +1,7 @@
 """Frequency of every distinct term (problem 3).
 
 Heavy-light aggregation. Terms with more than 1/``HEAVY_SHARE`` of all rows are heavy; there are at most
-``HEAVY_SHARE`` of them, which bounds the broadcast list whatever the input. Heavy rows carry the number of
+``HEAVY_SHARE`` of them, which bounds the broadcast list whatever the input (keys over ``MOST_CHARS`` characters are never heavy). Heavy rows carry the number of
 their term instead of the term; their records and items are made distinct by a shuffle on (number, item),
 which spreads one term over all tasks, and are then counted in exact local counters, one per heavy term and
 task, of which at most ``HEAVY_SHARE`` leave a task. Only the remaining terms are shuffled by term, once, and
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_SHARE = 1000
+#: Longest key of a heavy term, so that the broadcast list is bounded in bytes, too; longer ones count as light.
+MOST_CHARS = 1000
 
 
 def _rows(record_id: str, weight: str, items: str) -> Column:
@@ -41,7 +43,7 @@ def term_frequencies(df: DataFrame, key: tuple[str, str], record_id: str, weight
     """k1, k2, occurrences (sum of ``weight`` over distinct records), records (distinct ``items``)."""
     base = df.select(F.col(key[0]).alias("k1"), F.col(key[1]).alias("k2"), F.col(record_id).alias("rid"), F.col(weight).alias("w"), F.col(items).alias("items"))
     total = base.count()
-    heavy = base.groupBy("k1", "k2").count().where(F.col("count") * HEAVY_SHARE > total).select("k1", "k2").collect()  # fewer than HEAVY_SHARE rows
+    heavy = base.groupBy("k1", "k2").count().where((F.col("count") * HEAVY_SHARE > total) & (F.length(F.concat_ws("", "k1", "k2")) <= MOST_CHARS)).select("k1", "k2").collect()  # fewer than HEAVY_SHARE rows
     listed = df.sparkSession.createDataFrame([(r["k1"], r["k2"], i) for i, r in enumerate(heavy)], f"h1 {_type(base, 'k1')}, h2 {_type(base, 'k2')}, heavy int")
     marked = base.join(F.broadcast(listed), F.col("k1").eqNullSafe(F.col("h1")) & F.col("k2").eqNullSafe(F.col("h2")), "left")
     rows = marked.select("k1", "k2", "heavy", F.explode(_rows("rid", "w", "items")).alias("r"))
