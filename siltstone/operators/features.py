@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 HEAVY_SHARE = 1000
 SALTS = 16
+#: Longest names of a heavy group, so that the broadcast list is bounded in bytes, too.
+MOST_CHARS = 1000
 
 
 def feature_table(events: DataFrame, entity: Column, kind: str, ts: str, amount: str, event_id: str, types: list[str], as_of: int | None) -> DataFrame:
@@ -29,7 +31,7 @@ def feature_table(events: DataFrame, entity: Column, kind: str, ts: str, amount:
     e = events.select(entity.alias("entity"), F.col(kind).alias("kind"), F.col(ts).cast("long").alias("ts"), F.coalesce(F.col(amount).cast("long"), F.lit(0)).alias("amount"), F.col(event_id).alias("id"))
     e = e.where("entity is not null")
     total = e.count()
-    heavy = e.groupBy("entity", "kind").count().where(F.col("count") * HEAVY_SHARE > total).select(F.col("entity").alias("h1"), F.col("kind").alias("h2"), F.lit(True).alias("heavy"))
+    heavy = e.groupBy("entity", "kind").count().where((F.col("count") * HEAVY_SHARE > total) & (F.length(F.concat_ws("", "entity", "kind")) <= MOST_CHARS)).select(F.col("entity").alias("h1"), F.col("kind").alias("h2"), F.lit(True).alias("heavy"))
     salted = e.join(F.broadcast(heavy), (F.col("entity") == F.col("h1")) & F.col("kind").eqNullSafe(F.col("h2")), "left").select(
         "entity", "kind", "ts", "amount", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).alias("salt")
     )
