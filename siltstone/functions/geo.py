@@ -16,6 +16,7 @@ from siltstone.functions import shapes
 from siltstone.lang.ast import Ident, Lit, Node
 from siltstone.lang.jexl import QueryError
 from siltstone.plans.compiler import Compiler, function, truth
+from siltstone.workers import ship_to_active
 
 Args = tuple[Node, ...]
 POINT = r"(?i)^\s*POINT\s*\(\s*(-?[\d.]+)\s+(-?[\d.]+)\s*\)\s*$"
@@ -74,6 +75,7 @@ def within_circle(c: Compiler, args: Args) -> Column:
 def _relation(name: str):  # noqa: ANN202
     def build(c: Compiler, args: Args) -> Column:
         target = c.text(args[1])
+        ship_to_active()
         shapes.parse(target)  # a wrong shape is the query's fault, not the data's
 
         @F.pandas_udf("boolean")

@@ -15,6 +15,7 @@ from siltstone.lang.jexl import QueryError
 from siltstone.operators.results import ROW, number_rows
 from siltstone.plans.catalog import Catalog
 from siltstone.plans.compiler import OPS, Values, full_match, truth
+from siltstone.workers import ship_to_active
 
 
 def project(df: DataFrame, catalog: Catalog, include: list[str] | None = None, exclude: list[str] | None = None, keep: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
@@ -143,6 +144,7 @@ def satisfied(expression: str | None, auths: frozenset[str]) -> bool:
 def visible(expression: Column, auths: set[str]) -> Column:
     """Whether a visibility expression holds for a caller. A plain label or none at all is decided without Python."""
     have = frozenset(auths)
+    ship_to_active()
 
     @F.pandas_udf("boolean")
     def decide(values: pd.Series) -> pd.Series:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.storage import stage
+from siltstone.workers import with_code
 
 RECORD, ITEM, LOOSE = 0, 1, 2  # kinds of rows: a record with id, an item of a list, a record without id
 PARTIAL = "k1 string, k2 string, n_rows long, n_records long, total long, n_items long, edge boolean"
@@ -102,7 +103,7 @@ def key_totals(df: DataFrame, key: tuple[str, str], record_id: str, weight: str,
         ).alias("r"),
     ).select("k1", "k2", "r.*")
     order = ["k1", "k2", "kind", "item", F.desc("weight")]
-    runs = rows.repartitionByRange(*order[:4]).sortWithinPartitions(*order).mapInArrow(run_totals, PARTIAL)
+    runs = with_code(rows).repartitionByRange(*order[:4]).sortWithinPartitions(*order).mapInArrow(run_totals, PARTIAL)
     runs = stage(runs, "key-runs")
     sums = ["n_rows", "n_records", "total", "n_items"]
     stitched = runs.where("edge").groupBy("k1", "k2").agg(*[F.sum(c).alias(c) for c in sums])

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.workers import with_code
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True, separator: str = ",", multi: dict[str, str] | None = None, most: dict[str, int] | None = None, on_excess: str = "TRUNCATE") -> DataFrame:
     """Delimited rows. ``multi`` fields hold several values between their own separator.
@@ -40,7 +42,7 @@ def flatten_json(df: DataFrame, column: str, mode: str = "NORMAL", delimiter: st
     def flat(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _flatten_text(t, mode.upper(), delimiter, occurrence))
 
-    return df.withColumn("fields", flat(F.col(column)))
+    return with_code(df).withColumn("fields", flat(F.col(column)))
 
 
 def _flatten_text(text: str | None, mode: str, delimiter: str, occurrence: str) -> list | None:
