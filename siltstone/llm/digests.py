@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.workers import with_code
+
 DELTA = 400
 BUFFER_ROWS = 400_000
 #: Groups of estimates that may be broadcast; beyond it the counting pass joins by shuffle.
@@ -131,7 +133,7 @@ def digest(df: DataFrame, by: list[str], delta: int = DELTA) -> DataFrame:
     else:
         df = df.select(*by, "mean", "weight")
     schema = f"{_schema(df, by)}, mean double, weight long"
-    local = df.mapInArrow(_clustering(by, delta), schema)
+    local = with_code(df).mapInArrow(_clustering(by, delta), schema)
     return local.repartition(*by).mapInArrow(_clustering(by, delta), schema)
 
 
@@ -157,7 +159,7 @@ def estimates(clusters: DataFrame, by: list[str], qs: list[float]) -> DataFrame:
         columns = [*(pa.array(first[n], type=t.schema.field(n).type, from_pandas=True) for n in by), pa.array(np.add.reduceat(weight, starts)), lists]
         yield pa.RecordBatch.from_arrays(columns, names=[*by, "n", "est"])
 
-    return clusters.repartition(*by).mapInArrow(run, schema)
+    return with_code(clusters).repartition(*by).mapInArrow(run, schema)
 
 
 def certify(values: DataFrame, est: DataFrame, by: list[str], qs: list[float]) -> DataFrame:

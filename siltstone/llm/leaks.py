@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.storage import stage
+from siltstone.workers import with_code
 
 N = 5
 WINDOW = 12
@@ -173,7 +174,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not len(grams):
         return docs.sparkSession.createDataFrame([], schema)
     pad = max(map(len, listed.values())) + WINDOW
-    stretches = stage(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(find_stretches(grams, pad), STRETCHES), "stretches")
+    stretches = stage(with_code(docs).select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(find_stretches(grams, pad), STRETCHES), "stretches")
     counts = stretches.select("doc_id", F.explode(F.array_distinct("grams")).alias("g")).distinct().groupBy("g").count()
     frequency = {r["g"]: r["count"] for r in counts.toLocalIterator()}  # at most one row per item n-gram
     by_seed: dict[int, list[int]] = {}

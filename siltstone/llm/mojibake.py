@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.workers import with_code
+
 #: Encodings in which UTF-8 bytes may have been read.
 READ_AS = ["cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859-2", "cp866", "koi8-r"]
 #: Pairs of one-byte encodings (true, read as).
@@ -330,7 +332,7 @@ def mend_texts(learnt):
 
 def corpus_triples(docs: DataFrame) -> dict[str, int]:
     """Document frequency of every triple around a character of ``TOLD``: so many characters, so many triples at most."""
-    counts = docs.select("text").where("text is not null").mapInArrow(count_triples, "triple string, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    counts = with_code(docs).select("text").where("text is not null").mapInArrow(count_triples, "triple string, n long").groupBy("triple").agg(F.sum("n").alias("n"))
     return {r["triple"]: r["n"] for r in counts.toLocalIterator()}
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.storage import stage
+from siltstone.workers import with_code
 
 CAPACITY = 2048
 BLOCK_ITEMS = 40_000
@@ -188,7 +189,7 @@ def containers(items: DataFrame, capacity: int = CAPACITY, block_items: int = BL
         )
 
     # A number of partitions of its own: by bytes, which are few, whole runs of blocks would share a task.
-    packed = numbered.where("n_tokens > 0").repartition(blocks, "block").groupBy("block").applyInPandas(run, f"container long, doc_id {kind}, piece int, first_token long, n_tokens long")
+    packed = with_code(numbered).where("n_tokens > 0").repartition(blocks, "block").groupBy("block").applyInPandas(run, f"container long, doc_id {kind}, piece int, first_token long, n_tokens long")
     empty = items.where("n_tokens = 0").select(F.lit(None).cast("long").alias("container"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens")
     return packed.unionByName(empty)
 
@@ -196,4 +197,4 @@ def containers(items: DataFrame, capacity: int = CAPACITY, block_items: int = BL
 def measure(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and n_tokens of each row, written once since packing reads it several times."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(docs.select("doc_id", "text").mapInArrow(count_tokens(tokenizer_path), f"doc_id {kind}, n_tokens long"), "token-counts")
+    return stage(with_code(docs).select("doc_id", "text").mapInArrow(count_tokens(tokenizer_path), f"doc_id {kind}, n_tokens long"), "token-counts")
