@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.lang.dates import column_millis, following, granularity, millis, parse_date
-from siltstone.lang.ast import Ident, Lit, Node
+from siltstone.lang.ast import Lit, Node
 from siltstone.lang.jexl import QueryError
-from siltstone.plans.catalog import DATE, Field
+from siltstone.plans.catalog import Field
 from siltstone.plans.compiler import OPS, Compiler, ValueArray, full_match, function, truth
 
 Args = tuple[Node, ...]
@@ -165,5 +165,3 @@ def compare(c: Compiler, args: Args) -> Column:
     x, y = (low(a), high(b)) if mode == "ANY" else (high(a), low(b))
     return ~no_a & ~no_b & truth(OPS[op](x, y))
 
-
-__all__ = ["DATE", "Ident"]

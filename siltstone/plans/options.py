@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from siltstone.lang.ast import And, Call, Ident, Lit, Marker, Node, Not, Or, conjunction, disjunction
@@ -18,8 +19,6 @@ def _names(text: str) -> list[str]:
 def parse_unique(text: str) -> dict[str, list[str]]:
     """``A,B[DAY,HOUR]`` as {field: granularities}."""
     out: dict[str, list[str]] = {}
-    import re
-
     for m in re.finditer(r"([^,\[\]]+)(?:\[([^\]]*)\])?", text):
         name = m[1].strip().lstrip("$").upper()
         if not name:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siltstone.plans.catalog import EXACT, Catalog
 from siltstone.plans.engine import EventQuery
@@ -130,5 +129,3 @@ def _sql(name: str, condition: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(t, q, "JEXL") for n, (t, q, _) in ROWS.items()} | {n: _query(t, q, "LUCENE") for n, (t, q, _) in LUCENE.items()}
 ORACLES: dict[str, str] = {n: _sql(t, s) for n, (t, _, s) in (ROWS | LUCENE).items()}
-
-__all__ = ["F"]
