@@ -38,6 +38,7 @@ WINDOW = 12
 MAX_ITEM_WORDS = 2_000_000
 WORDS = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+CHUNK_CELLS = 200_000
 
 
 def words(text: str | None) -> list[str]:
@@ -104,20 +105,46 @@ def find_stretches(grams: np.ndarray, pad: int):
 
 def align(stretch: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """Smith-Waterman score and the longest run in common, of two sequences of word numbers."""
-    steps = np.arange(len(stretch) + 1)
-    row, runs, score, longest = np.zeros(len(stretch) + 1, np.int64), np.zeros(len(stretch) + 1, np.int64), 0, 0
-    for word in item:
-        same = stretch == word
-        best = np.zeros_like(row)
-        best[1:] = np.maximum(row[:-1] + np.where(same, MATCH, MISMATCH), row[1:] + GAP)
-        np.maximum(best, 0, out=best)
-        # Gaps along the stretch: the best earlier cell less one per step.
-        row = np.maximum.accumulate(best - GAP * steps) + GAP * steps
-        nxt = np.zeros_like(runs)
-        nxt[1:] = np.where(same, runs[:-1] + 1, 0)
-        runs = nxt
-        score, longest = max(score, int(row.max())), max(longest, int(runs.max()))
-    return score, longest
+    scores, runs = align_many([stretch], [item])
+    return int(scores[0]), int(runs[0])
+
+
+def align_many(stretches: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and longest runs of many pairs: one sweep over item words moves all pairs of a chunk at once.
+
+    Pairs of similar length share a chunk; shorter ones are filled up with words that match nothing.
+    """
+    scores, longest = np.zeros(len(stretches), np.int32), np.zeros(len(stretches), np.int32)
+    order = np.argsort([len(s) for s in stretches], kind="stable")
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to - at + 1) * (len(stretches[order[to]]) + 1) <= CHUNK_CELLS:
+            to += 1
+        chunk = order[at:to]
+        at = to
+        wide, high = max(len(stretches[i]) for i in chunk), max(len(items[i]) for i in chunk)
+        text, query = np.full((len(chunk), wide), -1, np.int32), np.full((len(chunk), high), -2, np.int32)
+        for k, i in enumerate(chunk):
+            text[k, : len(stretches[i])] = stretches[i]
+            query[k, : len(items[i])] = items[i]
+        steps = np.arange(wide + 1, dtype=np.int32)
+        row, run = np.zeros((len(chunk), wide + 1), np.int32), np.zeros((len(chunk), wide + 1), np.int32)
+        best, most = np.zeros(len(chunk), np.int32), np.zeros(len(chunk), np.int32)
+        for j in range(high):
+            same = text == query[:, j : j + 1]
+            new = np.zeros_like(row)
+            np.maximum(row[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), row[:, 1:] + GAP, out=new[:, 1:])
+            np.maximum(new, 0, out=new)
+            # Gaps along the stretch: the best earlier cell less one per step.
+            row = np.maximum.accumulate(new - GAP * steps, axis=1) + GAP * steps
+            following = np.zeros_like(run)
+            following[:, 1:] = (run[:, :-1] + 1) * same
+            run = following
+            np.maximum(best, row.max(axis=1), out=best)
+            np.maximum(most, run.max(axis=1), out=most)
+        scores[chunk], longest[chunk] = best, most
+    return scores, longest
 
 
 def seeds(items: dict[int, list[str]], frequency: dict[int, int]) -> dict[int, set[int]]:
@@ -142,18 +169,20 @@ def aligned(items: dict[int, list[str]], by_seed: dict[int, list[int]]):
         for ws in items.values():
             for w in ws:
                 numbers.setdefault(w, len(numbers))
-        coded = {i: np.array([numbers[w] for w in ws]) for i, ws in items.items()}
+        coded = {i: np.array([numbers[w] for w in ws], np.int32) for i, ws in items.items()}
         for batch in batches:
-            out: list[tuple] = []
+            found: list[tuple[int, int]] = []
+            stretches: list[np.ndarray] = []
             for doc, ws, grams in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "words", "grams"))):
                 candidates = {i for g in set(grams) for i in by_seed.get(g, ())}
                 if candidates:
-                    stretch = np.array([numbers.get(w, -1) for w in ws])
-                    out += [(doc, i, *align(stretch, coded[i])) for i in sorted(candidates)]
-            if out:
-                columns = list(zip(*out))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "score", "run"])
+                    stretch = np.array([numbers.get(w, -1) for w in ws], np.int32)
+                    found += [(doc, i) for i in candidates]
+                    stretches += [stretch] * len(candidates)
+            if found:
+                scores, runs = align_many(stretches, [coded[i] for _, i in found])
+                docs, pairs = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pairs, pa.int64()), pa.array(scores), pa.array(runs)], names=["doc_id", "item_id", "score", "run"])
 
     return run
 

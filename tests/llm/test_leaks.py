@@ -67,3 +67,23 @@ def test_align():
     a = np.array([1, 2, 3, 9, 4, 5])
     assert leaks.align(a, np.array([1, 2, 3, 4, 5])) == (9, 3)
     assert leaks.align(np.array([7]), np.array([8])) == (0, 0)
+
+
+def test_many_pairs_align_as_single_ones(monkeypatch):
+    import numpy as np
+
+    def plain(a, b):
+        score, runs, best, longest = {}, {}, 0, 0
+        for i, x in enumerate(b):
+            for j, y in enumerate(a):
+                score[i, j] = max(0, score.get((i - 1, j - 1), 0) + (2 if x == y else -1), score.get((i - 1, j), 0) - 1, score.get((i, j - 1), 0) - 1)
+                runs[i, j] = runs.get((i - 1, j - 1), 0) + 1 if x == y else 0
+                best, longest = max(best, score[i, j]), max(longest, runs[i, j])
+        return best, longest
+
+    monkeypatch.setattr(leaks, "CHUNK_CELLS", 300)
+    r = random.Random(1)
+    make = lambda n: [np.array([r.randrange(5) for _ in range(r.randrange(1, n))]) for _ in range(80)]
+    a, b = make(40), make(20)
+    scores, runs = leaks.align_many(a, b)
+    assert [(int(s), int(k)) for s, k in zip(scores, runs)] == [plain(list(x), list(y)) for x, y in zip(a, b)]
