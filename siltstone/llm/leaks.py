@@ -8,8 +8,20 @@ Rare n-gram seeds join passages to items, then Smith-Waterman alignment scores t
    ``WINDOW`` words of an item the rarest n-gram is a seed. A passage that shares ``WINDOW`` consecutive words
    with an item thus always holds a seed of it, however common its n-grams are: nothing is cut off.
 3. A stretch is aligned with an item if it holds one of the item's seeds: Smith-Waterman over words
-   (match 2, mismatch -1, gap -1), which also finds edited copies. The same sweep yields the longest run of
-   consecutive words in common, the exact check.
+   (match 2, mismatch -1, gap -1). The same sweep yields the longest run of consecutive words in common, the
+   exact check.
+
+Seeds find runs, not every edited copy: a copy with a changed word in every five shares no n-gram with its
+item. ``edited`` asks for every pair with an alignment worth ``WINDOW`` matches and half of the item words it
+covers, runs included, and takes another way, which needs no n-gram at all:
+
+1. Such an alignment can be cut until it is worth 24 to 48, still half of what it covers: if it is worth more,
+   one of two parts worth 24 or more is. It then covers P <= ``PART`` item words with m matches and e errors,
+   e <= m, so it lies in 2 ``PART`` words of the document; and as each error ends one run of matches, its
+   matches and pairs of consecutive matches are m + (m - e - 1) = score - 1 at least.
+2. So a document is cut into windows that overlap by 2 ``PART`` words, and a window is aligned with an item if
+   some P item words, counted once if the word is in the window and again if it is there with the next one,
+   come to max(24, P) - 1 or more. No pair is missed. The work is words of documents times words of items.
 
 The items are a query set against all documents. Their n-grams are broadcast, since the set is fixed and
 measured (``MAX_ITEM_WORDS``); a larger set must be passed in blocks.
@@ -35,6 +47,7 @@ from siltstone.workers import with_code
 
 N = 5
 WINDOW = 12
+PART = 48
 MAX_ITEM_WORDS = 2_000_000
 WORDS = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -187,30 +200,124 @@ def aligned(items: dict[int, list[str]], by_seed: dict[int, list[int]]):
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+class Near:
+    """Items with which a window of a document may have an alignment worth 24 and half of the item words it covers."""
+
+    def __init__(self, items: dict[int, list[str]]):
+        self.numbers: dict[str, int] = {}
+        for ws in items.values():
+            for w in ws:
+                self.numbers.setdefault(w, len(self.numbers))
+        self.coded = {i: np.array([self.numbers[w] for w in ws], np.int64) for i, ws in items.items()}
+        # All items in a row, an end mark after each; a place is its word, or its word and the next.
+        self.ids = [i for i, c in self.coded.items() if len(c) >= WINDOW]
+        mark = len(self.numbers)
+        self.flat = np.concatenate([np.empty(0, np.int64), *(np.append(self.coded[i], mark) for i in self.ids)])
+        self.owner = np.repeat(np.arange(len(self.ids)), [len(self.coded[i]) + 1 for i in self.ids])
+        self.ends = np.flatnonzero(self.flat == mark)
+        self.pairs, self.pair_at = np.unique(self._pairs(self.flat), return_inverse=True)
+        self.word_in, self.pair_in = np.zeros(mark + 1, bool), np.zeros(len(self.pairs) + 1, bool)
+
+    def _pairs(self, codes: np.ndarray) -> np.ndarray:
+        return codes[:-1] * (len(self.numbers) + 1) + codes[1:]
+
+    def code(self, ws: list[str]) -> np.ndarray:
+        return np.fromiter((self.numbers.get(w, -1) for w in ws), np.int64, len(ws))
+
+    def of(self, window: np.ndarray) -> list[int]:
+        """The items, by number."""
+        known = window[window >= 0]
+        if not self.ids or not len(known):
+            return []
+        pairs = self._pairs(window)[(window[:-1] >= 0) & (window[1:] >= 0)]
+        found = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        found = found[self.pairs[found] == pairs]
+        self.word_in[known], self.pair_in[found] = True, True
+        worth = self.word_in[self.flat].astype(np.int32)
+        # A pair counts at its second word, so some item words in a row count all pairs between them.
+        worth[1:] += self.pair_in[self.pair_at]
+        self.word_in[known], self.pair_in[found] = False, False
+        least = MATCH * WINDOW - 1
+        # Most items don't come to the least anywhere; ends are left out of account here, which only adds some.
+        total = np.cumsum(np.concatenate([[0], worth, np.zeros(PART, np.int32)]))
+        begins = np.flatnonzero(total[PART:] - total[:-PART] >= least)
+        if not len(begins):
+            return []
+        likely = np.zeros(len(self.ids), bool)
+        likely[self.owner[np.minimum(begins, len(worth) - 1)]] = True
+        places = np.flatnonzero(likely[self.owner])
+        worth[self.ends] = -4 * PART
+        owner, total = self.owner[places], np.concatenate([[0], np.cumsum(worth[places])])
+        out: set[int] = set()
+        for p in range(WINDOW, min(PART, len(places)) + 1):
+            at = np.flatnonzero(total[p:] - total[:-p] >= max(least, p - 1))
+            out.update(owner[at].tolist())
+        return [self.ids[k] for k in sorted(out)]
+
+
+def near_pairs(items: dict[int, list[str]]):
+    """mapInArrow function: (doc_id, text) to (doc_id, item_id, score, run) of every pair that may be near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Near(items)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            stretches: list[np.ndarray] = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                codes = near.code(words(text))
+                reach: dict[int, list[list[int]]] = {}
+                for a in range(0, max(1, len(codes) - 2 * PART), 2 * PART):
+                    for i in near.of(codes[a : a + 4 * PART]):
+                        # A better alignment of the pair reaches no further than twice the item.
+                        lo, hi = max(0, a - 2 * len(near.coded[i])), a + 4 * PART + 2 * len(near.coded[i])
+                        spans = reach.setdefault(i, [])
+                        if spans and lo <= spans[-1][1]:
+                            spans[-1][1] = hi
+                        else:
+                            spans.append([lo, hi])
+                for i, spans in reach.items():
+                    found += [(doc, i)] * len(spans)
+                    stretches += [codes[lo:hi] for lo, hi in spans]
+            if found:
+                scores, runs = align_many(stretches, [near.coded[i] for _, i in found])
+                docs, pairs = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pairs, pa.int64()), pa.array(scores), pa.array(runs)], names=["doc_id", "item_id", "score", "run"])
+
+    return run
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, edited: bool = False) -> DataFrame:
     """doc_id, item_id, score, run, share: the best alignment of every document with every item it holds a seed of.
 
     ``docs`` and ``items`` have doc_id or item_id, and text. ``score`` is the Smith-Waterman score, ``run``
     the longest run of consecutive words in common, ``share`` the score against that of the whole item.
+    ``edited``: of every pair with an alignment worth ``WINDOW`` matches and half of the item words it covers.
     """
     listed = {r["item_id"]: words(r["text"]) for r in items.select("item_id", "text").where("item_id is not null").toLocalIterator()}
     size = sum(map(len, listed.values()))
     if size > MAX_ITEM_WORDS:
         raise ValueError(f"{size} words of items; pass at most {MAX_ITEM_WORDS} at a time")
+    full = docs.sparkSession.createDataFrame([(i, MATCH * len(ws)) for i, ws in listed.items()], "item_id long, full int")
+    texts = with_code(docs).select(F.col("doc_id").cast("long"), "text").where("text is not null")
+    if edited:
+        return _best(texts.mapInArrow(near_pairs(listed), "doc_id long, item_id long, score int, run int"), full)
     known = _Hashes()
     grams = np.unique(np.concatenate([np.empty(0, np.uint64), *(gram_hashes(ws, known) for ws in listed.values())]))
     schema = "doc_id long, item_id long, score int, run int, share double"
     if not len(grams):
         return docs.sparkSession.createDataFrame([], schema)
     pad = max(map(len, listed.values())) + WINDOW
-    stretches = stage(with_code(docs).select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(find_stretches(grams, pad), STRETCHES), "stretches")
+    stretches = stage(texts.mapInArrow(find_stretches(grams, pad), STRETCHES), "stretches")
     counts = stretches.select("doc_id", F.explode(F.array_distinct("grams")).alias("g")).distinct().groupBy("g").count()
     frequency = {r["g"]: r["count"] for r in counts.toLocalIterator()}  # at most one row per item n-gram
     by_seed: dict[int, list[int]] = {}
     for item, gs in seeds(listed, frequency).items():
         for g in gs:
             by_seed.setdefault(g, []).append(item)
-    full = docs.sparkSession.createDataFrame([(i, MATCH * len(ws)) for i, ws in listed.items()], "item_id long, full int")
     pairs = stretches.repartition(F.xxhash64("doc_id", "start")).mapInArrow(aligned(listed, by_seed), "doc_id long, item_id long, score int, run int")
+    return _best(pairs, full)
+
+
+def _best(pairs: DataFrame, full: DataFrame) -> DataFrame:
     best = pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"))
     return best.join(F.broadcast(full), "item_id").select("doc_id", "item_id", "score", "run", (F.col("score") / F.col("full")).alias("share"))

@@ -35,7 +35,7 @@ def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
     Either 12 consecutive words, or an alignment worth 12 matches and half of the whole item.
     """
-    pairs = leaks.find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item").select("item_id", "text"))
+    pairs = leaks.find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item").select("item_id", "text"), edited=True)
     return pairs.where(f"(share >= 0.5 and score >= {leaks.MATCH * leaks.WINDOW}) or run >= {leaks.WINDOW}")
 
 

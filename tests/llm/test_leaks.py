@@ -53,6 +53,34 @@ def test_edited_copy_scores_high(spark):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)] and got[0]["share"] > 0.6 and got[0]["run"] < 12
 
 
+def test_edited_copies_beside_whole_ones(spark):
+    """All pairs aligned: copies with a word in every five or so changed, added or dropped, beside whole copies."""
+    import numpy as np
+
+    r = random.Random(2)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i, [r.choice(vocabulary) for _ in range(r.choice([12, 14, 25, 60, 110]))]) for i in range(12)]
+    docs = [(i, ["a", *ws, "b"]) for i, ws in items for _ in range(3)]
+    for _ in range(150):
+        ws, every, kind, out = r.choice(items)[1], r.choice([2, 3, 4, 5, 6, 8, 12]), r.randrange(4), []
+        for k, w in enumerate(ws):
+            last = k % every == every - 1
+            out += [w, "new"] if last and kind == 1 else [] if last and kind == 2 else ["new"] if last and (kind == 0 or r.random() < 0.5) else [w]
+        around = [r.choice(vocabulary) for _ in range(r.choice([0, 50, 250]))]
+        docs.append((0, around + out + around[:90]))
+    docs = [(d, ws) for d, (_, ws) in enumerate(docs)]
+    number = {w: k for k, w in enumerate([*vocabulary, "new", "a", "b"])}
+    code = lambda ws: np.array([number[w] for w in ws], np.int32)
+    pairs = [(d, i, code(x), code(y)) for d, x in docs for i, y in items]
+    scores, runs = leaks.align_many([x for _, _, x, _ in pairs], [y for _, _, _, y in pairs])
+    want = {(d, i, int(s), int(n)) for (d, i, _, y), s, n in zip(pairs, scores, runs) if s >= max(24, len(y)) or n >= 12}
+    df = spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs], "doc_id long, text string")
+    it = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    got = leaks.find_leaks(df, it, edited=True).where("share >= 0.5 and score >= 24 or run >= 12").collect()
+    assert len(want) > 120 and {(x["doc_id"], x["item_id"], x["score"], x["run"]) for x in got} == want and len(got) == len(want)
+    assert leaks.find_leaks(df, it.where("item_id < 0"), edited=True).collect() == leaks.find_leaks(df.where("false"), it, edited=True).collect() == []
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
