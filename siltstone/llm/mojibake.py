@@ -5,8 +5,9 @@
    character becomes when the bytes of one legacy encoding are read in another.
 2. A multi-pattern automaton finds them. Texts without a match end here.
 3. A match counts only if undoing it makes the place more usual. How usual a character is between its two
-   neighbours is learnt from the whole corpus (document frequencies of character triples, bounded by the
-   alphabets), each document left out of its own evidence. A sequence that was written on purpose, to show
+   neighbours is learnt from the whole corpus (frequencies of character triples over different texts, bounded by
+   the alphabets), each text left out of its own evidence. Texts that look garbled throughout say nothing about
+   what is usual, else a source that was decoded wrongly would vouch for itself. A sequence that was written on purpose, to show
    what garbling looks like, becomes no more usual when undone and stays.
 4. Only the matched spans (for one-byte pairs: the words around them) are replaced, for the encoding pair that
    explains most, then for the next, so mixed and correct text is untouched.
@@ -55,6 +56,10 @@ ELIDED = re.compile(r"[a-zà-ÿ]’(s|t|ve|re|ll|d|m)\b|\b([ldncsjmt]|qu|un|(d|n
 STRAY = set("¸˙‡ˆ‰˘¯˛¨¦¬ƒ∂∆∏∑∫◊ﬁﬂ\uf8ff≈⁄¤¹³¾¼¶")
 #: Signs that may stand between letters.
 JOINERS = set("’‘'-–—…′″°·/“”„«»|│×")
+#: Letters in a row that no Latin orthography has in a row; Cyrillic read as Latin does.
+FOREIGN = re.compile(r"[À-ÖØ-öø-ÿ]{4,}")
+#: A Cyrillic word with its cases swapped; KOI8-R has them the other way round.
+SWAPPED = re.compile(r"\b[а-яё][А-ЯЁ]{3,}\b")
 COMMON = 10  # documents in which a triple must occur to be garbled into a pattern
 
 
@@ -106,18 +111,63 @@ def _class(c: str) -> str:
     return "l" if c.islower() else "U" if c.isupper() else "a" if c.isalpha() else "q" if c in QUOTES else "."
 
 
+@lru_cache
+def _finder() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for s, readings in sequences().items():
+        found.add_word(s, (len(s), readings))
+    found.make_automaton()
+    return found
+
+
+HELD = "\0"
+
+
+def evidence(text: str) -> set[str]:
+    """The triples of a text that may tell what is usual; ``HELD``, a triple and characters: what they may come from.
+
+    None of a text in which an author's spelling is out of the question at a quarter of the places, as most one-byte
+    pairs make it, or a word has its cases swapped; none around the sequences of a reading that explains half of what isn't ASCII, as UTF-8 bytes do.
+    """
+    at = [m.start() for m in NON_ASCII.finditer(text)]
+    t = f" {text} "
+    foreign = {m.start() + k for m in FOREIGN.finditer(text) for k in range(len(m[0]))}
+    if sum(i in foreign or _odd(t[i], t[i + 1], t[i + 2]) for i in at) * 4 >= len(at) or SWAPPED.search(text):
+        return set()
+    explained: dict[str, dict[int, str]] = {}
+    for end, (size, readings) in _finder().iter(text):
+        for r, c in readings.items():
+            explained.setdefault(r, {}).update((i, c) for i in range(end - size + 1, end + 1) if text[i] > "\x7f")
+    held: dict[int, set[str]] = {}
+    for places in explained.values():
+        if len(places) * 2 >= len(at):
+            for i, c in places.items():
+                held.setdefault(i, set()).add(c)
+    return {HELD * (i in held) + _near(t[i]) + t[i + 1] + _near(t[i + 2]) + "".join(sorted(held.get(i, ()))) for i in at if t[i + 1] in TOLD}
+
+
+def settle(counts: dict[str, int]) -> dict[str, int]:
+    """Counts of triples; what was held back counts after all where no text has any character that it may come from."""
+    out = Counter({t: n for t, n in counts.items() if t[0] != HELD})
+    known = {t[1] for t in out}
+    for t, n in counts.items():
+        if t[0] == HELD and known.isdisjoint(t[4:]):
+            out[t[1:4]] += n
+    return dict(out)
+
+
 def triples(text: str) -> list[str]:
     t = f" {text} "
     return [_near(t[i]) + t[i + 1] + _near(t[i + 2]) for i in (m.start() for m in NON_ASCII.finditer(text)) if t[i + 1] in TOLD]
 
 
 def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: (text) to (triple, n documents)."""
+    """mapInArrow function: (text) to (triple, n texts)."""
     for batch in batches:
         counts: Counter[str] = Counter()
         for text in batch.column("text").to_pylist():
             if text and not text.isascii():
-                counts.update(set(triples(text)))
+                counts.update(evidence(text))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["triple", "n"])
 
 
@@ -177,6 +227,7 @@ class Mender:
 
     def __init__(self, counts: dict[str, int], patterns: dict[str, int] | None = None):
         self.usage = Usage(counts)
+        self.known = {t[1] for t in counts}
         self.readings = sequences()
         self.found = ahocorasick.Automaton()
         for s in self.readings:
@@ -289,12 +340,13 @@ class Mender:
                 else:
                     pairs |= value
             spans = self._mend_sequences(now, us) if us else []
-            if not spans:
+            if not any(x[2] in self.known for x in spans):
+                # Characters that no text has give way to what a pair of one-byte encodings explains.
                 # A spelling that can't be an author's is looked into even where the corpus is too small to tell.
                 if any(_odd(*t) for t in triples(now)):
                     pairs = (1 << len(PAIRS)) - 1
                 if pairs:
-                    spans = self._mend_words(now, {p for p in range(len(PAIRS)) if pairs >> p & 1})
+                    spans = self._mend_words(now, {p for p in range(len(PAIRS)) if pairs >> p & 1}) or spans
             if not spans:
                 break
             garbled, parts, at = True, [], 0
@@ -331,9 +383,13 @@ def mend_texts(learnt):
 
 
 def corpus_triples(docs: DataFrame) -> dict[str, int]:
-    """Document frequency of every triple around a character of ``TOLD``: so many characters, so many triples at most."""
-    counts = with_code(docs).select("text").where("text is not null").mapInArrow(count_triples, "triple string, n long").groupBy("triple").agg(F.sum("n").alias("n"))
-    return {r["triple"]: r["n"] for r in counts.toLocalIterator()}
+    """Number of different texts that vouch for each triple around a character of ``TOLD``: so many characters, so many triples at most.
+
+    Rows with equal texts count once, so a boilerplate text is one text.
+    """
+    some = docs.select("text").where(r"text rlike '[^\\x00-\\x7f]'")
+    counts = with_code(some).dropDuplicates(["text"]).mapInArrow(count_triples, "triple string, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+    return settle({r["triple"]: r["n"] for r in counts.toLocalIterator()})
 
 
 def find_garbled(docs: DataFrame) -> DataFrame:

@@ -85,3 +85,16 @@ def test_other_scripts_are_one_letter():
 
 def test_other_scripts_stay(mender):
     assert mender.mend("漢字とかな、한국어, ไทย, العربية " * 50) == (False, None)
+
+
+@pytest.mark.parametrize("true,read,text", [("utf-8", "cp1252", CLEAN[0]), ("utf-8", "cp1251", CLEAN[5]), ("utf-8", "mac_roman", CLEAN[4]), ("cp1250", "cp1252", CLEAN[4]), ("cp1251", "cp1252", CLEAN[5]), ("koi8-r", "cp1251", CLEAN[5])])
+@pytest.mark.parametrize("varied", [False, True])
+def test_a_third_of_the_rows_garbled_alike(spark, true, read, text, varied):
+    """One garbled text under many ids, or a source decoded wrongly, several times as frequent as the right spelling."""
+    table = mojibake._bytes_to_chars(read)
+    right = corpus(12)
+    garbled = "".join(chr(b) if b < 128 else table[b] for b in text.encode(true))
+    bad = [garbled + f" {k}" * varied for k in range(len(right) // 2)]
+    rows = [(i, t) for i, (t, _) in enumerate(right)] + [(1000 + i, t) for i, t in enumerate(bad)]
+    got = {x["doc_id"] for x in mojibake.find_garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1000 + i for i in range(len(bad))}
