@@ -263,7 +263,17 @@ SELECT doc_id, term, count(*) AS n, min(pos) - 1 AS first FROM (
   SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents WHERE source = 'wiki/main') AS d) AS e
 GROUP BY doc_id, term""")
 def term_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("source = 'wiki/main'").select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    return _frequencies(table(spark, sf, "documents").where("source = 'wiki/main'"))
+
+
+@query()
+def term_frequency_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Term counts of every document; ``term_frequency`` are those of one source, which its SQL can make."""
+    return _frequencies(table(spark, sf, "documents"))
+
+
+def _frequencies(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
     return docs.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").cast("bigint").alias("first"))
 
 

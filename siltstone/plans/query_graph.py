@@ -449,7 +449,16 @@ def index_or_not(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, term, array_to_string(list(pos - 1 ORDER BY pos), ',') AS offsets FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents WHERE lang = 'pl') AS d) AS e GROUP BY doc_id, term")
 def term_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("lang = 'pl'")
+    return _offsets(table(spark, sf, "documents").where("lang = 'pl'"))
+
+
+@query()
+def term_offsets_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings with positions of every document; ``term_offsets`` are those of one language, which its SQL can make."""
+    return _offsets(table(spark, sf, "documents"))
+
+
+def _offsets(docs: DataFrame) -> DataFrame:
     once = indexsearch.terms(docs, ["doc_id"], tokens(F.col("text")), "TEXT")
     return indexsearch.merge_offsets(once.unionByName(once), ["doc_id"]).select("doc_id", "term", F.array_join(F.col("offsets").cast("array<string>"), ",").alias("offsets"))
 
