@@ -35,15 +35,15 @@ def timed_values(spark: SparkSession, sf: str) -> DataFrame:
     """metric, query_type, day, value: measured setup times of queries and return times of their pages.
 
     A query counts once, in its current version; a page (query, number) once, in its latest request. Pages
-    whose query isn't known keep null type and day.
+    whose query isn't known keep null type and day; of those without a query every distinct row counts.
     """
     queries = current_queries(spark, sf).select("query_id", "query_type", _day("create_date").alias("day"), "setup_time")
     setup = queries.where("setup_time >= 0").select(F.lit("setup_time").alias("metric"), "query_type", "day", F.col("setup_time").alias("value"))
-    pages = table(spark, sf, "page_metric").select("query_id", "page_number", "page_requested", "return_time")
-    pages = pages.groupBy("query_id", "page_number").agg(F.max(F.struct("page_requested", "return_time")).alias("p")).select("query_id", F.col("p.return_time").alias("value")).where("value >= 0")
+    rows = table(spark, sf, "page_metric")
+    pages = rows.where("query_id is not null").groupBy("query_id", "page_number").agg(F.max(F.struct("page_requested", "return_time")).alias("p")).select("query_id", F.col("p.return_time").alias("value")).where("value >= 0")
     page = lambda df: df.select(F.lit("return_time").alias("metric"), "query_type", "day", "value")
-    known = pages.where("query_id is not null").join(queries.where("query_id is not null").select("query_id", "query_type", "day"), "query_id", "left")
-    orphans = pages.where("query_id is null").select("value", F.lit(None).cast("string").alias("query_type"), F.lit(None).cast("date").alias("day"))
+    known = pages.join(queries.where("query_id is not null").select("query_id", "query_type", "day"), "query_id", "left")
+    orphans = rows.where("query_id is null").distinct().where("return_time >= 0").select(F.col("return_time").alias("value"), F.lit(None).cast("string").alias("query_type"), F.lit(None).cast("date").alias("day"))
     return setup.unionByName(page(known)).unionByName(page(orphans))
 
 
