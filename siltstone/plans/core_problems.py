@@ -79,9 +79,14 @@ def current_queries(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("query_id", "r.*").unionByName(m.where("query_id is null").select("query_id", "query_user", "query_type", "create_date", "setup_time", "num_results"))
 
 
+MOST_TYPES = 5000
+
+
 def p7_features(spark: SparkSession, sf: str) -> DataFrame:
     queries = stage(current_queries(spark, sf), "current-queries")
-    types = sorted({r[0] for r in table(spark, sf, "query_kind").select("query_type").distinct().limit(5000).collect() if r[0] is not None})
+    types = sorted(r[0] for r in table(spark, sf, "query_kind").select("query_type").where("query_type is not null").distinct().limit(MOST_TYPES + 1).collect())
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} types of queries")
     as_of = queries.agg(F.max("create_date")).first()[0]
     return feature_table(queries, clean_user(F.col("query_user")), "query_type", "create_date", "num_results", "query_id", types, as_of).withColumnRenamed("entity", "query_user")
 

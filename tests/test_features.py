@@ -4,7 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from siltstone.operators import features
+from siltstone.plans import core_problems
 
 SCHEMA = "u string, t string, at long, amount long, id string, salt int, n long, entity string"
 
@@ -37,3 +40,10 @@ def test_empty(spark):
     assert features.feature_table(df, F.col("u"), "t", "at", "amount", "id", ["X"], None).collect() == []
     one = spark.createDataFrame([("a", None, None, None, None, 1, 2, "z")], SCHEMA)
     assert [tuple(x) for x in features.feature_table(one, F.col("u"), "t", "at", "amount", "id", [], None).collect()] == [("a", 1, None, 0)]
+
+
+def test_too_many_types_are_an_error(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/query_metric.parquet").write.parquet(str(tmp_path / "query_metric.parquet"))
+    spark.range(5001).selectExpr("concat('t', id) AS query_type").write.parquet(str(tmp_path / "query_kind.parquet"))
+    with pytest.raises(ValueError, match="5000 types"):
+        core_problems.p7_features(spark, str(tmp_path))
