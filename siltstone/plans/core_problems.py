@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.changefeed import ChangeStore
-from siltstone.operators.features import feature_table
+from siltstone.operators.features import feature_cells, feature_table
 from siltstone.operators.sessions import SessionStore, arrival_batches, clean_user
 from siltstone.operators.skew import key_totals
 from siltstone.sources.tables import table
@@ -82,13 +82,22 @@ def current_queries(spark: SparkSession, sf: str) -> DataFrame:
 MOST_TYPES = 5000
 
 
+def _as_of(queries: DataFrame) -> int | None:
+    return queries.agg(F.max("create_date")).first()[0]
+
+
+def p7_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The features in long form: number of queries, time since the last and number of results per user and type."""
+    queries = stage(current_queries(spark, sf), "current-queries")
+    return feature_cells(queries, clean_user(F.col("query_user")), "query_type", "create_date", "num_results", "query_id", _as_of(queries)).withColumnsRenamed({"entity": "query_user", "kind": "query_type"})
+
+
 def p7_features(spark: SparkSession, sf: str) -> DataFrame:
     queries = stage(current_queries(spark, sf), "current-queries")
     types = sorted(r[0] for r in table(spark, sf, "query_kind").select("query_type").where("query_type is not null").distinct().limit(MOST_TYPES + 1).collect())
     if len(types) > MOST_TYPES:
         raise ValueError(f"more than {MOST_TYPES} types of queries")
-    as_of = queries.agg(F.max("create_date")).first()[0]
-    return feature_table(queries, clean_user(F.col("query_user")), "query_type", "create_date", "num_results", "query_id", types, as_of).withColumnRenamed("entity", "query_user")
+    return feature_table(queries, clean_user(F.col("query_user")), "query_type", "create_date", "num_results", "query_id", types, _as_of(queries)).withColumnRenamed("entity", "query_user")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_entries": p2_entries,
     "p6_found": p6_found,
     "p6_terms": p6_terms,
+    "p7_cells": p7_cells,
     "p7_features": p7_features,
 }
 
@@ -105,6 +115,12 @@ _CURRENT = """
 WITH q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY num_updates DESC, last_updated DESC, num_results DESC) AS rn FROM query_metric) AS v WHERE rn = 1)
 """
 
+# The types of query_kind are these pairs.
+_TYPES = [a + b for a in "Event Edge Discovery Facet Count Content Term Lookup Index Hit Graph Shape".split() for b in "Query Scan Stream Batch Preview Export Sample Audit Probe Replay Digest Watch Trace Merge Page Window Rollup Match Range Summary".split()]
+_WIDE = ", ".join(
+    f"count(*) FILTER (k = '{t}') AS n_{t}, (SELECT as_of FROM m) - max(t) FILTER (k = '{t}') AS ago_ms_{t}, CAST(coalesce(sum(r) FILTER (k = '{t}'), 0) AS BIGINT) AS total_{t}" for t in _TYPES
+)
+
 ORACLES: dict[str, str] = {
     "p1_found": """
 WITH q AS (
@@ -143,14 +159,12 @@ WITH f AS (SELECT fragment_id, min(field_name) AS field_name, min(norm_value) AS
 u AS (SELECT field_name, norm_value, count(DISTINCT uid) AS n_uids FROM (SELECT field_name, norm_value, unnest(uid_list) AS uid FROM term_index) AS x GROUP BY field_name, norm_value)
 SELECT f.field_name, f.norm_value, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) AS n_fragments, CAST(sum(uid_count) AS BIGINT) AS uid_count, coalesce(max(u.n_uids), 0) AS n_uids
 FROM f LEFT JOIN u ON f.field_name = u.field_name AND f.norm_value = u.norm_value GROUP BY f.field_name, f.norm_value""",
-    "p7_features": _CURRENT + """,
+    "p7_cells": _CURRENT + """,
+g AS (SELECT lower(trim(query_user)) AS query_user, query_type, count(*) AS n, max(create_date) AS last, sum(coalesce(num_results, 0)) AS total FROM q WHERE trim(query_user) <> '' GROUP BY 1, 2)
+SELECT query_user, query_type, n, (SELECT max(create_date) FROM q) - last AS ago_ms, CAST(total AS BIGINT) AS total FROM g""",
+    "p7_features": _CURRENT + f""",
 m AS (SELECT max(create_date) AS as_of FROM q),
-g AS (SELECT lower(trim(query_user)) AS query_user, query_type, count(*) AS n, max(create_date) AS last, sum(coalesce(num_results, 0)) AS total FROM q WHERE trim(query_user) <> '' GROUP BY 1, 2),
-a AS (SELECT query_user, CAST(sum(n) AS BIGINT) AS n_all, (SELECT as_of FROM m) - max(last) AS ago_ms_all, CAST(sum(total) AS BIGINT) AS total_all FROM g GROUP BY query_user),
-x AS (SELECT a.query_user, n_all, ago_ms_all, total_all, k.query_type, coalesce(g.n, 0) AS n, (SELECT as_of FROM m) - g.last AS ago, CAST(coalesce(g.total, 0) AS BIGINT) AS total
-  FROM a CROSS JOIN (SELECT DISTINCT query_type FROM query_kind WHERE query_type IS NOT NULL) AS k LEFT JOIN g ON g.query_user = a.query_user AND g.query_type = k.query_type),
-y AS (SELECT query_user, n_all, ago_ms_all, total_all, 'n_' || query_type AS c, n AS v FROM x
-  UNION ALL SELECT query_user, n_all, ago_ms_all, total_all, 'ago_ms_' || query_type, ago FROM x
-  UNION ALL SELECT query_user, n_all, ago_ms_all, total_all, 'total_' || query_type, total FROM x)
-SELECT * FROM (PIVOT y ON c USING max(v) GROUP BY query_user, n_all, ago_ms_all, total_all) AS p""",
+u AS (SELECT lower(trim(query_user)) AS query_user, query_type AS k, create_date AS t, coalesce(num_results, 0) AS r FROM q WHERE trim(query_user) <> '')
+SELECT query_user, count(*) AS n_all, (SELECT as_of FROM m) - max(t) AS ago_ms_all, CAST(sum(r) AS BIGINT) AS total_all,
+{_WIDE} FROM u GROUP BY query_user""",
 }
