@@ -12,8 +12,8 @@ events a user has.
 
 Defined results: events without user (null, or blanks only) or time are left out. Users are compared
 trimmed and lower-cased. Rows with one id are one event; should they disagree, the earliest (time, user)
-holds; an id that an earlier batch stored, at a time within the span of the present one, keeps what that
-batch said. Rows without id are one event per (user, time). A negative or huge time is a time like any other. An empty batch changes nothing.
+holds; an id that an earlier batch stored, at a time in a period of the present one, keeps what that batch
+said (an event's time stays the same, so an id that comes again does so in its period). Rows without id are one event per (user, time). A negative or huge time is a time like any other. An empty batch changes nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from siltstone.storage import SnapshotStore, children, fresh_path
 
 GAP_MS = 1_800_000
 PERIOD_MS = 28 * 86_400_000
+FOLDERS = 8
 
 EVENTS = T.StructType([T.StructField("user", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("id", T.StringType())])
 SESSIONS = T.StructType(
@@ -59,10 +60,16 @@ def merge_sessions(rows: DataFrame, gap_ms: int) -> DataFrame:
 
 
 class SessionStore:
-    """Sessions under ``path``; see the module for what they are."""
+    """Sessions under ``path``; see the module for what they are.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, gap_ms: int = GAP_MS, period_ms: int = PERIOD_MS):
-        self.spark, self.gap, self.period = spark, gap_ms, period_ms
+    Both event ids and sessions lie in periods of ``period_ms``, ids by the time of their event and sessions by
+    their end, sessions moreover in ``buckets`` of users. A batch reads and replaces only the (period, bucket)
+    pairs that its own slots, widened by the gap, can touch: a single late or wrong time adds its own period and
+    no other. Ids of a period are appended, and rewritten as one folder whenever ``FOLDERS`` have come together.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, gap_ms: int = GAP_MS, period_ms: int = PERIOD_MS, buckets: int = 1):
+        self.spark, self.gap, self.period, self.buckets = spark, gap_ms, period_ms, buckets
         self.store = SnapshotStore(spark, path or fresh_path(spark, "sessions"))
 
     def apply(self, batch: DataFrame, user: str, ts: str, event_id: str) -> None:
@@ -75,46 +82,68 @@ class SessionStore:
             events.select(F.struct("ts", "user").alias("e"), key.alias("id"))
             .groupBy("id").agg(F.min("e").alias("e"))
             .select(F.col("e.user").alias("user"), F.col("e.ts").alias("ts"), "id")
+            .withColumn("part", slot_of("ts", self.period))
         )
-        known = self._known(batch, ts)
-        if known is not None:
-            events = events.join(known, "id", "left_anti")
-        folder = self.store.next_dir("events")
-        events.select("user", "ts", "id").write.parquet(folder)
-        new = self.spark.read.schema(EVENTS).parquet(folder)
-        lo, hi = new.agg(F.min("ts"), F.max("ts")).first()
-        if lo is None:
+        touched = self._write(events, "staged")
+        known = {k: p for k, p in self.store.parts("events").items() if k.partition("@")[0] in touched}
+        if known:
+            ids = self.store.read("events", EVENTS, list(known)).select("id")
+            whole = self.spark.read.schema(EVENTS).parquet(*touched.values())
+            fresh = self._write(whole.join(ids, "id", "left_anti").withColumn("part", slot_of("ts", self.period)), "events")
+        else:
+            fresh = touched
+        if not fresh:
             return
+        new = self.spark.read.schema(EVENTS).parquet(*fresh.values())
         slots = (
             new.groupBy("user", slot_of("ts", self.gap).alias("slot"))
             .agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
             .drop("slot")
         )
         have = self.store.parts("sessions")
-        near = [k for k, p in have.items() if p["lo"] <= hi + self.gap and p["hi"] >= lo - self.gap]
+        near = self._near(fresh, have)
         if near:
             slots = merge_sessions(slots, self.gap).unionByName(self.store.read("sessions", SESSIONS, near))
-        merged = merge_sessions(slots, self.gap).withColumn("part", slot_of("end", self.period))
+        merged = merge_sessions(slots, self.gap).withColumns({"part": slot_of("end", self.period), "bucket": self._bucket()})
         out = self.store.next_dir("sessions")
-        merged.hint("rebalance", "part").write.partitionBy("part").parquet(out)
-        dirs = {name.partition("=")[2]: f"{out}/{name}" for name in children(self.spark, out) if name.startswith("part=")}
-        # One row per period of time: the number of periods is bounded by the covered time.
-        stats = self.spark.read.parquet(out).groupBy("part").agg(F.min("start").alias("lo"), F.max("end").alias("hi")).collect()
-        fresh = {f"{r['part']}": {"dir": dirs[str(r["part"])], "lo": r["lo"], "hi": r["hi"]} for r in stats}
-        # A period that was not near keeps its folder; fresh rows of such a period go beside it.
+        merged.hint("rebalance", "part", "bucket").write.partitionBy("part", "bucket").parquet(out)
+        # One row per pair: their number is bounded by the covered time and the number of buckets.
+        stats = self.spark.read.parquet(out).groupBy("part", "bucket").agg(F.min("start").alias("lo"), F.max("end").alias("hi")).collect()
+        v = self.store.version + 1
         parts = {k: p for k, p in have.items() if k not in near}
-        for k, p in fresh.items():
-            parts[k if k not in parts else f"{k}+{self.store.version + 1}"] = p
-        self.store.commit({"events": {**self.store.parts("events"), str(self.store.version + 1): {"dir": folder, "lo": lo, "hi": hi}}, "sessions": parts})
-
-    def _known(self, batch: DataFrame, ts: str) -> DataFrame | None:
-        have = self.store.parts("events")
-        if not have:
-            return None
-        lo, hi = batch.agg(F.min(F.col(ts).cast("long")), F.max(F.col(ts).cast("long"))).first()
-        if lo is None:
-            return None
-        return self.store.read("events", EVENTS, [k for k, p in have.items() if p["lo"] <= hi and p["hi"] >= lo]).select("id")
+        parts |= {f"{r['part']}/{r['bucket']}@{v}": {"dir": f"{out}/part={r['part']}/bucket={r['bucket']}", "lo": r["lo"], "hi": r["hi"]} for r in stats}
+        self.store.commit({"events": self._ids(fresh, v), "sessions": parts})
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("user"), F.lit(self.buckets)).cast("int")
+
+    def _write(self, df: DataFrame, component: str) -> dict[str, str]:
+        """{period: folder} of the rows of ``df``, which has their period as ``part``."""
+        folder = self.store.next_dir(component)
+        df.select("user", "ts", "id", "part").write.partitionBy("part").parquet(folder)
+        return {name.partition("=")[2]: f"{folder}/{name}" for name in children(self.spark, folder) if name.startswith("part=")}
+
+    def _near(self, fresh: dict[str, str], have: dict[str, dict]) -> list[str]:
+        """The stored parts that may hold sessions within the gap of a new event, by period, span and bucket of users."""
+        spans = [(int(k) * self.period - self.gap, (int(k) + 1) * self.period + self.gap) for k in fresh]
+        near = [k for k, p in have.items() if any(p["lo"] <= hi and p["hi"] >= lo for lo, hi in spans)]
+        if not near or self.buckets == 1:
+            return near
+        new = self.spark.read.schema(EVENTS).parquet(*fresh.values())
+        seen = {str(r["bucket"]) for r in new.select(self._bucket().alias("bucket")).distinct().collect()}
+        return [k for k in near if k.partition("@")[0].partition("/")[2] in seen]
+
+    def _ids(self, fresh: dict[str, str], version: int) -> dict[str, dict]:
+        """The folders of ids with those of a batch; a period with many is rewritten as one."""
+        parts = dict(self.store.parts("events")) | {f"{k}@{version}": {"dir": d} for k, d in fresh.items()}
+        of = lambda k: [x for x in parts if x.partition("@")[0] == k]
+        full = [k for k in fresh if len(of(k)) >= FOLDERS]
+        if full:
+            old = [x for k in full for x in of(k)]
+            whole = self.spark.read.schema(EVENTS).parquet(*[parts[x]["dir"] for x in old])
+            one = self._write(whole.withColumn("part", slot_of("ts", self.period)).hint("rebalance", "part"), "events")
+            parts = {k: p for k, p in parts.items() if k not in old} | {f"{k}@{version}": {"dir": d} for k, d in one.items()}
+        return parts
 
     def sessions(self) -> DataFrame:
         """user, start_ms, end_ms, duration_ms, n_events of every session."""

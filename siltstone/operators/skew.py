@@ -7,7 +7,9 @@ that lies wholly inside a partition is finished there; only the first and the la
 go on next door, and just these partial states, two per partition, are shuffled and stitched.
 
 The secondary order makes the figures additive across partitions: equal (key, item) rows have equal sort
-keys, so they never lie in different partitions and each distinct item is counted in exactly one.
+keys, so they never lie in different partitions and each distinct item is counted in exactly one. Rows without
+record id need no such order: their number and weights are added up per key beforehand, which leaves
+a few rows of them per key.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from siltstone.storage import stage
 from siltstone.workers import with_code
 
-RECORD, ITEM, LOOSE = 0, 1, 2  # kinds of rows: a record with id, an item of a list, a record without id
+RECORD, ITEM, LOOSE = 0, 1, 2  # kinds of rows: a record with id, an item of a list, some records without id
 PARTIAL = "k1 string, k2 string, n_rows long, n_records long, total long, n_items long, edge boolean"
 
 
@@ -52,14 +54,14 @@ def run_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         new_key = _changes(batch, ["k1", "k2"], last)
-        kind, weight = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("kind", "weight"))
+        kind, weight, n = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("kind", "weight", "n"))
         new_item = new_key | (kind == LOOSE) | _changes(batch, ["kind", "item"], last)
         last = {n: batch.column(n)[batch.num_rows - 1].as_py() for n in ("k1", "k2", "kind", "item")}
         starts = np.flatnonzero(new_key)
         if not len(starts) or starts[0]:
             starts = np.concatenate([[0], starts])
         record = (kind != ITEM) & new_item
-        sums = np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (kind != ITEM, record, np.where(record, weight, 0), (kind == ITEM) & new_item)], 1)
+        sums = np.stack([np.add.reduceat(x.astype(np.int64), starts) for x in (np.where(kind != ITEM, n, 0), np.where(record, np.where(kind == LOOSE, n, 1), 0), np.where(record, weight, 0), (kind == ITEM) & new_item)], 1)
         keys = list(zip(batch.column("k1").take(pa.array(starts)).to_pylist(), batch.column("k2").take(pa.array(starts)).to_pylist()))
         runs = [[*k, *map(int, s)] for k, s in zip(keys, sums)]
         if carry is not None and not new_key[0]:
@@ -86,22 +88,20 @@ def key_totals(df: DataFrame, key: tuple[str, str], record_id: str, weight: str,
     """
     # Key parts are kept apart from null by a leading sign, which keeps comparing them simple.
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    w = F.coalesce(F.col(weight).cast("long"), F.lit(0))
-    rid = F.col(record_id).cast("string")
-    row = lambda kind, item, w: F.struct(kind.alias("kind"), item.alias("item"), w.alias("weight"))
-    rows = df.select(
+    none, one = F.array().cast("array<string>"), F.lit(1).cast("long")
+    row = lambda kind, item, w: F.struct(F.lit(kind).alias("kind"), item.alias("item"), w.alias("weight"), one.alias("n"))
+    base = df.select(
         part(key[0]).alias("k1"),
         part(key[1]).alias("k2"),
-        F.explode(
-            F.concat(
-                F.array(row(F.when(rid.isNull(), F.lit(LOOSE)).otherwise(F.lit(RECORD)), F.coalesce(rid, F.lit("")), w)),
-                F.transform(
-                    F.array_distinct(F.filter(F.coalesce(F.col(items), F.array().cast("array<string>")), lambda x: x.isNotNull())),
-                    lambda x: row(F.lit(ITEM), x, F.lit(0).cast("long")),
-                ),
-            )
-        ).alias("r"),
-    ).select("k1", "k2", "r.*")
+        F.col(record_id).cast("string").alias("rid"),
+        F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("w"),
+        F.array_distinct(F.filter(F.coalesce(F.col(items), none), lambda x: x.isNotNull())).alias("items"),
+    )
+    record = F.when(F.col("rid").isNotNull(), F.array(row(RECORD, F.col("rid"), F.col("w")))).otherwise(F.array().cast("array<struct<kind:int,item:string,weight:bigint,n:bigint>>"))
+    rows = base.select("k1", "k2", F.explode(F.concat(record, F.transform("items", lambda x: row(ITEM, x, F.lit(0).cast("long"))))).alias("r")).select("k1", "k2", "r.*")
+    # An aggregation that combines map-side; the part that the row's hash gives keeps its result spread, too.
+    loose = base.where("rid is null").groupBy("k1", "k2", F.pmod(F.xxhash64("w", "items"), F.lit(64)).cast("string").alias("item")).agg(F.sum("w").alias("weight"), F.count("*").alias("n"))
+    rows = rows.unionByName(loose.select("k1", "k2", F.lit(LOOSE).alias("kind"), "item", "weight", "n"))
     order = ["k1", "k2", "kind", "item", F.desc("weight")]
     runs = with_code(rows).repartitionByRange(*order[:4]).sortWithinPartitions(*order).mapInArrow(run_totals, PARTIAL)
     runs = stage(runs, "key-runs")

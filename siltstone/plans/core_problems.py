@@ -57,9 +57,9 @@ def p2_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_terms(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "term_index")
+    t = table(spark, sf, "term_index").where("norm_value is not null")
     out = key_totals(t, ("field_name", "norm_value"), "fragment_id", "uid_count", "uid_list")
-    return out.where("k2 is not null").select(
+    return out.select(
         F.col("k1").alias("field_name"), F.col("k2").alias("norm_value"), F.col("n_rows"), F.col("n_records").alias("n_fragments"), F.col("total").alias("uid_count"), F.col("n_items").alias("n_uids")
     )
 

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from siltstone.operators import changefeed
 from siltstone.operators.changefeed import ChangeStore, contiguous
+from siltstone.storage import children
 
 SCHEMA = "e long, s long, adds array<string>, removes array<string>, f boolean, seq string, entry long, flag int"
 
@@ -94,3 +96,27 @@ def test_contiguous(spark, have):
         want += 1
     df = spark.createDataFrame([(9, s) for s in have * 2], "entry long, seq long")
     assert [r["watermark"] for r in contiguous(df, 0).collect()] in ([want], [] if want == 0 else [want])
+
+
+def test_folders_stay_few(spark, monkeypatch):
+    """What a batch reads is level however many there were: old folders are rewritten as one and removed."""
+    monkeypatch.setattr(changefeed, "FOLDERS", 3)
+    store, rows = ChangeStore(spark), []
+    for k in range(1, 8):
+        batch = [(1, k, [f"u{k % 3}", "x"], [f"u{(k + 1) % 3}"], False)] + ([(9, 1, ["y"], None, None)] if k == 1 else [])
+        rows += batch
+        apply(store, spark, batch + rows[:1])
+        assert len(store.store.parts("state")) <= 3 and len(children(spark, f"{store.store.path}/state")) <= 3
+        if k in (2, 3):  # an entry without changes is not written again
+            newest = max(store.store.parts("entries").items(), key=lambda x: int(x[0]))[1]["dir"]
+            assert {r["entry"] for r in spark.read.parquet(newest).collect()} == {1}
+    assert current(store) == brute(rows)
+    assert {(r["entry"], r["watermark"]) for r in store.entries().collect()} == {(1, 7), (9, 1)}
+
+
+def test_text_keys(spark):
+    store = ChangeStore(spark, key="string")
+    df = spark.createDataFrame([("a/b", 1, ["x"], None, None), ("", 1, ["y"], None, None)], "k string, s long, adds array<string>, removes array<string>, f boolean")
+    store.apply(df, "k", "s", "adds", "removes", "f")
+    again = ChangeStore(spark, store.store.path)
+    assert again.key == "string" and current(again) == {("a/b", "x"), ("", "y")}

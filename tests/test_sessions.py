@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from siltstone.operators import sessions
 from siltstone.operators.sessions import SessionStore, arrival_batches
 
 GAP = 1_800_000
@@ -88,11 +89,32 @@ def test_extreme_times_and_long_names(spark):
 def test_old_periods_keep_their_files(spark):
     store = SessionStore(spark, period_ms=GAP * 10)
     store.apply(frame(spark, [("u", 0, "1")]), "who", "at", "id")
-    before = store.store.parts("sessions")["0"]["dir"]
-    store.apply(frame(spark, [("u", GAP * 100, "2")]), "who", "at", "id")
-    assert store.store.parts("sessions")["0"]["dir"] == before and len(result(store)) == 2
+    before = store.store.parts("sessions")["0/0@1"]["dir"]
+    store.apply(frame(spark, [("u", GAP * 100, "2"), ("u", -GAP * 100, "3")]), "who", "at", "id")
+    assert store.store.parts("sessions")["0/0@1"]["dir"] == before and len(result(store)) == 3
     store.store.vacuum()
-    assert len(result(store)) == 2
+    assert len(result(store)) == 3
+
+
+def test_buckets_of_other_users_keep_their_files(spark):
+    store = SessionStore(spark, buckets=64)
+    store.apply(frame(spark, [(f"u{i}", i, str(i)) for i in range(40)]), "who", "at", "id")
+    before = {p["dir"] for p in store.store.parts("sessions").values()}
+    store.apply(frame(spark, [("u0", GAP // 2, "x")]), "who", "at", "id")
+    assert len(before & {p["dir"] for p in store.store.parts("sessions").values()}) == len(before) - 1
+    assert ("u0", 0, GAP // 2, 2) in result(store) and len(result(store)) == 40
+
+
+def test_many_batches(spark, monkeypatch):
+    """Folders of ids stay few, and a batch replaces the sessions of its own period only."""
+    monkeypatch.setattr(sessions, "FOLDERS", 3)
+    store, rows = SessionStore(spark, period_ms=GAP * 10), []
+    for k in [0, 0, 0, 0, 5, 9]:
+        batch = [(r, GAP * 5 * k + 10 * i + len(rows), f"{len(rows)}-{i}") for i, r in enumerate("abc")]
+        rows += batch
+        store.apply(frame(spark, batch + batch[:1]), "who", "at", "id")
+        assert sum(p.startswith("0@") for p in store.store.parts("events")) < 3
+    assert result(store) == brute(rows)
 
 
 def test_two_writers(spark):

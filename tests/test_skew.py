@@ -46,3 +46,10 @@ def test_empty_and_long(spark):
     long = "x" * 200_000
     df = spark.createDataFrame([("F", long, 1, 2, [long, long], "x", 1, True)] * 3, SCHEMA)
     assert [tuple(x) for x in key_totals(df, ("f", "v"), "fid", "w", "items").collect()] == [("F", long, 3, 1, 2, 1)]
+
+
+def test_rows_without_id_of_one_key(spark):
+    """However many there are, they reach the ordered step as a few rows."""
+    df = spark.range(20_000).selectExpr("'F' AS f", "'hot' AS v", "CAST(NULL AS BIGINT) AS fid", "2L AS w", "array('a') AS items", "'x' AS k1", "1 AS kind", "true AS edge")
+    got = key_totals(df, ("f", "v"), "fid", "w", "items")
+    assert [tuple(x) for x in got.collect()] == [("F", "hot", 20_000, 20_000, 40_000, 1)]
