@@ -6,8 +6,11 @@ V of bits that stay empty gives the estimate -m ln V. A bitmap is kept as its no
 map-side, and a group with most of the rows is spread over tasks by word number and never exceeds m / 64
 rows.
 
-m is sized for the wanted standard error at the largest cardinality that can occur (the number of identifier
-occurrences, counted first), and is the same for all groups and days of a table, so that all can be merged.
+m is a power of two, sized for the wanted standard error at the largest cardinality that is planned for (by default
+the number of identifier occurrences, counted first); it is kept with the rows and is the same for all groups of one
+build. Parts of other days or runs may have another m: a bitmap of m bits folds to one of m / 2 by or-ing its halves,
+exactly as if it had been built so, and :func:`unite` folds all parts to the smallest m before it merges them; the
+stated errors are then those of that m. A store of partial results should be sized for all its days together.
 The relative standard error at n = t m identifiers is sqrt(m (exp(t) - t - 1)) / n, which is largest at the
 ends: sqrt(1 / (2 m)) for few identifiers.
 
@@ -45,15 +48,29 @@ def size_bits(capacity: int, target: float = TARGET_ERROR) -> int:
 
 
 def build(ids: DataFrame, dims: list[str], bits: int) -> DataFrame:
-    """Bitmaps (dims..., word, bits) of the column ``id`` per group of ``dims``."""
+    """Bitmaps (dims..., m, word, bits) of the column ``id`` per group of ``dims``."""
     at = F.pmod(F.xxhash64("id"), F.lit(bits).cast("long"))
     rows = ids.where("id is not null").select(*dims, at.alias("at"))
-    return rows.groupBy(*dims, F.expr("cast(at div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    return rows.groupBy(*dims, F.lit(bits).cast("long").alias("m"), F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
 
 
 def merge(bitmaps: DataFrame, dims: list[str]) -> DataFrame:
-    """Union of the bitmaps that agree in ``dims``."""
-    return bitmaps.groupBy(*dims, "word").agg(F.bit_or("bits").alias("bits"))
+    """Union of the bitmaps that agree in ``dims``; they must agree in m."""
+    return bitmaps.groupBy(*dims, "m", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def fold(bitmaps: DataFrame, dims: list[str], bits: int) -> DataFrame:
+    """The bitmaps with ``bits`` bits, a power of two and no more than they have: the same as if built so."""
+    return merge(bitmaps.withColumns({"m": F.lit(bits).cast("long"), "word": F.pmod("word", F.lit(bits // 64).cast("long"))}), dims)
+
+
+def unite(parts: list[DataFrame], dims: list[str]) -> DataFrame:
+    """Union of partial results of any sizes, at the smallest of these."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    least = rows.agg(F.min("m")).first()[0]
+    return fold(rows, dims, least) if least else rows
 
 
 def cube(bitmaps: DataFrame, dims: list[str]) -> DataFrame:
@@ -64,7 +81,7 @@ def cube(bitmaps: DataFrame, dims: list[str]) -> DataFrame:
     """
     blank = lambda keep: [(F.col(d) if d in keep else F.lit(None).cast(bitmaps.schema[d].dataType)).alias(d) for d in dims]
     name = lambda keep: ",".join(keep) or "all"
-    rank = stage(bitmaps.select(F.lit(name(dims)).alias("level"), *dims, "word", "bits"), "bitmaps")
+    rank = stage(bitmaps.select(F.lit(name(dims)).alias("level"), *dims, "m", "word", "bits"), "bitmaps")
     done = [rank]
     for k in range(len(dims) - 1, -1, -1):
         parts = []
@@ -73,7 +90,7 @@ def cube(bitmaps: DataFrame, dims: list[str]) -> DataFrame:
             extra = [d for d in dims if d not in keep][-1]
             parent = [d for d in dims if d in keep or d == extra]
             merged = merge(rank.where(F.col("level") == name(parent)), list(keep))
-            parts.append(merged.select(F.lit(name(list(keep))).alias("level"), *blank(keep), "word", "bits"))
+            parts.append(merged.select(F.lit(name(list(keep))).alias("level"), *blank(keep), "m", "word", "bits"))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -85,10 +102,10 @@ def cube(bitmaps: DataFrame, dims: list[str]) -> DataFrame:
     return out
 
 
-def estimate(bitmaps: DataFrame, by: list[str], bits: int) -> DataFrame:
+def estimate(bitmaps: DataFrame, by: list[str]) -> DataFrame:
     """by..., estimate, std_error (relative) and the 95 % bounds lower and upper."""
-    m = F.lit(float(bits))
-    used = bitmaps.groupBy(*by).agg(F.sum(F.bit_count("bits")).cast("double").alias("used"))
+    m = F.col("m").cast("double")
+    used = bitmaps.groupBy(*by, "m").agg(F.sum(F.bit_count("bits")).cast("double").alias("used"))
     n = -m * F.log(F.greatest(m - F.col("used"), F.lit(0.5)) / m)
     t = F.col("estimate") / m
     rel = F.sqrt(m * (F.expm1(t) - t)) / F.col("estimate")

@@ -8,7 +8,12 @@ order. Each task clusters its own rows first; what is shuffled per group and tas
 which keeps a group with most of the rows harmless.
 
 The error of a digest can't be bounded in advance for all inputs, so it is certified: a second pass counts,
-for each reported percentile, the values below and up to it, which gives its exact rank.
+for each reported percentile, the values below and up to it, which gives its exact rank. Each value meets the
+estimates of its finest group, which carry those of the wider groups along, by a join on the group and a salt, so a
+group with most of the values is spread over tasks; the counts of wider groups are sums of those.
+
+Memory is bounded whatever the number of groups: a task clusters ``BUFFER_ROWS`` rows at a time and passes them on, and
+where digests are finished the rows come sorted by group, so that only the last group stays open.
 
 Defined results: null values don't count. Null group columns form groups. A group of one value gives that
 value for every percentile. Ties are exact ranks: an estimate within a run of ties has error 0. NaN is left
@@ -25,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import stage
 from siltstone.workers import with_code
 
 DELTA = 400
 BUFFER_ROWS = 400_000
-#: Groups of estimates that may be broadcast; beyond it the counting pass joins by shuffle.
-BROADCAST_GROUPS = 200_000
+SALTS = 16
 
 
 def _codes(keys: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -91,29 +96,43 @@ def quantiles(means: np.ndarray, weights: np.ndarray, code: np.ndarray, low: np.
     return out
 
 
-def _clustering(names: list[str], delta: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow function: rows (names..., mean, weight) to clusters; one digest per group of a partition."""
+def _batch(keys: pd.DataFrame, columns: dict[str, pa.Array], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([*(pa.array(keys[n], type=schema.field(n).type, from_pandas=True) for n in keys), *columns.values()], names=[*keys, *columns])
+    for at in range(0, whole.num_rows, 50_000):
+        yield whole.slice(at, 50_000)
+
+
+def _clustering(names: list[str], delta: int, ordered: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow function: rows (names..., mean, weight) to clusters.
+
+    Rows that are ``ordered`` by group give one digest per group; others give one per group and ``BUFFER_ROWS`` rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        rows, limit, schema = 0, BUFFER_ROWS, None
+        rows, schema = 0, None
+
+        def done(keep_last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            keys = pd.concat([h[0] for h in held], ignore_index=True)
+            given, _ = _codes(keys)
+            keys, means, weights, code = cluster(keys, *(np.concatenate([h[i] for h in held]) for i in (1, 2)), delta)
+            out = code != given[-1] if keep_last else np.ones(len(code), bool)
+            held = [] if out.all() else [(keys[~out], means[~out], weights[~out])]
+            rows = 0
+            if out.any():
+                yield from _batch(keys[out], {"mean": pa.array(means[out]), "weight": pa.array(weights[out])}, schema)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             schema = batch.schema
-            frame = batch.select(names).to_pandas()
-            held.append((frame, batch.column("mean").to_numpy(), batch.column("weight").to_numpy()))
+            held.append((batch.select(names).to_pandas(), batch.column("mean").to_numpy(), batch.column("weight").to_numpy()))
             rows += batch.num_rows
-            if rows > limit:
-                held = [cluster(pd.concat([h[0] for h in held]), *(np.concatenate([h[i] for h in held]) for i in (1, 2)), delta)[:3]]
-                rows = len(held[0][1])
-                limit = max(BUFFER_ROWS, 2 * rows)
+            if rows > BUFFER_ROWS:
+                yield from done(ordered)
         if held:
-            keys, means, weights, _ = cluster(pd.concat([h[0] for h in held]), *(np.concatenate([h[i] for h in held]) for i in (1, 2)), delta)
-            columns = [*(pa.array(keys[n], type=schema.field(n).type, from_pandas=True) for n in names), pa.array(means), pa.array(weights)]
-            whole = pa.RecordBatch.from_arrays(columns, names=[*names, "mean", "weight"])
-            for at in range(0, whole.num_rows, 50_000):
-                yield whole.slice(at, 50_000)
+            yield from done(False)
 
     return run
 
@@ -134,53 +153,74 @@ def digest(df: DataFrame, by: list[str], delta: int = DELTA) -> DataFrame:
         df = df.select(*by, "mean", "weight")
     schema = f"{_schema(df, by)}, mean double, weight long"
     local = with_code(df).mapInArrow(_clustering(by, delta), schema)
-    return local.repartition(*by).mapInArrow(_clustering(by, delta), schema)
+    return local.repartition(*by).sortWithinPartitions(*by).mapInArrow(_clustering(by, delta, True), schema)
 
 
 def estimates(clusters: DataFrame, by: list[str], qs: list[float]) -> DataFrame:
     """by..., n, est (array): percentiles of every digest. The outermost clusters stand for the extremes."""
     schema = f"{_schema(clusters, by)}, n long, est array<double>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
+    def figures(t: pa.Table, keep_last: bool) -> tuple[list[pa.RecordBatch], pa.Table | None]:
         keys = t.select(by).to_pandas()
         mean, weight = t.column("mean").to_numpy(), t.column("weight").to_numpy()
         code, _ = _codes(keys)
+        left = None
+        if keep_last:
+            open_ = code == code[-1]
+            left, shut = t.filter(pa.array(open_)), ~open_
+            if not shut.any():
+                return [], left
+            keys, mean, weight, code = keys[shut], mean[shut], weight[shut], np.unique(code[shut], return_inverse=True)[1]
         order = np.lexsort((mean, code))
         code, mean, weight = code[order], mean[order], weight[order]
         starts = np.flatnonzero(np.diff(code, prepend=-1))
         ends = np.append(starts[1:], len(code)) - 1
         est = quantiles(mean, weight, code, mean[starts], mean[ends], qs)
-        first = keys.iloc[order[starts]]
         lists = pa.ListArray.from_arrays(np.arange(0, est.size + 1, len(qs), dtype=np.int32), pa.array(est.ravel()))
-        columns = [*(pa.array(first[n], type=t.schema.field(n).type, from_pandas=True) for n in by), pa.array(np.add.reduceat(weight, starts)), lists]
-        yield pa.RecordBatch.from_arrays(columns, names=[*by, "n", "est"])
+        return list(_batch(keys.iloc[order[starts]], {"n": pa.array(np.add.reduceat(weight, starts)), "est": lists}, t.schema)), left
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows > BUFFER_ROWS:
+                out, left = figures(pa.Table.from_batches(held), True)
+                yield from out
+                held, rows = left.to_batches(), 0
+        if held:
+            yield from figures(pa.Table.from_batches(held), False)[0]
 
-    return with_code(clusters).repartition(*by).mapInArrow(run, schema)
+    return with_code(clusters).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
-def certify(values: DataFrame, est: DataFrame, by: list[str], qs: list[float]) -> DataFrame:
-    """Adds ``errors``: for each percentile how far its exact rank, as a share of n, lies from the wanted one.
+def certify(values: DataFrame, est: DataFrame, fine: list[str], levels: dict[str, list[str]], qs: list[float]) -> DataFrame:
+    """level, fine..., n_exact, errors: for each percentile how far its exact rank, as a share of n, lies from the wanted one.
 
-    ``values`` has ``value`` and, in ``groups`` (array of structs of ``by``), every group a row belongs to.
+    ``values`` has ``fine`` and ``value``. ``levels`` names the columns of ``fine`` that each level keeps, the finest
+    first; ``est`` has ``level``, ``fine``, with nulls for what a level doesn't keep, and ``est``.
     """
-    small = est.count() <= BROADCAST_GROUPS
-    e = est.select(*[F.col(b).alias(f"g_{b}") for b in by], "est")
-    rows = values.select("value", F.inline("groups"))
-    same = [F.col(b).eqNullSafe(F.col(f"g_{b}")) for b in by]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    joined = rows.join(F.broadcast(e) if small else e, on)
-    at = [F.col("est")[j] for j in range(len(qs))]
-    counts = joined.groupBy(*by).agg(
-        F.count("*").alias("n_exact"),
-        *[F.count_if(F.col("value") < a).alias(f"lt_{j}") for j, a in enumerate(at)],
-        *[F.count_if(F.col("value") <= a).alias(f"le_{j}") for j, a in enumerate(at)],
-    )
+    same = lambda a, b, cs: [a[c].eqNullSafe(b[f"_{c}"]) for c in cs]
+    wide: DataFrame | None = None
+    for i, (level, keep) in enumerate(levels.items()):
+        e = est.where(F.col("level") == level).select(*[F.col(c).alias(f"_{c}" if i else c) for c in keep], F.col("est").alias(f"est_{i}"))
+        wide = e if wide is None else wide.join(e, same(wide, e, keep) if keep else F.lit(True), "left").drop(*[f"_{c}" for c in keep])
+    salt = F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")
+    groups = wide.select(*[F.col(c).alias(f"_{c}") for c in fine], *[f"est_{i}" for i in range(len(levels))], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rows = values.select(*fine, F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)").withColumn("salt", salt)
+    joined = rows.join(groups, [*same(rows, groups, fine), F.col("salt") == F.col("_salt")])
+    name = lambda kind, i, j: f"{kind}_{i}_{j}"
+    test = {"lt": lambda e: F.col("value") < e, "le": lambda e: F.col("value") <= e}
+    counts = [F.count_if(t(F.col(f"est_{i}")[j])).alias(name(k, i, j)) for k, t in test.items() for i in range(len(levels)) for j in range(len(qs))]
+    counted = stage(joined.groupBy(*fine).agg(F.count("*").alias("n"), *counts), "rank-counts")
+    out: DataFrame | None = None
     n = F.col("n_exact")
-    error = lambda j, q: F.greatest(F.lit(0.0), F.col(f"lt_{j}") / n - q, F.lit(q) - F.col(f"le_{j}") / n)
-    return counts.select(*by, "n_exact", F.array(*[error(j, q) for j, q in enumerate(qs)]).alias("errors"))
+    for i, (level, keep) in enumerate(levels.items()):
+        sums = counted.groupBy(*keep).agg(F.sum("n").alias("n_exact"), *[F.sum(name(k, i, j)).alias(f"{k}_{j}") for k in test for j in range(len(qs))])
+        error = lambda j, q: F.greatest(F.lit(0.0), F.col(f"lt_{j}") / n - q, F.lit(q) - F.col(f"le_{j}") / n)
+        columns = [F.col(c) if c in keep else F.lit(None).cast(counted.schema[c].dataType).alias(c) for c in fine]
+        part = sums.where("n_exact > 0").select(F.lit(level).alias("level"), *columns, "n_exact", F.array(*[error(j, q) for j, q in enumerate(qs)]).alias("errors"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -23,12 +23,14 @@ covers, runs included, and takes another way, which needs no n-gram at all:
    some P item words, counted once if the word is in the window and again if it is there with the next one,
    come to max(24, P) - 1 or more. No pair is missed. The work is words of documents times words of items.
 
-The items are a query set against all documents. Their n-grams are broadcast, since the set is fixed and
-measured (``MAX_ITEM_WORDS``); a larger set must be passed in blocks.
+The items are a query set against all documents. What tasks need of them is broadcast in blocks of ``BLOCK_WORDS``
+words, which bounds it whatever their number: each block is one sweep over the documents, and as nothing in the rule
+depends on other items, the result is the same for any size of blocks. An item that is longer is a block of its own.
 
 Words are the longest runs of letters and digits of any script, lower-cased. Defined results: null texts
 and texts without words match nothing; items with fewer words than ``N`` have no n-gram and match nothing;
-equal items are items of their own; a document row that is repeated gives its pairs once.
+equal items are items of their own; several rows of one item id are passages of one item; a document row that is
+repeated gives its pairs once, with the best figures.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ from siltstone.workers import with_code
 N = 5
 WINDOW = 12
 PART = 48
-MAX_ITEM_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 WORDS = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 CHUNK_CELLS = 200_000
@@ -81,13 +83,27 @@ def gram_hashes(ws: list[str], known: dict[str, int], n: int = N) -> np.ndarray:
 
 
 STRETCHES = "doc_id long, start int, words array<string>, at array<int>, grams array<long>"
+PAIRS = "doc_id long, item_id long, score int, run int, share double"
 
 
-def find_stretches(grams: np.ndarray, pad: int):
-    """mapInArrow function: (doc_id, text) to the stretches with item n-grams; ``grams`` is sorted."""
+def reaches(items: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of the items in order, and for each the words around it that an item with it may need."""
+    known = _Hashes()
+    grams = [gram_hashes(ws, known) for ws in items]
+    every = np.concatenate([np.empty(0, np.uint64), *grams])
+    lengths = np.concatenate([np.empty(0, np.int64), *(np.full(len(g), len(ws) + WINDOW) for g, ws in zip(grams, items))])
+    distinct, at = np.unique(every, return_inverse=True)
+    reach = np.zeros(len(distinct), np.int64)
+    np.maximum.at(reach, at, lengths)
+    return distinct, reach
+
+
+def find_stretches(known_grams):
+    """mapInArrow function: (doc_id, text) to the stretches with item n-grams; takes the broadcast of :func:`reaches`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
+        grams, reach = known_grams.value
         for batch in batches:
             out: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
@@ -97,21 +113,28 @@ def find_stretches(grams: np.ndarray, pad: int):
             h = gram_hashes([w for d in docs for w in d], known)
             if not len(h):
                 continue
-            ends = np.repeat(np.cumsum(sizes), sizes)[: len(h)]
+            upto = np.cumsum(sizes)
+            ends = np.repeat(upto, sizes)[: len(h)]
             found = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
             hits = np.flatnonzero((grams[found] == h) & (np.arange(len(h)) + N <= ends))
-            owner = np.searchsorted(np.cumsum(sizes), hits, side="right")
-            begins = np.cumsum(sizes) - sizes
-            cut = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(hits, prepend=-1) > 2 * pad))
+            if not len(hits):
+                continue
+            owner = np.searchsorted(upto, hits, side="right")
+            begins = (upto - sizes)[owner]
+            pad = reach[found[hits]]
+            lo, hi = np.maximum(begins, hits - pad), np.minimum(upto[owner], hits + N + pad)
+            # Spans of one document that overlap are one stretch; spans of two documents never do.
+            order = np.argsort(lo, kind="stable")
+            far = np.maximum.accumulate(hi[order])
+            cut = np.flatnonzero(np.concatenate([[True], lo[order][1:] >= far[:-1]]))
             for a, b in zip(cut, np.append(cut[1:], len(hits))):
-                d = int(owner[a])
-                at = hits[a:b] - begins[d]
-                lo, hi = max(0, int(at[0]) - pad), int(at[-1]) + N + pad
-                out.append((ids[d], lo, docs[d][lo:hi], (at - lo).tolist(), h[hits[a:b]].view(np.int64).tolist()))
-            if out:
-                columns = list(zip(*out))
-                kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "start", "words", "at", "grams"])
+                own = np.sort(hits[order[a:b]])
+                d = int(owner[order[a]])
+                first, start = int(begins[order[a]]), int(lo[order[a]])
+                out.append((ids[d], start - first, docs[d][start - first : int(far[b - 1]) - first], (own - start).tolist(), h[own].view(np.int64).tolist()))
+            columns = list(zip(*out))
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "start", "words", "at", "grams"])
 
     return run
 
@@ -174,15 +197,28 @@ def seeds(items: dict[int, list[str]], frequency: dict[int, int]) -> dict[int, s
     return out
 
 
-def aligned(items: dict[int, list[str]], by_seed: dict[int, list[int]]):
-    """mapInArrow function: stretches to (doc_id, item_id, score, run) of every item they hold a seed of."""
+def _scored(pairs: list[tuple[int, int]], stretches: list[np.ndarray], coded: dict[int, np.ndarray], ids: np.ndarray) -> pa.RecordBatch:
+    """Rows of pairs (document, number of an item)."""
+    scores, runs = align_many(stretches, [coded[i] for _, i in pairs])
+    numbers = np.array([i for _, i in pairs])
+    share = scores / (MATCH * np.array([len(coded[i]) for i in numbers]))
+    columns = [pa.array([d for d, _ in pairs], pa.int64()), pa.array(ids[numbers], pa.int64()), pa.array(scores), pa.array(runs), pa.array(share, pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "run", "share"])
+
+
+def aligned(block):
+    """mapInArrow function: stretches to (doc_id, item_id, score, run, share) of every item they hold a seed of.
+
+    ``block`` is the broadcast of item ids, item words and {seed: numbers of items}.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, items, by_seed = block.value
         numbers: dict[str, int] = {}
-        for ws in items.values():
+        for ws in items:
             for w in ws:
                 numbers.setdefault(w, len(numbers))
-        coded = {i: np.array([numbers[w] for w in ws], np.int32) for i, ws in items.items()}
+        coded = {i: np.array([numbers[w] for w in ws], np.int32) for i, ws in enumerate(items)}
         for batch in batches:
             found: list[tuple[int, int]] = []
             stretches: list[np.ndarray] = []
@@ -193,9 +229,7 @@ def aligned(items: dict[int, list[str]], by_seed: dict[int, list[int]]):
                     found += [(doc, i) for i in candidates]
                     stretches += [stretch] * len(candidates)
             if found:
-                scores, runs = align_many(stretches, [coded[i] for _, i in found])
-                docs, pairs = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pairs, pa.int64()), pa.array(scores), pa.array(runs)], names=["doc_id", "item_id", "score", "run"])
+                yield _scored(found, stretches, coded, ids)
 
     return run
 
@@ -255,11 +289,12 @@ class Near:
         return [self.ids[k] for k in sorted(out)]
 
 
-def near_pairs(items: dict[int, list[str]]):
-    """mapInArrow function: (doc_id, text) to (doc_id, item_id, score, run) of every pair that may be near."""
+def near_pairs(block):
+    """mapInArrow function: (doc_id, text) to (doc_id, item_id, score, run, share) of every pair that may be near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = Near(items)
+        ids, items, _ = block.value
+        near = Near(dict(enumerate(items)))
         for batch in batches:
             found: list[tuple[int, int]] = []
             stretches: list[np.ndarray] = []
@@ -279,13 +314,30 @@ def near_pairs(items: dict[int, list[str]]):
                     found += [(doc, i)] * len(spans)
                     stretches += [codes[lo:hi] for lo, hi in spans]
             if found:
-                scores, runs = align_many(stretches, [near.coded[i] for _, i in found])
-                docs, pairs = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pairs, pa.int64()), pa.array(scores), pa.array(runs)], names=["doc_id", "item_id", "score", "run"])
+                yield _scored(found, stretches, near.coded, ids)
 
     return run
 
 
+def _blocks(items: DataFrame) -> Iterator[tuple[np.ndarray, list[list[str]]]]:
+    """Ids and words of the items, so many at a time that a block has ``BLOCK_WORDS`` words at most, or one item."""
+    ids: list[int] = []
+    block: list[list[str]] = []
+    size = 0
+    for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").distinct().toLocalIterator():
+        ws = words(r["text"])
+        if not ws:
+            continue
+        if block and size + len(ws) > BLOCK_WORDS:
+            yield np.array(ids, np.int64), block
+            ids, block, size = [], [], 0
+        ids.append(r["item_id"])
+        block.append(ws)
+        size += len(ws)
+    if block:
+        yield np.array(ids, np.int64), block
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, edited: bool = False) -> DataFrame:
     """doc_id, item_id, score, run, share: the best alignment of every document with every item it holds a seed of.
 
@@ -293,31 +345,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, edited: bool = False) -> DataF
     the longest run of consecutive words in common, ``share`` the score against that of the whole item.
     ``edited``: of every pair with an alignment worth ``WINDOW`` matches and half of the item words it covers.
     """
-    listed = {r["item_id"]: words(r["text"]) for r in items.select("item_id", "text").where("item_id is not null").toLocalIterator()}
-    size = sum(map(len, listed.values()))
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"{size} words of items; pass at most {MAX_ITEM_WORDS} at a time")
-    full = docs.sparkSession.createDataFrame([(i, MATCH * len(ws)) for i, ws in listed.items()], "item_id long, full int")
+    spark = docs.sparkSession
     texts = with_code(docs).select(F.col("doc_id").cast("long"), "text").where("text is not null")
-    if edited:
-        return _best(texts.mapInArrow(near_pairs(listed), "doc_id long, item_id long, score int, run int"), full)
-    known = _Hashes()
-    grams = np.unique(np.concatenate([np.empty(0, np.uint64), *(gram_hashes(ws, known) for ws in listed.values())]))
-    schema = "doc_id long, item_id long, score int, run int, share double"
-    if not len(grams):
-        return docs.sparkSession.createDataFrame([], schema)
-    pad = max(map(len, listed.values())) + WINDOW
-    stretches = stage(texts.mapInArrow(find_stretches(grams, pad), STRETCHES), "stretches")
+    found: DataFrame | None = None
+    for ids, block in _blocks(items):
+        pairs = _edited_pairs(texts, ids, block) if edited else _seeded_pairs(texts, ids, block)
+        if pairs is not None:
+            pairs = stage(pairs, "leaks")
+            found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
+        return spark.createDataFrame([], PAIRS)
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"), F.max("share").alias("share"))
+
+
+def _edited_pairs(texts: DataFrame, ids: np.ndarray, block: list[list[str]]) -> DataFrame:
+    return texts.mapInArrow(near_pairs(texts.sparkSession.sparkContext.broadcast((ids, block, None))), PAIRS)
+
+
+def _seeded_pairs(texts: DataFrame, ids: np.ndarray, block: list[list[str]]) -> DataFrame | None:
+    sc = texts.sparkSession.sparkContext
+    grams = reaches(block)
+    if not len(grams[0]):
+        return None
+    stretches = stage(texts.mapInArrow(find_stretches(sc.broadcast(grams)), STRETCHES), "stretches")
     counts = stretches.select("doc_id", F.explode(F.array_distinct("grams")).alias("g")).distinct().groupBy("g").count()
-    frequency = {r["g"]: r["count"] for r in counts.toLocalIterator()}  # at most one row per item n-gram
+    frequency = {r["g"]: r["count"] for r in counts.toLocalIterator()}  # at most one row per n-gram of the block
     by_seed: dict[int, list[int]] = {}
-    for item, gs in seeds(listed, frequency).items():
+    for item, gs in seeds(dict(enumerate(block)), frequency).items():
         for g in gs:
             by_seed.setdefault(g, []).append(item)
-    pairs = stretches.repartition(F.xxhash64("doc_id", "start")).mapInArrow(aligned(listed, by_seed), "doc_id long, item_id long, score int, run int")
-    return _best(pairs, full)
-
-
-def _best(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("run").alias("run"))
-    return best.join(F.broadcast(full), "item_id").select("doc_id", "item_id", "score", "run", (F.col("score") / F.col("full")).alias("share"))
+    return stretches.repartition(F.xxhash64("doc_id", "start")).mapInArrow(aligned(sc.broadcast((ids, block, by_seed))), PAIRS)

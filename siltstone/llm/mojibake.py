@@ -1,12 +1,14 @@
 """Text decoded with the wrong character encoding (problem 10).
 
 1. Garbled sequences are precomputed for all encoding pairs: what each character of the alphabet becomes when
-   its UTF-8 bytes are read in a legacy encoding, once or twice, and what each common neighbourhood of a
-   character becomes when the bytes of one legacy encoding are read in another.
+   its UTF-8 bytes are read in a legacy encoding, once or twice, what the first two of any three UTF-8 bytes become
+   (which stands for the characters beyond the alphabet, ideographs among them), and what each common neighbourhood of
+   a character becomes when the bytes of one legacy encoding are read in another.
 2. A multi-pattern automaton finds them. Texts without a match end here.
 3. A match counts only if undoing it makes the place more usual. How usual a character is between its two
-   neighbours is learnt from the whole corpus (frequencies of character triples over different texts, bounded by
-   the alphabets), each text left out of its own evidence. Texts that look garbled throughout say nothing about
+   neighbours is learnt from the whole corpus (frequencies of character triples over different texts, added up on the
+   cluster; the triples that make up more than 1 / ``MOST_TRIPLES`` of all are broadcast, so fewer than that many, the
+   others count through the classes of their neighbours), each text left out of its own evidence. Texts that look garbled throughout say nothing about
    what is usual, else a source that was decoded wrongly would vouch for itself. A sequence that was written on purpose, to show
    what garbling looks like, becomes no more usual when undone and stays.
 4. Only the matched spans (for one-byte pairs: the words around them) are replaced, for the encoding pair that
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,18 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import stage
 from siltstone.workers import with_code
 
 #: Encodings in which UTF-8 bytes may have been read.
-READ_AS = ["cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859-2", "cp866", "koi8-r"]
+READ_AS = ["cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859-2", "cp866", "koi8-r", "cp1253", "cp1255", "cp1256", "cp1257", "cp852"]
 #: Pairs of one-byte encodings (true, read as).
 PAIRS = [
     ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1250", "cp1252"), ("iso8859-2", "cp1252"), ("cp1251", "cp1252"), ("koi8-r", "cp1251"),
     ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"),
     ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("iso8859-5", "cp1251"), ("cp1251", "mac_roman"),
+    ("cp1253", "cp1252"), ("cp1254", "cp1252"), ("cp1255", "cp1252"), ("cp1256", "cp1252"), ("cp1257", "cp1252"), ("cp852", "cp1250"), ("mac_cyrillic", "cp1251"),
 ]
-#: Ranges of the characters that authors of the languages at hand write.
-ALPHABET = [(0xA0, 0x17F), (0x370, 0x3FF), (0x400, 0x45F), (0x490, 0x491), (0x2010, 0x203A), (0x20AC, 0x20AC), (0x2116, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265), (0x2500, 0x256C)]
+#: Encodings whose letters are the bytes of three-byte characters in plain text of their own language.
+NOT_WIDE = {"cp866", "cp1256"}
+#: Ranges of the characters that authors write, and of those that stand in between when a text is garbled several times.
+ALPHABET = [(0x80, 0x17F), (0x192, 0x192), (0x2C6, 0x2DC), (0x370, 0x3FF), (0x400, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x60C, 0x60C), (0x61B, 0x61F), (0x621, 0x64A), (0x2010, 0x203A), (0x20AC, 0x20AC), (0x2116, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265), (0x2500, 0x256C), (0x3001, 0x3002), (0x300C, 0x300D), (0x3041, 0x30FC)]
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 QUOTES = "’‘‚“”„´`'\""
 LOST = "�"
@@ -60,6 +67,7 @@ JOINERS = set("’‘'-–—…′″°·/“”„«»|│×")
 FOREIGN = re.compile(r"[À-ÖØ-öø-ÿ]{4,}")
 #: A Cyrillic word with its cases swapped; KOI8-R has them the other way round.
 SWAPPED = re.compile(r"\b[а-яё][А-ЯЁ]{3,}\b")
+MOST_TRIPLES = 500_000
 COMMON = 10  # documents in which a triple must occur to be garbled into a pattern
 
 
@@ -76,6 +84,11 @@ def _map(true: str, read: str) -> dict[str, str]:
     return {r[b]: t[b] for b in r if r[b] != t[b]}
 
 
+@lru_cache
+def _table(pair: tuple[str, str]) -> dict[int, str]:
+    return str.maketrans(_map(*pair))
+
+
 def _spelled(text: str, encoding: str) -> str:
     table = _bytes_to_chars(encoding)
     return "".join(c if b < 128 else table[b] for c, b in ((chr(b), b) for b in text.encode()))
@@ -95,6 +108,26 @@ def sequences() -> dict[str, dict[str, str]]:
     return {s: d for s, d in out.items() if len(s) > 1}
 
 
+@lru_cache
+def wide(encoding: str) -> tuple[dict[str, str], re.Pattern[str]]:
+    """What the first two bytes of any three of UTF-8 become, each with a third; and an expression for all three."""
+    table = _bytes_to_chars(encoding)
+    leads, more = [table[b] for b in range(0xE0, 0xF0)], [table[b] for b in range(0x80, 0xC0)]
+    sets = ["[" + "".join(map(re.escape, x)) + "]" for x in (leads, more)]
+    return {a + b: encoding for a in leads for b in more}, re.compile(f"{sets[0]}{sets[1]}{{2}}")
+
+
+def undo_wide(encoding: str, three: str) -> str | None:
+    """The character whose three bytes were read so; None if there is none, or the alphabet has it."""
+    back = {c: b for b, c in _bytes_to_chars(encoding).items()}
+    try:
+        c = bytes(back[x] for x in three).decode()
+    except UnicodeDecodeError:
+        return None
+    written = len(c) == 1 and (unicodedata.category(c)[0] in "LMN" or "\u3000" <= c <= "\u303f" or "\uff00" <= c <= "\uffef")
+    return c if written and not any(lo <= ord(c) <= hi for lo, hi in ALPHABET) else None
+
+
 #: Characters that triples tell apart: those of the alphabet and those that the encodings have. This bounds the
 #: statistics, whatever scripts a corpus holds; any other character is one and the same letter to them.
 TOLD = {chr(c) for lo, hi in ALPHABET for c in range(lo, hi + 1)} | {c for e in {*READ_AS, *sum(PAIRS, ())} for c in _bytes_to_chars(e).values()} | {LOST}
@@ -111,10 +144,15 @@ def _class(c: str) -> str:
     return "l" if c.islower() else "U" if c.isupper() else "a" if c.isalpha() else "q" if c in QUOTES else "."
 
 
+@lru_cache
+def known_sequences() -> dict[str, dict[str, str]]:
+    return sequences()
+
+
 @lru_cache
 def _finder() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for s, readings in sequences().items():
+    for s, readings in known_sequences().items():
         found.add_word(s, (len(s), readings))
     found.make_automaton()
     return found
@@ -146,16 +184,6 @@ def evidence(text: str) -> set[str]:
     return {HELD * (i in held) + _near(t[i]) + t[i + 1] + _near(t[i + 2]) + "".join(sorted(held.get(i, ()))) for i in at if t[i + 1] in TOLD}
 
 
-def settle(counts: dict[str, int]) -> dict[str, int]:
-    """Counts of triples; what was held back counts after all where no text has any character that it may come from."""
-    out = Counter({t: n for t, n in counts.items() if t[0] != HELD})
-    known = {t[1] for t in out}
-    for t, n in counts.items():
-        if t[0] == HELD and known.isdisjoint(t[4:]):
-            out[t[1:4]] += n
-    return dict(out)
-
-
 def triples(text: str) -> list[str]:
     t = f" {text} "
     return [_near(t[i]) + t[i + 1] + _near(t[i + 2]) for i in (m.start() for m in NON_ASCII.finditer(text)) if t[i + 1] in TOLD]
@@ -181,18 +209,26 @@ def _odd(a: str, c: str, b: str) -> bool:
 
 
 def _mixed(word: str) -> bool:
-    """Whether Cyrillic and Latin letters meet."""
-    cyrillic = any("\u0400" <= c <= "\u04ff" for c in word)
-    return cyrillic and any(c.isalpha() and c < "\u0250" for c in word)
+    """Whether Cyrillic and Latin letters meet, or European ones meet those of a script further on."""
+    if not word or max(word) < "\u0400":
+        return False
+    letters = [c for c in word if c.isalpha() or c >= "\u0590" and unicodedata.category(c)[0] in "MN"]
+    cyrillic, european = any("\u0400" <= c <= "\u04ff" for c in letters), any(c < "\u0590" for c in letters)
+    return cyrillic and any(c < "\u0250" for c in letters) or european and any(c >= "\u0590" for c in letters)
+
+
+def kind_of(triple: str) -> str:
+    return _class(triple[0]) + triple[1] + _class(triple[2])
 
 
 class Usage:
     """How usual a character is between two others."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.kinds: Counter[str] = Counter()
-        for t, n in counts.items():
-            self.kinds[_class(t[0]) + t[1] + _class(t[2])] += n
+    def __init__(self, counts: dict[str, int], kinds: dict[str, int] | None = None):
+        """``kinds`` are the sums over classes of neighbours, where ``counts`` doesn't hold all triples."""
+        self.kinds: Counter[str] = Counter(kinds)
+        for t, n in counts.items() if kinds is None else ():
+            self.kinds[kind_of(t)] += n
         self.counts = {t: n for t, n in counts.items() if n > 1}
 
     def of(self, a: str, c: str, b: str, own: int = 0) -> float:
@@ -201,9 +237,9 @@ class Usage:
         return math.log(max(0, self.counts.get(a + c + b, 0) - own) + 0.002 * max(0, kind - own) + 0.01)
 
 
-def neighbourhoods(counts: dict[str, int]) -> dict[str, int]:
+def neighbourhoods(counts: dict[str, int], kinds: dict[str, int] | None = None) -> dict[str, int]:
     """Garbled triples that are far less usual than what they come from: {sequence: bits of its pairs}."""
-    usage = Usage(counts)
+    usage = Usage(counts, kinds)
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     common = {t for t, n in counts.items() if n >= COMMON}
     members = {"l": lower, "U": upper, " ": " "}
@@ -225,16 +261,23 @@ def neighbourhoods(counts: dict[str, int]) -> dict[str, int]:
 class Mender:
     """Finds and undoes garbling; made once per worker from the corpus statistics."""
 
-    def __init__(self, counts: dict[str, int], patterns: dict[str, int] | None = None):
-        self.usage = Usage(counts)
-        self.known = {t[1] for t in counts}
-        self.readings = sequences()
+    def __init__(self, counts: dict[str, int], kinds: dict[str, int] | None = None, patterns: dict[str, int] | None = None):
+        self.usage = Usage(counts, kinds)
+        self.known = {k[1] for k in self.usage.kinds}
+        self.readings = known_sequences()
         self.found = ahocorasick.Automaton()
-        for s in self.readings:
-            self.found.add_word(s, ("u", s))
-        for s, pairs in (neighbourhoods(counts) if patterns is None else patterns).items():
+        patterns = neighbourhoods(counts, kinds) if patterns is None else patterns
+        # A pattern may be in all three sets; what it says is kept for each.
+        said: dict[str, list] = {s: [s, 0, ()] for s in self.readings}
+        for s, pairs in patterns.items():
             if s not in self.readings:
-                self.found.add_word(s, ("p", pairs))
+                said[s] = [None, pairs, ()]
+        for e in READ_AS:
+            for s in wide(e)[0] if e not in NOT_WIDE else ():
+                one = said.setdefault(s, [None, 0, ()])
+                one[2] = (*one[2], e)
+        for s, what in said.items():
+            self.found.add_word(s, tuple(what))
         self.found.make_automaton()
 
     def _gain_of_sequence(self, before: str, seq: str, after: str, char: str, left: str, right: str) -> float:
@@ -254,14 +297,16 @@ class Mender:
             gain += 4
         return gain
 
-    def _spans(self, text: str, hits: list[tuple[int, str]], reading: str) -> list[tuple[int, int, str, float]]:
-        """Non-overlapping spans of one reading, leftmost and longest, with what they gain."""
-        own = sorted(((end - len(s) + 1, -len(s), s) for end, s in hits if reading in self.readings[s]))
+    def _spans(self, text: str, hits: list[tuple[int, str]], reading: str, beyond: bool = False) -> list[tuple[int, int, str, float]]:
+        """Non-overlapping spans of one reading, leftmost and longest, with what they gain; ``beyond``: those of characters beyond the alphabet, too."""
+        own = [(end - len(s) + 1, -len(s), self.readings[s][reading]) for end, s in hits if reading in self.readings[s]]
+        if beyond:
+            own += [(m.start(), -3, c) for m in wide(reading)[1].finditer(text) if (c := undo_wide(reading, m[0]))]
         spans, free = [], 0
-        for start, _, s in own:
+        for start, size, c in sorted(own):
             if start >= free:
-                spans.append((start, start + len(s), self.readings[s][reading]))
-                free = start + len(s)
+                spans.append((start, start - size, c))
+                free = start - size
         out = []
         for k, (a, b, c) in enumerate(spans):
             left = spans[k - 1][2] if k and spans[k - 1][1] == a else text[a - 1] if a else " "
@@ -270,12 +315,12 @@ class Mender:
             out.append((a, b, c, gain))
         return out
 
-    def _mend_sequences(self, text: str, hits: list[tuple[int, str]]) -> list[tuple[int, int, str, float]]:
-        readings = {r for _, s in hits for r in self.readings[s]}
+    def _mend_sequences(self, text: str, hits: list[tuple[int, str]], beyond: set[str]) -> list[tuple[int, int, str, float]]:
+        readings = {r for _, s in hits for r in self.readings[s]} | beyond
         best: list[tuple[int, int, str, float]] = []
         most = 0.0
         for r in sorted(readings):
-            spans = self._spans(text, hits, r)
+            spans = self._spans(text, hits, r, r in beyond)
             # Where a reading explains one place for sure, little is needed for the next.
             sure = any(x[3] >= LEAST for x in spans)
             spans = [x for x in spans if x[3] >= (1 if sure else LEAST)]
@@ -284,6 +329,23 @@ class Mender:
                 best, most = spans, total
         return best
 
+    def _covering(self, text: str, hits: list[tuple[int, str]], beyond: set[str]) -> list[tuple[int, int, str, float]]:
+        """The spans of a reading that explains all but a twentieth of what isn't ASCII; none in a text with little of that.
+
+        So much doesn't come by chance, whatever the corpus says of the characters: those of a script that no other
+        text has, or what is in between when a text was garbled several times.
+        """
+        n = len(NON_ASCII.findall(text))
+        best: list[tuple[int, int, str, float]] = []
+        most = -math.inf
+        for r in sorted({r for _, s in hits for r in self.readings[s]} | beyond) if n >= 8 else ():
+            spans = self._spans(text, hits, r, r in beyond)
+            covered = sum(len(NON_ASCII.findall(text, a, b)) for a, b, *_ in spans)
+            total = sum(x[3] * (x[1] - x[0]) for x in spans)
+            if covered * 20 >= n * 19 and total > most:
+                best, most = spans, total
+        return best
+
     def _gain_of_word(self, left: str, word: str, mended: str, right: str) -> tuple[float, bool]:
         """How much more usual a word becomes, and whether its spelling can't be an author's."""
         was, now = f"{left}{word}{right}", f"{left}{mended}{right}"
@@ -305,14 +367,13 @@ class Mender:
         A pair needs a word whose present spelling can't be an author's, or else two different words and most
         of all words that it would change.
         """
-        words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
         best: list[tuple[int, int, str, float]] = []
         most = 0.0
         for p in sorted(pairs):
-            table, spans, odd, changed = _map(*PAIRS[p]), [], False, 0
-            for a, b in words:
-                word = text[a:b]
-                mended = "".join(table.get(c, c) for c in word)
+            table, spans, odd, changed = _table(PAIRS[p]), [], False, 0
+            for a, b, word in words:
+                mended = word.translate(table)
                 if mended == word:
                     continue
                 changed += 1
@@ -331,21 +392,29 @@ class Mender:
         """Whether the text is garbled, and the text mended as far as it can be."""
         if not text or text.isascii():
             return False, None
-        garbled, now = False, text
-        for _ in range(4):
-            us, pairs = [], 0
-            for end, (kind, value) in self.found.iter(now):
-                if kind == "u":
-                    us.append((end, value))
-                else:
-                    pairs |= value
-            spans = self._mend_sequences(now, us) if us else []
-            if not any(x[2] in self.known for x in spans):
+        garbled, now, seen = False, text, {text}
+        while True:  # until nothing is gained any more: a text may have been garbled any number of times
+            us, pairs, beyond = [], 0, set()
+            for end, (sequence, some, readings) in self.found.iter(now):
+                if sequence is not None:
+                    us.append((end, sequence))
+                pairs |= some
+                beyond.update(readings)
+            beyond = {e for e in beyond if wide(e)[1].search(now)} if beyond else beyond
+            spans = self._mend_sequences(now, us, beyond) if us or beyond else []
+            known = any(x[2] in self.known for x in spans)
+            part = known and sum(len(NON_ASCII.findall(now, a, b)) for a, b, *_ in spans) * 20 < len(NON_ASCII.findall(now)) * 19
+            whole = self._covering(now, us, beyond) if part or not known and (us or beyond) else []
+            if known:
+                spans = whole or spans
+            else:
                 # Characters that no text has give way to what a pair of one-byte encodings explains.
                 # A spelling that can't be an author's is looked into even where the corpus is too small to tell.
                 if any(_odd(*t) for t in triples(now)):
                     pairs = (1 << len(PAIRS)) - 1
-                if pairs:
+                if whole:
+                    spans = whole
+                elif pairs:
                     spans = self._mend_words(now, {p for p in range(len(PAIRS)) if pairs >> p & 1}) or spans
             if not spans:
                 break
@@ -354,6 +423,9 @@ class Mender:
                 parts += [now[at:a], c]
                 at = b
             now = "".join(parts) + now[at:]
+            if now in seen:
+                break
+            seen.add(now)
         if not garbled and LOST in text:
             return any(not (x[0] == " " and x[2] == " ") for x in triples(text) if x[1] == LOST), None
         return garbled, now if garbled else None
@@ -362,14 +434,15 @@ class Mender:
 def mend_texts(learnt):
     """mapInArrow function: (doc_id, text) to (doc_id, restored, lost) of the garbled ones.
 
-    ``learnt`` is the broadcast of the triples' counts and the patterns made of them.
+    ``learnt`` is the broadcast of the triples' counts, those of their classes and the patterns made of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mender = None
         for batch in batches:
-            if mender is None:
-                mender = Mender(*learnt.value)
+            if mender is None:  # once per worker, which keeps the broadcast between tasks
+                mender = learnt.__dict__.get("mender") or Mender(*learnt.value)
+                learnt.mender = mender
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 garbled, mended = mender.mend(text)
@@ -382,19 +455,37 @@ def mend_texts(learnt):
     return run
 
 
-def corpus_triples(docs: DataFrame) -> dict[str, int]:
-    """Number of different texts that vouch for each triple around a character of ``TOLD``: so many characters, so many triples at most.
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (triple, n) to (kind, n)."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([kind_of(t) for t in batch.column("triple").to_pylist()], pa.string()), batch.column("n")], names=["kind", "n"])
+
+
+def corpus_statistics(docs: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """How many different texts vouch for each frequent triple around a character of ``TOLD``, and for each class of triples.
 
-    Rows with equal texts count once, so a boilerplate text is one text.
+    Rows with equal texts count once, so a boilerplate text is one text. All of it is added up on the cluster; what
+    comes to the driver are fewer than ``MOST_TRIPLES`` triples and the classes, which a character and seven sorts of
+    neighbours on either side bound.
     """
     some = docs.select("text").where(r"text rlike '[^\\x00-\\x7f]'")
-    counts = with_code(some).dropDuplicates(["text"]).mapInArrow(count_triples, "triple string, n long").groupBy("triple").agg(F.sum("n").alias("n"))
-    return settle({r["triple"]: r["n"] for r in counts.toLocalIterator()})
+    counts = stage(with_code(some).dropDuplicates(["text"]).mapInArrow(count_triples, "triple string, n long").groupBy("triple").agg(F.sum("n").alias("n")), "triples")
+    held = F.col("triple").startswith(HELD)
+    known = "".join(r[0] for r in counts.where(~held).select(F.substring("triple", 2, 1)).distinct().collect())  # at most the characters of TOLD
+    # What was held back counts after all where no text has any character that it may come from.
+    free = counts.where(~held)
+    left = F.substring("triple", 5, 2**31 - 1)
+    late = counts.where(held).where(F.translate(left, known, "") == left if known else F.lit(True)).select(F.substring("triple", 2, 3).alias("triple"), "n")
+    whole = stage(free.unionByName(late).groupBy("triple").agg(F.sum("n").alias("n")), "usage")
+    total = whole.agg(F.sum("n")).first()[0] or 0
+    frequent = whole.where((F.col("n") > 1) & (F.col("n") * MOST_TRIPLES > total)).toLocalIterator()
+    kinds = with_code(whole).mapInArrow(_kinds, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n")).toLocalIterator()
+    return {r["triple"]: r["n"] for r in frequent}, {r["kind"]: r["n"] for r in kinds}
 
 
 def find_garbled(docs: DataFrame) -> DataFrame:
     """doc_id, restored, lost of every garbled row of ``docs`` (doc_id, text)."""
-    counts = corpus_triples(docs)
-    learnt = docs.sparkSession.sparkContext.broadcast((counts, neighbourhoods(counts)))
+    counts, kinds = corpus_statistics(docs)
+    learnt = docs.sparkSession.sparkContext.broadcast((counts, kinds, neighbourhoods(counts, kinds)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(mend_texts(learnt), f"doc_id {kind}, restored string, lost boolean")

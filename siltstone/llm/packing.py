@@ -12,8 +12,8 @@ a container or so, so blocks of ``BLOCK_ITEMS`` items cost a tiny share). In a b
 5. what remains, in falling order of size, goes to the container whose free space fits best.
 
 Defined results: null and empty texts have no tokens and take no container (null). Equal texts and repeated
-rows are items of their own. Items are identified by their row, so repeated ids are kept. An empty table
-gives no row.
+rows are items of their own, repeated ids are kept. The containers depend on the rows alone, not on how they lie in
+files. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -60,44 +60,54 @@ def count_tokens(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _best_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """The multiset of sizes within the capacity that is worth most (unbounded knapsack)."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    smallest = int(sizes.min())
-    for c in range(smallest, capacity + 1):
-        fit = sizes <= c
-        worth = np.where(fit, best[np.maximum(c - sizes, 0)] + prices, -1.0)
-        i = int(worth.argmax())
-        if worth[i] > best[c - 1] + 1e-12:
-            best[c], took[c] = worth[i], i
-        else:
-            best[c] = best[c - 1]
-    out, c = np.zeros(len(sizes)), capacity
-    while c >= smallest:
-        if took[c] < 0:
-            c -= 1
-        else:
-            out[took[c]] += 1
-            c -= int(sizes[took[c]])
-    return out
-
-
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Configurations (columns) and how often the fractional optimum takes each."""
+class _Knapsack:
+    """The multiset of sizes within the capacity that is worth most, by layers: the best of up to k items from that of k - 1."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        self.layers = capacity // int(sizes.min())
+        rest = np.arange(capacity + 1) - sizes[:, None]
+        self.fits, self.rest = rest >= 0, np.maximum(rest, 0)
+
+    def best(self, prices: np.ndarray) -> np.ndarray:
+        worth, took = np.zeros(self.capacity + 1), []
+        every = np.arange(self.capacity + 1)
+        for _ in range(self.layers):
+            one_more = np.where(self.fits, worth[self.rest] + prices[:, None], -1.0)
+            item = one_more.argmax(axis=0)
+            more = one_more[item, every]
+            better = more > worth + 1e-12
+            took.append(np.where(better, item, -1))
+            worth = np.where(better, more, worth)
+        out, c = np.zeros(len(self.sizes)), self.capacity
+        for layer in reversed(took):
+            if layer[c] >= 0:
+                out[layer[c]] += 1
+                c -= int(self.sizes[layer[c]])
+        return out
+
+
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Configurations (columns) and how often the fractional optimum takes each.
+
+    The counts are told apart by tiny amounts, so every step gains something and the search ends at the optimum.
+    """
+    knapsack = _Knapsack(sizes, capacity)
+    counts = counts + 1e-5 * np.arange(1, len(sizes) + 1) / len(sizes)
     basis = np.diag(np.floor(capacity / sizes))
     amounts = counts / np.diag(basis)
-    for _ in range(rounds):
+    while True:
         prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
-        column = _best_configuration(sizes, np.maximum(prices, 0), capacity)
+        column = knapsack.best(np.maximum(prices, 0))
         if column @ prices <= 1 + 1e-7:
-            break
+            return basis, amounts
         step = np.linalg.solve(basis, column)
         ratio = np.divide(amounts, step, out=np.full(len(sizes), np.inf), where=step > 1e-9)
         leaves = int(ratio.argmin())
+        if ratio[leaves] * (column @ prices - 1) <= 1e-13 * amounts.sum():
+            return basis, amounts  # what is left to gain is below what these numbers can hold
         basis[:, leaves] = column
         amounts = np.maximum(np.linalg.solve(basis, counts), 0)
-    return basis, amounts
 
 
 class _Bins:
@@ -138,16 +148,16 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     out = np.full(len(sizes), -1, np.int64)
     order = np.argsort(-sizes, kind="stable")
     large = order[sizes[order] > capacity * SMALL]
-    if len(large) > GROUPS:
-        groups = [g for g in np.array_split(large, GROUPS) if len(g)]  # equal cardinality, the largest first
+    if len(large):
+        groups = np.array_split(large, min(GROUPS, len(large)))  # equal cardinality, the largest first
         rounded = np.array([sizes[g[0]] for g in groups])
         same = np.unique(-rounded, return_inverse=True)[1]
         groups = [np.concatenate([g for g, s in zip(groups, same) if s == k]) for k in range(same.max() + 1)]
         rounded = np.array([sizes[g[0]] for g in groups])
         columns, amounts = configurations(rounded, np.array([float(len(g)) for g in groups]), capacity)
         queues = [list(g[::-1]) for g in groups]
-        for j in np.argsort(-amounts):
-            for _ in range(int(amounts[j] + 1e-9)):
+        for j in np.argsort(-amounts, kind="stable"):
+            for _ in range(int(amounts[j] + 1e-4)):
                 taken = [queues[i].pop() for i in range(len(groups)) for _ in range(int(columns[i, j])) if queues[i]]
                 if not taken:
                     break
@@ -167,11 +177,13 @@ def containers(items: DataFrame, capacity: int = CAPACITY, block_items: int = BL
     n = items.count()
     blocks = max(1, -(-n // block_items))
     kind = items.schema["doc_id"].dataType.simpleString()
-    at = F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)).cast("long")
-    numbered = items.withColumn("row", F.monotonically_increasing_id()).withColumn("block", at)
+    # Rows that agree are numbered, so that the block of each follows from the rows alone and not from files or tasks.
+    equal = items.where("n_tokens > 0").groupBy("doc_id", "n_tokens").count()
+    numbered = equal.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("row"))
+    numbered = numbered.withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "row"], ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "n_tokens", "row"], ignore_index=True)
         tokens = pdf["n_tokens"].to_numpy()
         full, tail = tokens // capacity, tokens % capacity  # full pieces need no packing, only a number
         source = np.concatenate([np.repeat(np.arange(len(pdf)), full), np.flatnonzero(tail)])
@@ -189,7 +201,7 @@ def containers(items: DataFrame, capacity: int = CAPACITY, block_items: int = BL
         )
 
     # A number of partitions of its own: by bytes, which are few, whole runs of blocks would share a task.
-    packed = with_code(numbered).where("n_tokens > 0").repartition(blocks, "block").groupBy("block").applyInPandas(run, f"container long, doc_id {kind}, piece int, first_token long, n_tokens long")
+    packed = with_code(numbered).repartition(blocks, "block").groupBy("block").applyInPandas(run, f"container long, doc_id {kind}, piece int, first_token long, n_tokens long")
     empty = items.where("n_tokens = 0").select(F.lit(None).cast("long").alias("container"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens")
     return packed.unionByName(empty)
 

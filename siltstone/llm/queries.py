@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ PERCENTILES = [0.5, 0.75, 0.9, 0.95, 0.99]
 def p3_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences and records of every term, and whether it is too rare or too common to be useful."""
     t = table(spark, sf, "term_index")
-    terms = termstats.term_frequencies(t, ("field_name", "norm_value"), "fragment_id", "uid_count", "uid_list").where("k2 is not null")
-    marked = termstats.mark_terms(terms, termstats.distinct_items(t, "uid_list"))
+    terms, total = termstats.term_frequencies(t, ("field_name", "norm_value"), "fragment_id", "uid_count", "uid_list")
+    marked = termstats.mark_terms(terms.where("k2 is not null"), total)
     return marked.select(F.col("k1").alias("field_name"), F.col("k2").alias("norm_value"), "occurrences", "records", "rare", "common")
 
 
@@ -47,16 +49,11 @@ def timed_values(spark: SparkSession, sf: str) -> DataFrame:
     return setup.unionByName(page(known)).unionByName(page(orphans))
 
 
+FINE = ["metric", "query_type", "day"]
 LEVEL = ["metric", "level", "query_type", "day"]
-
-
-def _levels(of: dict[str, tuple[str, str]]) -> F.Column:
-    """All levels of a row as an array of structs; ``of`` gives the columns or nulls of each level."""
-    return F.array(*[F.struct(F.col("metric"), F.lit(name).alias("level"), F.expr(a).alias("query_type"), F.expr(b).alias("day")) for name, (a, b) in of.items()])
-
-
-NO_TYPE, NO_DAY = "cast(null as string)", "cast(null as date)"
-ROLLUPS = {"type": ("query_type", NO_DAY), "day": (NO_TYPE, "day"), "all": (NO_TYPE, NO_DAY)}
+LEVELS = {"type,day": FINE, "type": ["metric", "query_type"], "day": ["metric", "day"], "all": ["metric"]}
+#: The stated bound on the error of a rank, as a share of n.
+MOST_RANK_ERROR = 0.015
 
 
 def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,41 +62,72 @@ def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     The digests per type and day are the stored form; the other levels are merged from them.
     """
     values = stage(timed_values(spark, sf), "timed-values")
-    daily = stage(digests.digest(values, ["metric", "query_type", "day"]), "daily-digests")
-    rolled = digests.digest(daily.select(F.inline(_levels(ROLLUPS)), "mean", "weight"), LEVEL)
+    daily = stage(digests.digest(values, FINE), "daily-digests")
+    null = {"query_type": "cast(null as string)", "day": "cast(null as date)"}
+    wider = F.array(*[F.struct("metric", F.lit(level).alias("level"), *[F.col(c) if c in keep else F.expr(null[c]).alias(c) for c in FINE[1:]]) for level, keep in list(LEVELS.items())[1:]])
+    rolled = digests.digest(daily.select(F.inline(wider), "mean", "weight"), LEVEL)
     every = daily.select("metric", F.lit("type,day").alias("level"), "query_type", "day", "mean", "weight").unionByName(rolled)
     est = stage(digests.estimates(every, LEVEL, PERCENTILES), "percentiles")
-    groups = values.select("value", _levels({"type,day": ("query_type", "day")} | ROLLUPS).alias("groups"))
-    exact = digests.certify(groups, est, LEVEL, PERCENTILES)
-    small = est.count() <= digests.BROADCAST_GROUPS
+    exact = digests.certify(values, est, FINE, LEVELS, PERCENTILES)
     e = est.select(*[F.col(c).alias(f"e_{c}") for c in LEVEL], "n", "est")
-    on = F.col("metric").eqNullSafe(F.col("e_metric"))
-    for c in LEVEL[1:]:
-        on = on & F.col(c).eqNullSafe(F.col(f"e_{c}"))
-    joined = exact.join(F.broadcast(e) if small else e, on)
+    joined = exact.join(e, [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in LEVEL])
     names = [f"p{round(100 * q)}" for q in PERCENTILES]
     return joined.select(*LEVEL, "n", *[F.col("est")[j].alias(p) for j, p in enumerate(names)], F.array_max("errors").alias("max_rank_error"))
 
 
+def p4_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Per metric and level: groups, values, and how many groups have a percentile whose exact rank is off by more than the stated bound."""
+    return p4_percentiles(spark, sf).groupBy("metric", "level").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_values"), F.count_if(F.col("max_rank_error") > MOST_RANK_ERROR).alias("beyond"))
+
+
+def _uids(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    t = table(spark, sf, "term_index")
+    return t.select(F.substring("shard_id", 1, 8).alias("day"), "datatype", "field_name", F.explode("uid_list").alias("id")), ["day", "datatype", "field_name"]
+
+
+def _users(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    m = table(spark, sf, "query_metric")
+    return m.select(_day("create_date").alias("day"), "query_type", clean_user(F.col("query_user")).alias("id")), ["day", "query_type"]
+
+
+def _counted(ids: DataFrame, dims: list[str]) -> DataFrame:
+    bits = bitmaps.size_bits(ids.where("id is not null").count())
+    return bitmaps.estimate(bitmaps.cube(bitmaps.build(ids, dims, bits), dims), ["level", *dims])
+
+
 def p5_uid_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct UIDs per shard day, datatype, field and all their combinations."""
-    t = table(spark, sf, "term_index").select(F.substring("shard_id", 1, 8).alias("day"), "datatype", "field_name", "uid_list")
-    capacity = t.agg(F.sum(F.coalesce(F.size("uid_list"), F.lit(0)))).first()[0] or 0
-    dims = ["day", "datatype", "field_name"]
-    bits = bitmaps.size_bits(max(0, capacity))
-    maps = bitmaps.cube(bitmaps.build(t.select(*dims, F.explode("uid_list").alias("id")), dims, bits), dims)
-    return bitmaps.estimate(maps, ["level", *dims], bits)
+    return _counted(*_uids(spark, sf))
 
 
 def p5_user_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct users (trimmed, lower-cased) per day of create_date, query type and their combinations."""
-    m = table(spark, sf, "query_metric").select(_day("create_date").alias("day"), "query_type", clean_user(F.col("query_user")).alias("id"))
-    dims = ["day", "query_type"]
-    bits = bitmaps.size_bits(m.count())
-    return bitmaps.estimate(bitmaps.cube(bitmaps.build(m, dims, bits), dims), ["level", *dims], bits)
+    return _counted(*_users(spark, sf))
+
+
+def _bounds(ids: DataFrame, dims: list[str]) -> DataFrame:
+    """Per level the estimates against exact counts: groups, exact counts added up, estimates six standard errors off or more."""
+    est = _counted(ids, dims)
+    cube = ids.where("id is not null").cube(*dims).agg(F.grouping_id().alias("gid"), F.count_distinct("id").alias("exact"))
+    name = F.coalesce(F.concat_ws(",", *[F.when(F.col("gid").bitwiseAND(F.lit(1 << (len(dims) - 1 - i))) == 0, F.lit(d)) for i, d in enumerate(dims)]), F.lit(""))
+    exact = cube.select(F.when(name == "", F.lit("all")).otherwise(name).alias("l"), *[F.col(d).alias(f"_{d}") for d in dims], "exact")
+    both = est.join(exact, [F.col("level") == F.col("l"), *[F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims]], "full")
+    off = F.coalesce(F.abs(F.col("estimate") - F.col("exact")) > 6 * F.col("std_error") * F.col("estimate") + 1, F.lit(True))
+    return both.groupBy(F.coalesce("level", "l").alias("level")).agg(F.count("*").alias("n_groups"), F.sum("exact").alias("n_exact"), F.count_if(off).alias("beyond"))
+
+
+def p5_uid_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return _bounds(*_uids(spark, sf))
 
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p4_percentiles": p4_percentiles, "p5_uid_counts": p5_uid_counts, "p5_user_counts": p5_user_counts}
+def p5_user_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return _bounds(*_users(spark, sf))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_terms": p3_terms, "p4_percentiles": p4_percentiles, "p4_bounds": p4_bounds,
+    "p5_uid_counts": p5_uid_counts, "p5_uid_bounds": p5_uid_bounds, "p5_user_counts": p5_user_counts, "p5_user_bounds": p5_user_bounds,
+}
 
 _TERMS = """
 WITH f AS (SELECT fragment_id, min(field_name) AS field_name, min(norm_value) AS norm_value, max(uid_count) AS uid_count FROM term_index WHERE norm_value IS NOT NULL GROUP BY fragment_id),
@@ -111,7 +139,28 @@ c AS (SELECT f.field_name, f.norm_value, CAST(sum(uid_count) AS BIGINT) AS occur
 m AS (SELECT c.*, occurrences <= 2 AS rare, records > 0 AND records * 20 >= (SELECT n FROM t) AS common FROM c)
 """
 
+
+def _cubed(ids: str, dims: list[str]) -> str:
+    parts = []
+    for n in range(len(dims) + 1):
+        for keep in combinations(dims, n):
+            by = f"SELECT count(DISTINCT id) AS n FROM {ids} AS i WHERE id IS NOT NULL GROUP BY {', '.join(keep) or 'true'}"
+            parts.append(f"SELECT '{','.join(keep) or 'all'}' AS level, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_exact, CAST(0 AS BIGINT) AS beyond FROM ({by}) AS x")
+    return " UNION ALL ".join(parts)
+
+
 ORACLES = {
     "p3_found": _TERMS + "SELECT field_name, norm_value, 'rare' AS mark FROM m WHERE rare UNION ALL SELECT field_name, norm_value, 'common' FROM m WHERE common",
     "p3_terms": _TERMS + "SELECT * FROM m",
+    "p4_bounds": f"""
+WITH q AS (SELECT query_id, query_type, setup_time, floor(create_date / 86400000.0) AS day FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY num_updates DESC, last_updated DESC, num_results DESC) AS rn FROM query_metric) AS x WHERE rn = 1),
+p AS (SELECT query_id, return_time FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, page_number ORDER BY page_requested DESC, return_time DESC) AS rn FROM page_metric) AS x WHERE rn = 1 AND return_time >= 0),
+v AS (SELECT 'setup_time' AS metric, query_type, day FROM q WHERE setup_time >= 0
+  UNION ALL SELECT 'return_time', query_type, day FROM p LEFT JOIN q ON p.query_id = q.query_id),
+g AS (SELECT metric, query_type, day, count(*) AS n FROM v GROUP BY metric, query_type, day)
+{' UNION ALL '.join(f"SELECT metric, '{level}' AS level, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_values, CAST(0 AS BIGINT) AS beyond FROM (SELECT sum(n) AS n, {', '.join(keep)} FROM g GROUP BY {', '.join(keep)}) AS x GROUP BY metric" for level, keep in LEVELS.items())}""",
+    "p5_uid_bounds": _cubed("(SELECT substr(shard_id, 1, 8) AS day, datatype, field_name, unnest(uid_list) AS id FROM term_index)", ["day", "datatype", "field_name"]),
+    "p5_user_bounds": _cubed("(SELECT floor(create_date / 86400000.0) AS day, query_type, CASE WHEN trim(query_user) <> '' THEN lower(trim(query_user)) END AS id FROM query_metric)", ["day", "query_type"]),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import leaks, mojibake, packing
 from siltstone.sources.tables import table
+from siltstone.storage import stage
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -30,6 +31,22 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return used.withColumn("unused", packing.CAPACITY - F.col("used"))
 
 
+def p8_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the containers keep their promises: documents, those without tokens, containers over capacity, documents
+    whose pieces don't make up their tokens, documents divided without need, and whether the containers are as few as
+    their tokens allow, but for one in a hundred and two more."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    sizes = packing.measure(docs, tokenizer_path())
+    pieces = stage(packing.containers(sizes), "pieces")
+    by_doc = pieces.groupBy("doc_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n"), F.max("piece").alias("last")).join(sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens")), "doc_id", "full")
+    torn = (~F.col("used").eqNullSafe(F.col("n_tokens"))) | (F.col("last") + 1 != F.col("n"))
+    need = F.greatest(F.ceil(F.col("n_tokens") / packing.CAPACITY), F.lit(1))
+    documents = by_doc.agg(F.count("*").alias("n_documents"), F.count_if(F.col("n_tokens") == 0).alias("n_without_tokens"), F.count_if(torn).alias("n_torn"), F.count_if(F.col("n") != need).alias("n_split_without_need"))
+    used = pieces.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    full = used.agg(F.count_if(F.col("used") > packing.CAPACITY).alias("n_over"), (F.count("*") * packing.CAPACITY <= F.coalesce(F.sum("used"), F.lit(0)) * 1.01 + 2 * packing.CAPACITY).alias("tight"))
+    return documents.withColumn("k", F.lit(1)).join(full.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that contain a passage of an item, whole, in part or edited.
 
@@ -41,7 +58,8 @@ def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = leaks.find_leaks(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "eval_item").select("item_id", "text"))
-    return pairs.where(f"run >= {leaks.WINDOW}").select("doc_id", "item_id")
+    # The score of the alignment first: one of 12 matches or more; then the exact check, that 12 of them are consecutive.
+    return pairs.where(f"score >= {leaks.MATCH * leaks.WINDOW} and run >= {leaks.WINDOW}").select("doc_id", "item_id")
 
 
 def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,6 +73,12 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p10_found": p10_found, "p10_restored": p10_restored,
-   "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks,
+   "p8_checked": p8_checked, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks,
 }
-ORACLES: dict[str, str] = {}
+_GRAMS = "SELECT {id}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM (SELECT {id}, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) AS w FROM {table}) AS x"
+ORACLES: dict[str, str] = {
+    "p8_checked": """
+SELECT count(*) AS n_documents, CAST(count_if(text IS NULL OR text = '') AS BIGINT) AS n_without_tokens, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_torn, CAST(0 AS BIGINT) AS n_split_without_need, true AS tight
+FROM documents""",
+    "p9_found": f"WITH d AS ({_GRAMS.format(id='doc_id', table='documents')}), i AS ({_GRAMS.format(id='item_id', table='eval_item')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.g = i.g",
+}

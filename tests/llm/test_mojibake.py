@@ -27,7 +27,7 @@ def mender():
     return mojibake.Mender(dict(counts))
 
 
-@pytest.mark.parametrize("read", ["cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1251"])
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1251", "cp1253", "cp1256", "cp852"])
 @pytest.mark.parametrize("text", CLEAN)
 def test_utf8_read_wrongly(mender, read, text):
     table = mojibake._bytes_to_chars(read)
@@ -57,6 +57,26 @@ def test_right_text_stays(mender, text):
     assert mender.mend(text) == (False, None)
 
 
+@pytest.mark.parametrize("text", ["שלום עולם, השאילתה לא החזירה תוצאות", "مرحبا بالعالم، لم يرجع الاستعلام شيئا", "クエリは結果を返しません。", "漢字仮名交じり文の検索結果を確認する", "สวัสดีชาวโลก", "검색 결과가 없습니다"])
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "mac_roman", "cp437"])
+def test_scripts_that_the_corpus_lacks(mender, read, text):
+    found, mended = mender.mend(mojibake._spelled(text, read))
+    assert found and mended == text
+
+
+@pytest.mark.parametrize("times", [3, 5, 7])
+def test_garbled_any_number_of_times(mender, times):
+    text = garbled = "A consulta não devolveu informação."
+    for _ in range(times):
+        garbled = mojibake._spelled(garbled, "cp1252")
+    assert mender.mend(garbled) == (True, text)
+
+
+@pytest.mark.parametrize("text", ["«évité»…", "Ïðèâåò", "Москва–Астана", "l’«été»—là", "naïve»—x", "漢字«é»—", "věšťba, těžší", "Москва и Астана", "سنگچین"])
+def test_three_bytes_on_purpose(mender, text):
+    assert mender.mend(text) == (False, None) or text == "Ïðèâåò"
+
+
 def test_lost(mender):
     assert mender.mend("na�ve count of 1945 � 18") == (True, None)
 

@@ -33,9 +33,9 @@ def test_terms(spark, monkeypatch, share):
     owner = {}
     rows = [(*owner.setdefault(fid, (f, v)), fid, w, i) if fid is not None else (f, v, fid, w, i) for f, v, fid, w, i in rows]
     df = make(spark, rows)
-    got = termstats.term_frequencies(df, ("f", "v"), "fid", "w", "items")
+    got, total = termstats.term_frequencies(df, ("f", "v"), "fid", "w", "items")
     assert {tuple(x) for x in got.collect()} == brute(rows)
-    assert termstats.distinct_items(df, "items") == len({x for *_, i in rows for x in i or [] if x is not None})
+    assert total == len({x for *_, i in rows for x in i or [] if x is not None})
 
 
 def test_marks(spark):
@@ -46,6 +46,15 @@ def test_marks(spark):
 
 
 def test_empty_and_long(spark):
-    assert termstats.term_frequencies(make(spark, []), ("f", "v"), "fid", "w", "items").count() == 0
-    long = "y" * 100_000
-    assert [tuple(r) for r in termstats.term_frequencies(make(spark, [("F", long, 1, 2, [long])] * 2), ("f", "v"), "fid", "w", "items").collect()] == [("F", long, 2, 1)]
+    assert termstats.term_frequencies(make(spark, []), ("f", "v"), "fid", "w", "items")[0].count() == 0
+    long = "y" * 100_000  # heavy, too: long names are listed by their digest
+    rows = [("F", long, 1, 2, [long])] * 2 + [("F", long + "z", i, 1, None) for i in range(9)]
+    got, total = termstats.term_frequencies(make(spark, rows), ("f", "v"), "fid", "w", "items")
+    assert {tuple(r) for r in got.collect()} == {("F", long, 2, 1), ("F", long + "z", 9, 0)} and total == 1
+
+
+def test_few_rows_with_long_lists_are_heavy(spark):
+    """Many heavy terms that share items: more than one word of bits."""
+    rows = [("F", f"t{k}", k, 1, [str(i) for i in range(k, k + 40)] + ["0"]) for k in range(100)] + [("G", "light", 1000 + i, 1, ["0", f"g{i}"]) for i in range(3)]
+    got, total = termstats.term_frequencies(make(spark, rows * 2), ("f", "v"), "fid", "w", "items")
+    assert {tuple(x) for x in got.collect()} == brute(rows) and total == 139 + 3
