@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.lang.dates import column_millis, following, granularity, millis, parse_date
 from siltstone.lang.ast import Lit, Node
 from siltstone.lang.jexl import QueryError
-from siltstone.plans.catalog import Field
+from siltstone.plans.catalog import DATE, Field
 from siltstone.plans.compiler import OPS, Compiler, ValueArray, full_match, function, truth
 
 Args = tuple[Node, ...]
@@ -128,9 +128,30 @@ def get_next_time(c: Compiler, args: Args) -> Column:
     return F.lit(millis(following(at, unit)))
 
 
-@function("filter", "getMaxValue", "getMinValue")
-def extreme_value(c: Compiler, args: Args) -> ValueArray:
-    raise QueryError("use .max() or .min()")
+def _extreme_value(c: Compiler, node: Node, most: bool) -> ValueArray:
+    """The values at the latest or earliest time among the values of a field; values that are no dates don't count."""
+    fields = c.values(node).fields
+    if not fields:
+        return c.array(node)
+    timed = []
+    for f in fields:
+        values = F.filter(f.column, lambda x: f.value(x).isNotNull()) if f.multi else F.filter(F.array(F.col(f.column)), lambda x: x.isNotNull())
+        ctx = (lambda x: x["ctx"].cast("string")) if f.context else (lambda x: F.lit(None).cast("string"))
+        timed.append(F.transform(values, lambda x: F.struct(_time(f, x).alias("at"), F.lit(f.name).alias("field"), f.raw(x).alias("raw"), _time(f, x).alias("norm"), ctx(x).alias("ctx"))))
+    every = F.filter(F.flatten(F.filter(F.array(*timed), lambda t: t.isNotNull())), lambda x: x["at"].isNotNull())
+    pick = F.array_max(F.transform(every, lambda x: x["at"])) if most else F.array_min(F.transform(every, lambda x: x["at"]))
+    found = F.filter(every, lambda x: x["at"] == pick)
+    return ValueArray(F.transform(F.slice(found, 1, 1), lambda x: F.struct(x["field"].alias("field"), x["raw"].alias("raw"), x["norm"].alias("norm"), x["ctx"].alias("ctx"))), DATE)
+
+
+@function("filter", "getMaxValue")
+def max_value(c: Compiler, args: Args) -> ValueArray:
+    return _extreme_value(c, args[0], True)
+
+
+@function("filter", "getMinValue")
+def min_value(c: Compiler, args: Args) -> ValueArray:
+    return _extreme_value(c, args[0], False)
 
 
 @function("filter", "timeFunction")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.lang.ast import Lit, Node
 from siltstone.lang.jexl import QueryError
+from siltstone.plans.catalog import Field
 from siltstone.plans.compiler import Compiler, full_match, function
 
 Args = tuple[Node, ...]
@@ -22,7 +23,11 @@ def length(c: Compiler, args: Args) -> Column:
 
 @function("f", "between")
 def between(c: Compiler, args: Args) -> Column:
-    """Bounds of text, or of numbers compared in single precision; flags tell whether bounds belong to the range."""
+    """Bounds of text, of whole numbers compared exactly, or of numbers compared in single precision.
+
+    Flags tell whether bounds belong to the range. Whole bounds are exact on fields of whole numbers; a fraction among
+    the bounds or the values makes it single precision.
+    """
     values = [a.value for a in args[1:] if isinstance(a, Lit)]
     if len(values) == 2:
         (low, high), (in_low, in_high) = values, (True, True)
@@ -33,9 +38,15 @@ def between(c: Compiler, args: Args) -> Column:
     else:
         raise QueryError("between: wrong arguments")
     numeric = not isinstance(low, str) and not isinstance(high, str)
-    cast = (lambda x: x.try_cast("float")) if numeric else (lambda x: x.cast("string"))
-    a, b = (F.lit(v).cast("float") if numeric else F.lit(v) for v in (low, high))
-    return c.values(args[0]).any(lambda f, x: ((cast(f.norm(x)) >= a) if in_low else (cast(f.norm(x)) > a)) & ((cast(f.norm(x)) <= b) if in_high else (cast(f.norm(x)) < b)))
+    whole = numeric and isinstance(low, int) and isinstance(high, int)
+
+    def test(f: Field, x: Column) -> Column:
+        kind = "bigint" if whole and f.spark in ("bigint", "int") else "float" if numeric else "string"
+        value = f.norm(x).try_cast(kind) if kind == "float" else f.norm(x).cast(kind)
+        a, b = (F.lit(v).cast(kind) for v in (low, high))
+        return ((value >= a) if in_low else (value > a)) & ((value <= b) if in_high else (value < b))
+
+    return c.values(args[0]).any(test)
 
 
 @function("f", "matchRegex")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.lang.jexl import QueryError
 from siltstone.plans.catalog import DATE, Catalog, Field
 from siltstone.plans.compiler import Values
 
@@ -30,10 +31,10 @@ def unique_keys(catalog: Catalog, fields: dict[str, list[str]]) -> list[Column]:
         for f in catalog.lookup(name):
             cut = lambda x: F.concat_ws("/", *[at_granularity(f, f.value(x), g) for g in grains])
             if f.multi:
-                parts.append(F.when(F.size(f.column) > 0, F.array_sort(F.transform(f.column, cut)).cast("string")))
+                parts.append(F.when(F.size(f.column) > 0, F.array_sort(F.transform(f.column, cut))))
             else:
                 parts.append(F.when(F.col(f.column).isNotNull(), cut(F.col(f.column))))
-        out.append(F.concat_ws("\x00", *parts) if len(parts) > 1 else parts[0] if parts else F.lit(None).cast("string"))
+        out.append(F.struct(*[p.alias(f"_{i}") for i, p in enumerate(parts)]) if len(parts) > 1 else parts[0] if parts else F.lit(None).cast("string"))
     return out
 
 
@@ -50,10 +51,13 @@ def group(df: DataFrame, catalog: Catalog, by: list[str], aggregates: dict[str,
 
     Values of several fields belong together if they have the same grouping context; fields that share no
     context combine all with all. A document without any of the fields counts in the group of nulls. With a
-    column of visibilities, each group gets the conjunction of those of its documents.
+    column of visibilities, each group gets the conjunction of those of its documents. A name that a model maps to
+    several fields stands for the values of all of them, where equal values of one context count once; an unknown
+    name is a field that no document has.
     """
     aggregates = aggregates or {}
-    simple = all(not f.multi for n in [*by, *sum(aggregates.values(), [])] for f in catalog.lookup(n))
+    found = {n: catalog.lookup(n) for n in [*by, *sum(aggregates.values(), [])]}
+    simple = all(len(fs) == 1 and not fs[0].multi for fs in found.values())
     specs = [(op, n) for op, names in aggregates.items() for n in names]
     seen = [] if visibility is None else [F.col(visibility).alias("_vis")]
     combined = [] if visibility is None else [F.array_join(F.array_sort(F.collect_set("_vis")), "&").alias("VISIBILITY")]
@@ -62,7 +66,7 @@ def group(df: DataFrame, catalog: Catalog, by: list[str], aggregates: dict[str,
         rows = df.select(*[columns[n].alias(n) for n in dict.fromkeys([*by, *(n for _, n in specs)])], *seen)
         aggs = [_aggregate(op, F.col(n)).alias(f"{n}_{op.upper()}") for op, n in specs]
         return rows.groupBy(*by).agg(F.count("*").alias("COUNT"), *aggs, *combined)
-    rows = df.select(*[Values(catalog.lookup(n)).array().column.alias(f"_a_{n}") for n in dict.fromkeys([*by, *(n for _, n in specs)])], *seen)
+    rows = df.select(*[_values(found[n]).alias(f"_a_{n}") for n in dict.fromkeys([*by, *(n for _, n in specs)])], *seen)
     for i, n in enumerate(by):
         values = F.col(f"_a_{n}")
         for other in by[:i]:  # a value of an earlier field decides which values of this one go with it
@@ -79,6 +83,31 @@ def group(df: DataFrame, catalog: Catalog, by: list[str], aggregates: dict[str,
     return rows.groupBy(*named).agg(F.count("*").alias("COUNT"), *aggs, *combined)
 
 
+def _values(fields: list[Field]) -> Column:
+    array = Values(fields).array().column
+    if len(fields) < 2:
+        return array
+    return F.array_distinct(F.transform(array, lambda x: F.struct(x["raw"].alias("raw"), x["norm"].alias("norm"), x["ctx"].alias("ctx"))))
+
+
+def merge_groups(groups: list[DataFrame], by: list[str], aggregates: dict[str, list[str]] | None = None) -> DataFrame:
+    """Results of :func:`group` over parts of the documents as one; averages must come with the counts of their field."""
+    rows = groups[0]
+    for g in groups[1:]:
+        rows = rows.unionByName(g)
+    out = [F.sum("COUNT").alias("COUNT")]
+    for op, names in (aggregates or {}).items():
+        for n in names:
+            c, count = F.col(f"{n}_{op.upper()}"), f"{n}_COUNT"
+            if op == "average":
+                if count not in rows.columns:
+                    raise QueryError(f"averages of {n} can't be merged without their counts")
+                out.append(ten_digits(F.try_divide(F.sum(c * F.col(count)), F.sum(F.when(c.isNotNull(), F.col(count))))).alias(f"{n}_AVERAGE"))
+            else:
+                out.append({"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[op](c).alias(f"{n}_{op.upper()}"))
+    return rows.groupBy(*by).agg(*out)
+
+
 def _linked(values: Column, chosen: Column) -> Column:
     """Values in the context of the chosen one; all of them where the two fields share no context."""
     same = F.filter(values, lambda x: x["ctx"] == chosen["ctx"])
@@ -123,10 +152,22 @@ def facet_estimates(df: DataFrame, by: list[str], identifier: str, least: int =
     return out if most is None else out.orderBy(F.desc("estimate"), *by).limit(most)
 
 
-def uid_lists(df: DataFrame, by: list[str], uid: str, most: int = 20) -> DataFrame:
-    """UIDs per key while there are at most ``most``, else their number alone. No list grows beyond most + 1."""
-    each = df.select(*by, uid).distinct()
-    counted = each.groupBy(*by).agg(F.count(uid).alias("count"))
-    small = counted.where(F.col("count") <= most)
-    listed = each.join(small.select(*by), by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list(uid)).alias("uids"))
-    return counted.join(listed, by, "left").select(*by, "count", (F.col("count") > most).alias("ignore"), "uids")
+def uid_lists(df: DataFrame, by: list[str], uids: str, removed: str, ignore: str, count: str, most: int = 20) -> DataFrame:
+    """Uid lists of all fragments of each key as one: count, ignore, uids, removed.
+
+    A UID that any fragment removes is gone, whichever came first, and stays listed as removed. A key with a fragment
+    that keeps a count only, or with more than ``most`` UIDs left, keeps a count only: those of its fragments, or the
+    number of UIDs. No list holds more than ``most`` UIDs, and more removed than that aren't listed: what a key has is
+    counted before it is gathered.
+    """
+    each = lambda c, gone: df.select(*by, F.explode(c).alias("uid"), F.lit(gone).alias("gone"))
+    rows = each(uids, 0).unionByName(each(removed, 1)).where("uid is not null").groupBy(*by, "uid").agg(F.max("gone").alias("gone"))
+    held = rows.groupBy(*by).agg(F.count_if(F.col("gone") == 0).alias("left"), F.count_if(F.col("gone") == 1).alias("gone"))
+    flags = df.groupBy(*by).agg(F.bool_or(F.coalesce(ignore, F.lit(False))).alias("flagged"), F.sum(F.coalesce(count, F.lit(0))).alias("total"))
+    keys = flags.join(held, by, "left").withColumns({"left": F.coalesce("left", F.lit(0)), "gone": F.coalesce("gone", F.lit(0))})
+    keys = keys.withColumn("ignore", F.col("flagged") | (F.col("left") > most))
+    small = keys.where(~F.col("ignore")).select(*by, F.col("gone").alias("n_gone"))
+    lists = lambda gone: F.array_sort(F.collect_list(F.when(F.col("gone") == gone, F.col("uid"))))
+    listed = rows.join(small, by).where((F.col("gone") == 0) | (F.col("n_gone") <= most)).groupBy(*by).agg(lists(0).alias("uids"), lists(1).alias("removed"))
+    few = F.col("gone") <= most
+    return keys.join(listed, by, "left").select(*by, F.when(F.col("flagged"), F.col("total")).otherwise(F.col("left")).alias("count"), "ignore", "uids", F.when(few, F.col("removed")).alias("removed"))

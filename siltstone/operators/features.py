@@ -26,7 +26,8 @@ MOST_CHARS = 64
 
 def short(c: str) -> Column:
     """A key part in at most ``MOST_CHARS`` + 1 characters; equal for equal parts only."""
-    return F.when(F.length(c) <= MOST_CHARS, F.concat(F.lit("="), F.col(c))).otherwise(F.sha2(F.col(c), 256))
+    text = F.col(c).cast("string")
+    return F.when(F.length(text) <= MOST_CHARS, F.concat(F.lit("="), text)).otherwise(F.sha2(text, 256))
 
 
 def statistics(events: DataFrame, entity: Column, kind: str, ts: str, amount: str, event_id: str) -> DataFrame:

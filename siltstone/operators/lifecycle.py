@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +29,48 @@ def age_off_pattern(df: DataFrame, value: str, ts_ms: Column, anchor_ms: int, ru
     return df.where(ttl.isNull() | (ts_ms > F.lit(anchor_ms) - ttl))
 
 
-def modify(df: DataFrame, key: str, changes: DataFrame, column: str) -> DataFrame:
+def modify(df: DataFrame, key: str, changes: DataFrame, column: str, order: str | None = None) -> DataFrame:
     """Field values after changes (key, action, old, new), applied by copying: INSERT, UPDATE, DELETE, REPLACE.
 
     ``df`` has key and an array of values. UPDATE and DELETE touch the value ``old`` only, REPLACE puts new in
-    place of all values. One change per key.
+    place of all values. Several changes of one key are made one after the other, by the column ``order`` of the
+    changes if there is one; those that tie, by action, old and new value. Documents without changes stay as they are.
     """
-    j = df.join(changes.select(F.col(key).alias("_key"), "action", "old", "new"), F.col(key) == F.col("_key"), "left")
-    v = F.coalesce(F.col(column), F.array().cast("array<string>"))
-    new = (
-        F.when(F.col("action") == "INSERT", F.array_union(v, F.array("new")))
-        .when(F.col("action") == "UPDATE", F.transform(v, lambda x: F.when(x == F.col("old"), F.col("new")).otherwise(x)))
-        .when(F.col("action") == "DELETE", F.filter(v, lambda x: ~x.eqNullSafe(F.col("old"))))
-        .when(F.col("action") == "REPLACE", F.array("new"))
-        .otherwise(F.col(column))
-    )
-    return j.withColumn(column, new).drop("_key", "action", "old", "new")
+    given = F.struct(*([F.col(order).alias("at")] if order else []), "action", "old", "new")
+    todo = changes.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(given)).alias("_todo"))
+
+    def step(v: Column, c: Column) -> Column:
+        return (
+            F.when(c["action"] == "INSERT", F.array_union(v, F.array(c["new"])))
+            .when(c["action"] == "UPDATE", F.transform(v, lambda x: F.when(x == c["old"], c["new"]).otherwise(x)))
+            .when(c["action"] == "DELETE", F.filter(v, lambda x: ~x.eqNullSafe(c["old"])))
+            .when(c["action"] == "REPLACE", F.array(c["new"]))
+            .otherwise(v)
+        )
+
+    j = df.join(todo, F.col(key) == F.col("_key"), "left")
+    start = F.coalesce(F.col(column), F.array().cast("array<string>"))
+    return j.withColumn(column, F.when(F.col("_todo").isNull(), F.col(column)).otherwise(F.aggregate("_todo", start, step))).drop("_key", "_todo")
+
+
+def age_off_visibility(df: DataFrame, visibility: str, ts_ms: Column, anchor_ms: int, rules: list[tuple[list[str], bool, int]]) -> DataFrame:
+    """Rules (labels, all of them or any, time to live) on the labels that a visibility names; the first that holds counts."""
+    labels = F.transform(F.split(F.regexp_replace(F.coalesce(visibility, F.lit("")), r"[&|()\"\s]+", " "), " "), F.trim)
+    holds = lambda names, every: _joined([F.array_contains(labels, n) for n in names], every)
+    ttl = F.coalesce(*[F.when(holds(names, every), F.lit(ms).cast("bigint")) for names, every, ms in rules], F.lit(None).cast("bigint"))
+    return df.where(ttl.isNull() | (ts_ms > F.lit(anchor_ms) - ttl))
+
+
+def age_off_token(df: DataFrame, value: str, ts_ms: Column, anchor_ms: int, rules: dict[str, int], delimiters: str = ";,:/ ") -> DataFrame:
+    """The first token of the value that a rule names gives the time to live; tokens lie between delimiters."""
+    ttl_of = F.create_map(*[x for k, v in rules.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])
+    tokens = F.split(F.col(value), "[" + "".join(f"\\{d}" if not d.isspace() else d for d in delimiters) + "]")
+    ttl = F.get(F.filter(F.transform(tokens, lambda t: F.try_element_at(ttl_of, t)), lambda x: x.isNotNull()), F.lit(0))
+    return df.where(ttl.isNull() | (ts_ms > F.lit(anchor_ms) - ttl))
+
+
+def _joined(parts: list[Column], every: bool) -> Column:
+    return reduce(lambda a, b: a & b if every else a | b, parts)
 
 
 def history(before: DataFrame, after: DataFrame, key: str, column: str, at: str) -> DataFrame:

@@ -25,6 +25,14 @@ def pad_ipv4(value: Column) -> Column:
     return F.array_join(F.transform(octets, lambda o: F.when(o.contains("*"), o).otherwise(F.lpad(o, 3, "0"))), ".")
 
 
+def text_bounds(value: str) -> tuple[str, str] | None:
+    """Least and greatest text that equals an ASCII text in any case, None for other texts.
+
+    Capitals sort before small letters at every place; beyond ASCII only the Kelvin sign becomes a letter of it.
+    """
+    return (value.upper(), value.lower().replace("k", "\u212a")) if value and value.isascii() else None
+
+
 @dataclass(frozen=True)
 class Field:
     name: str

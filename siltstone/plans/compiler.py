@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siltstone.lang.ast import And, Arith, Call, Cmp, Ident, Lit, Marker, Method, Node, Not, Or
 from siltstone.lang.jexl import QueryError, is_range
-from siltstone.plans.catalog import DATE, NUMBER, TEXT, Catalog, Field
+from siltstone.plans.catalog import DATE, NUMBER, TEXT, Catalog, Field, text_bounds
 
 OPS: dict[str, Callable[[Column, Column], Column]] = {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
@@ -188,6 +188,9 @@ class Compiler:
         if node.name == "Lenient":
             inner = Compiler(self.catalog, self.lenient, self.no_expansion, True)
             return inner.predicate(node.part, strict)
+        if node.name == "Strict":
+            inner = Compiler(self.catalog, set(), self.no_expansion, False)
+            return inner.predicate(node.part, strict)
         return self.predicate(node.part, strict)
 
     def _literal(self, f: Field, value: object, unfielded: bool) -> Column | None:
@@ -250,7 +253,13 @@ class Compiler:
 
         def test(f: Field, x: Column) -> Column | None:
             v = self._literal(f, value, unfielded)
-            return None if v is None else OPS[op](f.norm(x), v)
+            if v is None:
+                return None
+            bounds = text_bounds(str(value)) if op == "==" and f.type == TEXT and f.spark == "string" and not f.multi else None
+            if bounds is None:
+                return OPS[op](f.norm(x), v)
+            # The bounds follow from the equality; unlike it they reach the scan and prune by the column's statistics.
+            return (f.value(x) >= bounds[0]) & (f.value(x) <= bounds[1]) & (f.norm(x) == v)
 
         return self.values(left).any(test)
 

@@ -236,12 +236,18 @@ def result_cardinality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT DISTINCT field_name, norm_value, uid FROM (SELECT field_name, norm_value, unnest(uid_list) AS uid FROM term_index) AS x WHERE uid IS NOT NULL),
-g AS (SELECT field_name, norm_value, count(*) AS count, list_sort(list(uid)) AS l FROM u GROUP BY field_name, norm_value)
-SELECT field_name, norm_value, count, count > 20 AS "ignore", CASE WHEN count <= 20 THEN array_to_string(l, ',') END AS uids FROM g WHERE norm_value IS NOT NULL""")
+WITH f AS (SELECT fragment_id, any_value(field_name) AS field_name, any_value(norm_value) AS norm_value, bool_or(coalesce(ignore_flag, false)) AS ig, any_value(uid_count) AS n, any_value(uid_list) AS a, any_value(removeduid_list) AS b FROM term_index WHERE norm_value IS NOT NULL GROUP BY fragment_id),
+u AS (SELECT field_name, norm_value, unnest(a) AS uid, 0 AS gone FROM f UNION ALL SELECT field_name, norm_value, unnest(b), 1 FROM f),
+d AS (SELECT field_name, norm_value, uid, max(gone) AS gone FROM u WHERE uid IS NOT NULL GROUP BY field_name, norm_value, uid),
+h AS (SELECT field_name, norm_value, count_if(gone = 0) AS l, count_if(gone = 1) AS r, array_to_string(list_sort(list(uid) FILTER (gone = 0)), ',') AS uids, array_to_string(list_sort(list(uid) FILTER (gone = 1)), ',') AS removed FROM d GROUP BY field_name, norm_value),
+g AS (SELECT field_name, norm_value, bool_or(ig) AS flagged, sum(n) AS total FROM f GROUP BY field_name, norm_value),
+k AS (SELECT g.field_name, g.norm_value, CAST(CASE WHEN flagged THEN total ELSE coalesce(l, 0) END AS BIGINT) AS count, flagged OR coalesce(l, 0) > 20 AS "ignore", l, r, uids, removed FROM g LEFT JOIN h ON g.field_name = h.field_name AND g.norm_value = h.norm_value)
+SELECT field_name, norm_value, count, "ignore", CASE WHEN NOT "ignore" AND l + r > 0 THEN coalesce(uids, '') END AS uids, CASE WHEN NOT "ignore" AND l + r > 0 AND r <= 20 THEN coalesce(removed, '') END AS removed FROM k""")
 def uid_list_aggregation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "term_index").where("norm_value is not null").select("field_name", "norm_value", F.explode("uid_list").alias("uid")).where("uid is not null")
-    return aggregate.uid_lists(rows, ["field_name", "norm_value"], "uid").withColumn("uids", F.array_join("uids", ","))
+    columns = ["field_name", "norm_value", "ignore_flag", "uid_count", "uid_list", "removeduid_list"]
+    rows = table(spark, sf, "term_index").where("norm_value is not null").select("fragment_id", *columns).dropDuplicates(["fragment_id"])
+    lists = aggregate.uid_lists(rows, ["field_name", "norm_value"], "uid_list", "removeduid_list", "ignore_flag", "uid_count")
+    return lists.withColumns({"uids": F.array_join("uids", ","), "removed": F.array_join("removed", ",")})
 
 
 @query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 100 + 1 AS BIGINT) AS page FROM orders WHERE lower(o_orderstatus) = 'p'")

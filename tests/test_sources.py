@@ -185,9 +185,11 @@ def test_edges_merge(spark):
 
 
 def test_uid_lists(spark):
-    df = spark.range(30).selectExpr("if(id < 3, 'few', 'many') as k", "cast(id as string) as uid")
-    got = {r["k"]: (r["count"], r["ignore"], r["uids"]) for r in aggregate.uid_lists(df, ["k"], "uid").collect()}
-    assert got == {"few": (3, False, ["0", "1", "2"]), "many": (27, True, None)}
+    rows = [("few", ["a", "b", None, "a"], ["b", "z"], None, 9), ("few", None, [], False, 1), ("flag", ["a"], None, True, 5), ("flag", ["a"], None, False, 2), ("none", [], None, None, 3)]
+    rows += [("many", [str(i)], ["7"] if i == 3 else None, None, 1) for i in range(30)] + [("gone", ["a"], [str(i) for i in range(30)], None, 1)]
+    df = spark.createDataFrame(rows, "k string, uids array<string>, gone array<string>, flagged boolean, n long")
+    got = {r["k"]: tuple(r)[1:] for r in aggregate.uid_lists(df, ["k"], "uids", "gone", "flagged", "n").collect()}
+    assert got == {"few": (1, False, ["a"], ["b", "z"]), "flag": (7, True, None, None), "many": (29, True, None, None), "none": (0, False, None, None), "gone": (1, False, ["a"], None)}
 
 
 def test_discovery_refuses(spark):
