@@ -7,6 +7,9 @@ distance of unordered terms needs the tokens' positions.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,68 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
 
 
+TOKENS = "array<struct<term:string,pos:int,skips:int,score:float>>"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Accented letters of the Latin script and what they are without the accent, of one character each."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250)]
+    kept = [(a, b.lower()) for a, b in pairs if a != b and b.isascii()]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
+def analyse(text: Column, stop_words: set[str] = frozenset(), synonyms: dict[str, list[str]] | None = None, most: int | None = None, accents: bool = False, score: Callable[[Column, Column], Column] | None = None) -> Column:  # type: ignore[assignment]
+    """The tokens of a text as structs (term, pos, skips, score).
+
+    Stop words are left out, but keep their position; ``skips`` counts those right before a token. Tokens are cut to
+    ``most`` characters and lose their accents unless these are kept. Synonyms come behind their term at the same
+    position. ``score`` makes a score of a term and its position; else it is null.
+    """
+    plain = text if accents else F.translate(text, *_plain_letters())
+    words = tokens(plain)
+    words = words if most is None else F.transform(words, lambda w: F.substring(w, 1, most))
+    made = lambda w, i, n: F.struct(w.alias("term"), i.cast("int").alias("pos"), n.cast("int").alias("skips"), (score(w, i) if score else F.lit(None)).cast("float").alias("score"))
+    if not stop_words:
+        found = F.transform(words, lambda w, i: made(w, i, F.lit(0)))
+    else:
+        placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        kept = F.filter(placed, lambda x: ~x["w"].isin(*sorted(stop_words)))
+        found = _with(kept, lambda ws: F.transform(ws, lambda x, k: made(x["w"], x["i"], x["i"] - F.coalesce(F.get(ws, k - 1)["i"], F.lit(-1)) - 1)))
+    if synonyms:
+        same = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+        others = lambda x: F.coalesce(F.try_element_at(same, x["term"]), F.array().cast("array<string>"))
+        found = F.flatten(F.transform(found, lambda x: F.concat(F.array(x), F.transform(others(x), lambda t: F.struct(t.alias("term"), x["pos"].alias("pos"), x["skips"].alias("skips"), x["score"].alias("score"))))))
+    return found.cast(TOKENS)
+
+
+def in_order(found: Column, terms: list[str], most: float | None = None) -> Column:
+    """Whether tokens hold the terms one behind the other: a token follows those at the position before it, or before the ones it skips.
+
+    With a bound only tokens that score at most so much count; one without a score counts always.
+    """
+    fits = lambda x, t: (x["term"] == t) & (F.lit(True) if most is None else F.coalesce(x["score"] <= most, F.lit(True)))
+
+    def behind(ws: Column, ends: Column, k: int) -> Column:
+        """Whether the terms from k on follow one of the positions."""
+        if k == len(terms):
+            return F.size(ends) > 0
+        follows = lambda x: F.exists(ends, lambda p: (p < x["pos"]) & (p >= x["pos"] - x["skips"] - 1))
+        return _with(F.transform(F.filter(ws, lambda x: fits(x, terms[k]) & follows(x)), lambda x: x["pos"]), lambda e: behind(ws, e, k + 1))
+
+    first = F.transform(F.filter(found, lambda x: fits(x, terms[0])), lambda x: x["pos"])
+    return _with(first, lambda ends: behind(found, ends, 1))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _analysed(c: Compiler, args: Args) -> list[Column]:
+    """Columns of analysed tokens among the fields of a call."""
+    return [F.col(f) for a in args if isinstance(a, Ident) and (f := c.catalog.analysed.get(a.name.upper()))]
+
+
 def _split(c: Compiler, args: Args, numbers: int) -> tuple[list[Column], list[float], list[str]]:
     """Text columns, leading numbers and terms of a call; the offset map's name is skipped."""
     zones = [a for a in args if isinstance(a, Ident) and a.name.lower() != "termoffsetmap"]
@@ -47,7 +112,9 @@ def _any(tests: list[Column]) -> Column:
 
 @function("content", "phrase")
 def phrase(c: Compiler, args: Args) -> Column:
-    """The terms next to each other, in this order."""
+    """The terms next to each other, in this order. In a field of analysed tokens synonyms and skipped words count."""
+    if found := _analysed(c, args):
+        return _any([in_order(f, [str(a.value).lower() for a in args if isinstance(a, Lit)]) for f in found])
     texts, _, terms = _split(c, args, 0)
     return _any([F.contains(spaced(t), F.lit(f" {' '.join(terms)} ")) for t in texts])
 
@@ -97,10 +164,12 @@ def adjacent(c: Compiler, args: Args) -> Column:
 
 @function("content", "scoredPhrase")
 def scored_phrase(c: Compiler, args: Args) -> Column:
-    """A phrase of tokens that score at most the given; a token's score is its length unless a score column is named."""
-    texts, [most], terms = _split(c, args, 1)
-    kept = [F.array_join(F.transform(tokens(t), lambda w: F.when(F.length(w) <= most, w).otherwise(F.lit("\x00"))), " ") for t in texts]
-    return _any([F.contains(F.concat(F.lit(" "), k, F.lit(" ")), F.lit(f" {' '.join(terms)} ")) for k in kept])
+    """A phrase of tokens that score at most the given; the field must hold analysed tokens, which carry scores."""
+    found = _analysed(c, args)
+    if not found:
+        raise QueryError("scores need a field of analysed tokens")
+    most, *terms = [a.value for a in args if isinstance(a, Lit)]
+    return _any([in_order(f, [str(t).lower() for t in terms], float(most)) for f in found])  # type: ignore[arg-type]
 
 
 def excerpt(text: Column, terms: list[str], n: int, side: str = "both") -> Column:

@@ -37,12 +37,32 @@ def term_condition(node: Node, term: str = "norm_value", field: str = "field_nam
     raise QueryError(f"nothing to discover in {node}")
 
 
-def discover(index: DataFrame, node: Node, by: tuple[str, ...] = ("norm_value", "field_name", "datatype"), day: Column | None = None, count: str = "uid_count", fragment_id: str = "fragment_id") -> DataFrame:
-    """Counts of the terms that a query names, per field, datatype and day; sums of zero or less are left out."""
+def discover(index: DataFrame, node: Node, by: tuple[str, ...] = ("norm_value", "field_name", "datatype"), day: Column | None = None, count: str = "uid_count", fragment_id: str = "fragment_id", visibility: str | None = None, references: bool = False) -> DataFrame:
+    """Counts of the terms that a query names, per field, datatype and day; sums of zero or less are left out.
+
+    ``visibility`` keeps the counts of each visibility apart; ``references`` counts the index's entries of a term
+    instead of what these add up to.
+    """
     day = F.substring("shard_id", 1, 8) if day is None else day
     found = index.where(term_condition(node)).withColumn("date", day)
-    hits = fragments(found, [*by, "date", count], fragment_id)
-    return hits.groupBy(*by, "date").agg(F.sum(count).alias("count")).where("count > 0")
+    keys = [*by, "date", *([visibility] if visibility else [])]
+    hits = fragments(found, [*keys, count], fragment_id)
+    return hits.groupBy(*keys).agg((F.count("*") if references else F.sum(count)).alias("count")).where("count > 0")
+
+
+def count_fields(index: DataFrame, text: str, model: dict[str, list[str]] | None = None, count: str = "uid_count", fragment_id: str = "fragment_id") -> DataFrame:
+    """Entries and counts of each term of fields: ``FIELD`` or ``FIELD:value``, several between blanks; names may stand for fields of a model."""
+    wanted: Column | None = None
+    for part in text.split():
+        name, _, value = part.partition(":")
+        for field in dict.fromkeys([name.upper(), *(model or {}).get(name.upper(), [])]):
+            one = F.col("field_name") == field
+            one = one & (F.col("norm_value") == value.lower()) if value else one
+            wanted = one if wanted is None else wanted | one
+    if wanted is None:
+        raise QueryError("no field to count")
+    rows = fragments(index.where(wanted), ["field_name", "norm_value", "datatype", count], fragment_id)
+    return rows.groupBy("field_name", "norm_value", "datatype").agg(F.count("*").alias("entries"), F.sum(count).alias("count"))
 
 
 def reverse_discover(index: DataFrame, suffix: str, field: str | None = None) -> DataFrame:

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from siltstone.lang.ast import And, Marker, Node, Not, Or
 from siltstone.lang.jexl import QueryError, is_range
 from siltstone.operators.discovery import term_condition
+from siltstone.plans.catalog import Catalog
+from siltstone.plans.compiler import Values
 
-MOST_LEAVES = 62
+#: Leaves whose bits share one mask.
+BITS = 62
 
 
 def _leaves(node: Node) -> list[Node]:
@@ -25,7 +28,7 @@ def _leaves(node: Node) -> list[Node]:
     return [node.part if isinstance(node, Marker) else node]
 
 
-def _decide(node: Node, bit: dict[Node, int], mask: Column | int) -> Column | bool:
+def _decide(node: Node, bit: dict[Node, int], mask: list[Column] | int) -> Column | bool:
     if isinstance(node, And) and not is_range(node):
         parts = [_decide(p, bit, mask) for p in node.parts]
         out = parts[0]
@@ -44,26 +47,33 @@ def _decide(node: Node, bit: dict[Node, int], mask: Column | int) -> Column | bo
     leaf = node.part if isinstance(node, Marker) else node
     if isinstance(mask, int):
         return bool(mask >> bit[leaf] & 1)
-    return mask.bitwiseAND(F.lit(1 << bit[leaf])) != 0
+    return mask[bit[leaf] // BITS].bitwiseAND(F.lit(1 << bit[leaf] % BITS)) != 0
 
 
 def search(index: DataFrame, node: Node, uids: str = "uid_list", keys: tuple[str, ...] = ("shard_id", "datatype")) -> DataFrame:
     """keys and uid of the documents whose postings satisfy the query."""
     leaves = list(dict.fromkeys(_leaves(node)))
-    if len(leaves) > MOST_LEAVES:
-        raise QueryError(f"{len(leaves)} different terms; at most {MOST_LEAVES}")
     bit = {leaf: i for i, leaf in enumerate(leaves)}
     if _decide(node, bit, 0):
         raise QueryError("documents without any of the terms can't be found in the index")
     conditions = {leaf: term_condition(leaf) for leaf in leaves}  # null is as good as false here, and plain conditions reach the scan
-    marks = F.lit(0).cast("long")
+    masks = [f"mask{k}" for k in range(-(-len(leaves) // BITS))]
+    marks = [F.lit(0).cast("long") for _ in masks]
     some = F.lit(False)
     for leaf, c in conditions.items():
-        marks = marks.bitwiseOR(F.when(c, F.lit(1 << bit[leaf])).otherwise(F.lit(0)).cast("long"))
+        k = bit[leaf] // BITS
+        marks[k] = marks[k].bitwiseOR(F.when(c, F.lit(1 << bit[leaf] % BITS)).otherwise(F.lit(0)).cast("long"))
         some = some | c
-    hits = index.where(some).select(*keys, marks.alias("mask"), F.explode(uids).alias("uid")).where("uid is not null")
-    docs = hits.groupBy(*keys, "uid").agg(F.bit_or("mask").alias("mask"))
-    return docs.where(_decide(node, bit, F.col("mask"))).select(*keys, "uid")
+    hits = index.where(some).select(*keys, *[m.alias(n) for m, n in zip(marks, masks)], F.explode(uids).alias("uid")).where("uid is not null")
+    docs = hits.groupBy(*keys, "uid").agg(*[F.bit_or(m).alias(m) for m in masks])
+    return docs.where(_decide(node, bit, [F.col(m) for m in masks])).select(*keys, "uid")
+
+
+def postings(df: DataFrame, catalog: Catalog, fields: list[str], uid: str, keys: list[str]) -> DataFrame:
+    """An index of documents: keys, field_name, norm_value and uid_list, one fragment per term and document."""
+    every = F.flatten(F.array(*[F.transform(Values(catalog.lookup(n)).array().column, lambda x: F.struct(x["field"].alias("field_name"), x["norm"].cast("string").alias("norm_value"))) for n in fields]))
+    rows = df.select(*keys, F.array(F.col(uid)).alias("uid_list"), F.explode(F.array_distinct(every)).alias("t"))
+    return rows.select(*keys, "t.field_name", "t.norm_value", "uid_list")
 
 
 def terms(df: DataFrame, keys: list[str], tokens: Column, field: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.storage import stage
+
 
 def chained(first: DataFrame, second: DataFrame, on: dict[str, str]) -> DataFrame:
     """Rows of ``second`` that the result of ``first`` asks for; ``on`` maps columns of first to those of second."""
@@ -41,6 +43,36 @@ def child_counts(docs: DataFrame, uid: str, parent: str) -> DataFrame:
     return docs.select(uid).join(n, uid, "left").select(uid, F.coalesce("children", F.lit(0)).alias("children"))
 
 
+def descendant_counts(docs: DataFrame, uid: str, parent: str, depth: int = 10) -> DataFrame:
+    """uid, children, descendants of every document, up to ``depth`` generations below it.
+
+    Counts move up a generation at a time: what is joined and shuffled is one row per document and generation, never
+    a pair of documents. It ends with the deepest generation that there is.
+    """
+    links = stage(docs.select(F.col(uid).alias("_u"), F.col(parent).alias("_p")).distinct(), "links")
+    level = links.where("_p is not null").groupBy(F.col("_p").alias("_u")).agg(F.count("*").alias("n"))
+    out = level.select("_u", F.col("n").alias("children"), F.col("n").alias("descendants"))
+    for _ in range(depth - 1):
+        level = stage(level.join(links.where("_p is not null"), "_u").groupBy(F.col("_p").alias("_u")).agg(F.sum("n").alias("n")), "generation")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.select("_u", F.lit(0).cast("long").alias("children"), F.col("n").alias("descendants")))
+    sums = out.groupBy("_u").agg(F.sum("children").alias("children"), F.sum("descendants").alias("descendants"))
+    return links.join(sums, "_u", "left").select(F.col("_u").alias(uid), F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("descendants", F.lit(0)).alias("descendants")).distinct()
+
+
+def with_children(hits: DataFrame, docs: DataFrame, uid: str, parent: str, depth: int = 10) -> DataFrame:
+    """The hits and all documents below them, each once: retrieval of whole hierarchies."""
+    found = hits.select(F.col(uid).alias("_u")).distinct()
+    level = found
+    for _ in range(depth):
+        level = stage(docs.select(F.col(uid).alias("_c"), F.col(parent).alias("_u")).join(level, "_u", "left_semi").select(F.col("_c").alias("_u")).distinct(), "generation")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return docs.join(found.distinct(), F.col(uid) == F.col("_u"), "left_semi")
+
+
 def composite(parts: list[DataFrame], dedupe: list[str] | None = None) -> DataFrame:
     """All results together, columns matched by name; ``dedupe`` columns identify a document found twice."""
     out = parts[0]

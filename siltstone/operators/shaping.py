@@ -181,10 +181,9 @@ def drop_empty(df: DataFrame, catalog: Catalog, names: list[str] | None = None)
     return df.where(some)
 
 
-def enrich(df: DataFrame, facts: DataFrame, on: list[str], most_rows: int = 1_000_000) -> DataFrame:
-    """Facts added to documents by key. The facts are broadcast only if their number has been checked."""
-    small = facts.limit(most_rows + 1).count() <= most_rows
-    return df.join(F.broadcast(facts) if small else facts, on, "left")
+def enrich(df: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """Facts added to documents by key. Whether the facts are broadcast is decided by their size in bytes when the plan runs."""
+    return df.join(facts, on, "left")
 
 
 def permute(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:

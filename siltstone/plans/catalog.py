@@ -83,6 +83,7 @@ class Catalog:
     fields: dict[str, Field]
     model: dict[str, list[str]] = field(default_factory=dict)
     indexed: set[str] = field(default_factory=set)
+    analysed: dict[str, str] = field(default_factory=dict)  # fields of analysed tokens and their columns
 
     @classmethod
     def of(cls, df: DataFrame, types: dict[str, str] | None = None, model: dict[str, list[str]] | None = None, tokenized: set[str] = frozenset()) -> Catalog:  # type: ignore[assignment]

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import siltstone.functions  # noqa: F401  (registers the functions)
 from siltstone.functions.content import excerpt
 from siltstone.lang import jexl, lucene
-from siltstone.lang.ast import And, Call, Cmp, Marker, Node, Or, fields
-from siltstone.operators import aggregate, shaping
+from siltstone.lang.ast import And, Call, Cmp, Ident, Lit, Marker, Node, Or, conjunction, disjunction, fields
+from siltstone.operators import aggregate, indexsearch, joins, shaping
 from siltstone.plans.catalog import Catalog
 from siltstone.plans.compiler import OPS, Compiler, full_match, truth
 from siltstone.plans.options import Options, extract
@@ -30,6 +30,13 @@ class EventQuery:
 
     ``ids`` identify a document and order documents where one of several is kept. ``day`` is the column of the
     event day and ``datatype`` that of the document's type; a query's date range and datatypes refer to them.
+    ``parent`` is the column of the parent's id, the first of ``ids``, where documents form a hierarchy. ``masked``
+    says of masked columns which column holds the masked value and which condition shows the plain one. ``views``
+    names the columns of views of a document's content.
+
+    ``index``, a table of postings, narrows a query before documents are read: the parts of its condition that name
+    terms of indexed fields are answered from it, and only the documents that it names are looked at (``index_keys``
+    are the columns that both share, beside the uid).
     """
 
     docs: DataFrame
@@ -43,6 +50,11 @@ class EventQuery:
     rules: list[Callable[[Node], Node]] = field(default_factory=list)  # a user's own rewrites of the tree
     models: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     most_days: int | None = None
+    parent: str | None = None
+    masked: dict[str, tuple[str, Column]] = field(default_factory=dict)
+    views: dict[str, str] = field(default_factory=dict)
+    index: DataFrame | None = None
+    index_keys: tuple[str, ...] = ("shard_id", "datatype")
 
     def parse(self, text: str, syntax: str = "JEXL", options: Options | None = None) -> tuple[Node | None, Options]:
         """The condition without options, and the options."""
@@ -106,8 +118,19 @@ class EventQuery:
             return df
         if not self.full_scan and not _selective(node):
             raise jexl.QueryError(f"nothing in the query narrows the search: {node}")
+        if self.index is not None:
+            df = self._narrowed(df, node, dates)
         return df.where(self.compiler(options).filter(node))
 
+    def _narrowed(self, df: DataFrame, node: Node, dates: tuple[str, str] | None) -> DataFrame:
+        """The documents that the index names for the part of the condition it can answer; all where it can't answer any."""
+        part = _answerable(node, self.catalog)
+        if part is None:
+            return df
+        index = self.index.where(F.substring("shard_id", 1, 8).between(*dates)) if dates and "shard_id" in self.index_keys else self.index
+        found = indexsearch.search(index, part, keys=self.index_keys)
+        return df.join(found.withColumnRenamed("uid", self.ids[0]), [*self.index_keys, self.ids[0]], "left_semi")
+
     def run(self, text: str, syntax: str = "JEXL", dates: tuple[str, str] | None = None, options: Options | None = None) -> DataFrame:
         """The shaped result."""
         node, o = self.parse(text, syntax, options)
@@ -116,12 +139,32 @@ class EventQuery:
             df = df.withColumn("RECORD_ID", F.concat_ws("/", *self.ids))
         if o.include_datatype and self.datatype:
             df = df.withColumn("EVENT_DATATYPE", F.col(self.datatype))
-        keep = [*self.ids, "RECORD_ID", "EVENT_DATATYPE", "HIT_TERM", "HIT_EXCERPT"]
+        keep = [*self.ids, "RECORD_ID", "EVENT_DATATYPE", "HIT_TERM", "HIT_EXCERPT", "CHILD_COUNT", "DESCENDANT_COUNT", "PARENT_UID"]
+        if o.other.get("filter.masked.values", "true").lower() == "true":
+            for column, (masked, seen) in self.masked.items():
+                df = shaping.mask(df, column, masked, seen)
+        df = self._hierarchy(df, o)
+        view = o.other.get("content.view.name")
+        if view is not None:
+            if view not in self.views:
+                raise jexl.QueryError(f"no view {view}")
+            df = df.drop(*[c for n, c in self.views.items() if n != view and c != self.views[view]])
+        elif o.other.get("content.view.all", "true").lower() == "false":
+            df = df.drop(*self.views.values())
         if o.hit_list and node is not None:
             df = df.withColumn("HIT_TERM", shaping.hit_terms(node, self.catalog))
         if o.excerpts and node is not None:
             df = df.withColumn("HIT_EXCERPT", self._excerpt(node, o))
         needed = [f.column for n in [*o.unique, *o.group, *sum(o.aggregates.values(), [])] for f in self.catalog.lookup(n)]
+        if sets := o.other.get("matching.field.sets"):
+            if node is None:
+                raise jexl.QueryError("matching.field.sets needs a condition")
+            test = _hit_test(node, self.catalog)
+            for names in sets.split(","):
+                linked = [n.strip().upper() for n in names.split("=") if n.strip()]
+                hit = [n for n in linked if n in _hit_fields(node)]
+                if hit:
+                    df = shaping.matching_field_sets(df, self.catalog, {n: (lambda raw, n=n: test(n, raw)) for n in hit}, linked)
         if o.include or o.exclude:
             df = shaping.project(df, self.catalog, o.include, o.exclude, keep + needed)
         if o.limit_fields:
@@ -134,8 +177,25 @@ class EventQuery:
             df = aggregate.group(df, self.catalog, o.group, o.aggregates)
         if o.rename:
             df = shaping.rename(df, self.catalog, o.rename) if not o.group else df.select(*[F.col(c).alias(n) for c in df.columns for n in o.rename.get(c, [c])])
+        if o.other.get("raw.data.only", "false").lower() == "true":
+            df = df.select(*[c for c in df.columns if c in self.docs.columns])
         return df.limit(o.max_results) if o.max_results is not None else df
 
+    def _hierarchy(self, df: DataFrame, o: Options) -> DataFrame:
+        """Counts of children and descendants, and the parent's uid, where the options ask for them."""
+        on = lambda name: o.other.get(name, "false").lower() == "true"
+        every = on("include.hierarchy.fields")
+        if not (every or on("include.child.count") or on("include.parent")):
+            return df
+        if self.parent is None:
+            raise jexl.QueryError("these documents have no hierarchy")
+        uid = self.ids[0]
+        if every or on("include.child.count"):
+            df = df.join(joins.descendant_counts(self.docs, uid, self.parent).select(uid, F.col("children").alias("CHILD_COUNT"), F.col("descendants").alias("DESCENDANT_COUNT")), uid, "left")
+        if every or on("include.parent"):
+            df = df.withColumn("PARENT_UID", F.col(self.parent))
+        return df
+
     def count(self, text: str, syntax: str = "JEXL", dates: tuple[str, str] | None = None) -> DataFrame:
         return self.matching(text, syntax, dates).agg(F.count("*").alias("count"))
 
@@ -148,6 +208,38 @@ class EventQuery:
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+def _answerable(node: Node, catalog: Catalog) -> Node | None:
+    """The weakest condition that follows from a query and that an index of terms answers; None if there is none.
+
+    Of a conjunction the parts that can be answered do, of a disjunction all must; negations follow from nothing in
+    the index and are left to the documents.
+    """
+    if isinstance(node, And) and not jexl.is_range(node):
+        return conjunction([p for x in node.parts if (p := _answerable(x, catalog)) is not None])
+    if isinstance(node, Or):
+        parts = [_answerable(p, catalog) for p in node.parts]
+        return None if any(p is None for p in parts) else disjunction(parts)  # type: ignore[arg-type]
+    if isinstance(node, Marker):
+        return _answerable(node.part, catalog) if node.name in ("Bounded", "Value", "List", "Term") else None
+    if jexl.is_range(node):
+        return node if node.parts[0].left.name in catalog.indexed and all(isinstance(p.right.value, str) for p in node.parts) else None  # type: ignore[union-attr]
+    if isinstance(node, Cmp) and isinstance(node.left, Ident) and isinstance(node.right, Lit) and isinstance(node.right.value, str) and node.op in ("==", "=~"):
+        found = catalog.lookup(node.left.name)
+        if node.left.name == "_ANYFIELD_" or not found or not {f.name for f in found} <= catalog.indexed:
+            return None
+        return disjunction([Cmp(node.op, Ident(f.name), node.right) for f in found])
+    return None
+
+
+def _hit_fields(node: Node) -> set[str]:
+    """Fields that a positive leaf of the condition compares."""
+    if isinstance(node, (And, Or)):
+        return {n for p in node.parts for n in _hit_fields(p)}
+    if isinstance(node, Marker):
+        return _hit_fields(node.part)
+    return {node.left.name} if isinstance(node, Cmp) and isinstance(node.left, Ident) and isinstance(node.right, Lit) and node.right.value is not None else set()
+
+
 def _calls(node: Node, name: str) -> list[Call]:
     if isinstance(node, Call):
         return [node] if node.name == name else []

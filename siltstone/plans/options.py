@@ -101,10 +101,23 @@ class Options:
             self.include_record_id = value.lower() == "true"
         elif k == "shards.and.days":
             self.shards_and_days += [d.strip() for d in value.split(",") if d.strip()]
-        else:
+        elif k in OTHER:
             self.other[k] = value
+        elif k not in NO_EFFECT:
+            raise QueryError(f"unknown option {key}")
 
 
+#: Options that the engine reads by name.
+OTHER = {
+    "ignore.nonexistent.fields", "model.name", "date.type", "include.grouping.context", "matching.field.sets", "include.child.count", "include.parent",
+    "include.hierarchy.fields", "raw.data.only", "content.view.name", "content.view.all", "filter.masked.values", "transform.content.to.uid", "query.syntax",
+}
+#: Options that can't change a result here: they tune or place work that Spark plans, or name what a catalog already says.
+NO_EFFECT = {
+    "query.profile", "model.table.name", "group.fields.batch.size", "date.index.time.travel", "raw.types", "non.event.key.prefixes",
+    "visibility.interpreter", "return.uid.mapper", "query.context.uid.mapper",
+}
+
 FUNCTIONS = {
     "unique": "unique.fields", "groupby": "group.fields", "rename": "rename.fields", "lenient": "lenient.fields", "strict": "strict.fields",
     "noExpansion": "no.expansion.fields", "excerpt_fields": "excerpt.fields", **{a: f"{a}.fields" for a in AGGREGATES},

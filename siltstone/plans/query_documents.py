@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.content import tokens
-from siltstone.operators import aggregate, shaping
+from siltstone.operators import aggregate, services, shaping
 from siltstone.operators.joins import lookup
 from siltstone.plans.catalog import EXACT, NUMBER, Catalog, Field
 from siltstone.plans.engine import EventQuery
@@ -232,7 +232,7 @@ def selectivity(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def result_cardinality(spark: SparkSession, sf: str) -> DataFrame:
     rows = on(spark, sf, "city_event").matching("CONTINENT == 'aurrira'")
-    return rows.groupBy("start_date").agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in ("country", "code", "num")])
+    return services.cardinality_report(rows, ["start_date"], ["country", "code", "num"])
 
 
 @query("""
@@ -266,15 +266,10 @@ def excerpt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, term, count(*) AS n, min(pos) - 1 AS first FROM (
-  SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents WHERE source = 'wiki/main') AS d) AS e
+  SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents) AS d) AS e
 GROUP BY doc_id, term""")
 def term_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return _frequencies(table(spark, sf, "documents").where("source = 'wiki/main'"))
-
-
-@query()
-def term_frequency_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Term counts of every document; ``term_frequency`` are those of one source, which its SQL can make."""
+    """Term counts of every document."""
     return _frequencies(table(spark, sf, "documents"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.lang import jexl, lucene
 from siltstone.functions.content import tokens
-from siltstone.operators import cachedsql, discovery, edges, indexsearch, joins, lifecycle, shaping, similarity
+from siltstone.operators import cachedsql, discovery, edges, indexsearch, joins, lifecycle, services, shaping, similarity
 from siltstone.operators.results import CachedResult
 from siltstone.plans.catalog import Catalog, pad_ipv4
 from siltstone.plans.query_documents import Run
@@ -63,9 +63,21 @@ def discovery_reverse(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.fragments(hits, ["norm_value", "field_name", "uid_count"]).groupBy("norm_value", "field_name").agg(F.sum("uid_count").alias("count"))
 
 
-@query("SELECT v.access_level, lower(country) AS term, count(*) AS count FROM city_event AS v WHERE lower(country) = 'pabeia' GROUP BY ALL")
+@query("SELECT access_level, lower(country) AS norm_value, 'COUNTRY' AS field_name, datatype, substr(shard_id, 1, 8) AS date, count(*) AS count FROM (SELECT DISTINCT uid, shard_id, datatype, access_level, country FROM city_event) AS d WHERE lower(country) = 'pabeia' GROUP BY ALL")
 def discovery_by_vis(spark: SparkSession, sf: str) -> DataFrame:
-    return on(spark, sf, "city_event").matching("COUNTRY == 'pabeia'").groupBy("access_level", F.lower("country").alias("term")).agg(F.count("*").alias("count"))
+    return discovery.discover(_own_index(spark, sf), jexl.parse("COUNTRY == 'pabeia'"), fragment_id="uid", visibility="access_level")
+
+
+@query("SELECT lower(country) AS norm_value, 'COUNTRY' AS field_name, datatype, substr(shard_id, 1, 8) AS date, count(DISTINCT (uid, access_level)) AS count FROM city_event WHERE lower(country) = 'pabeia' GROUP BY ALL")
+def discovery_references(spark: SparkSession, sf: str) -> DataFrame:
+    index = _own_index(spark, sf).withColumn("uid", F.concat_ws("/", "uid", F.coalesce("access_level", F.lit("-"))))
+    return discovery.discover(index, jexl.parse("COUNTRY == 'pabeia'"), fragment_id="uid", references=True)
+
+
+def _own_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of countries with their visibility; every document counts once."""
+    docs = table(spark, sf, "city_event").where("country is not null")
+    return docs.select("uid", "shard_id", "datatype", "access_level", F.lower("country").alias("norm_value"), F.lit("COUNTRY").alias("field_name"), F.lit(1).cast("long").alias("uid_count")).distinct()
 
 
 @query(f"SELECT field_name, datatype, shard_id, CAST(sum(uid_count) AS BIGINT) AS count FROM {FRAGMENTS} WHERE norm_value = 'draldozimia' GROUP BY ALL")
@@ -74,10 +86,9 @@ def term_index_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("field_name", "datatype", "shard_id").agg(F.sum("uid_count").alias("count"))
 
 
-@query(f"SELECT field_name, norm_value, datatype, count(*) AS entries, CAST(sum(uid_count) AS BIGINT) AS count FROM {FRAGMENTS} WHERE field_name IN ('CONTINENT', 'ACCESS') GROUP BY ALL")
+@query(f"SELECT field_name, norm_value, datatype, count(*) AS entries, CAST(sum(uid_count) AS BIGINT) AS count FROM {FRAGMENTS} WHERE field_name IN ('CONTINENT', 'ACCESS') OR (field_name IN ('CITY', 'STATE') AND norm_value = 'nadel') GROUP BY ALL")
 def index_count(spark: SparkSession, sf: str) -> DataFrame:
-    rows = discovery.fragments(_index(spark, sf).where(F.col("field_name").isin("CONTINENT", "ACCESS")), ["field_name", "norm_value", "datatype", "uid_count"])
-    return rows.groupBy("field_name", "norm_value", "datatype").agg(F.count("*").alias("entries"), F.sum("uid_count").alias("count"))
+    return discovery.count_fields(_index(spark, sf), "CONTINENT access PLACE:Nadel", {"PLACE": ["CITY", "STATE"]})
 
 
 @query("SELECT field_name, datatype, count(*) AS entries, count(DISTINCT norm_value) AS terms, min(substr(shard_id, 1, 8)) AS first_day, max(substr(shard_id, 1, 8)) AS last_day FROM term_index GROUP BY field_name, datatype")
@@ -111,34 +122,49 @@ def facet_shard_count(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- edges ----------------------------------------------------------------------------------------
 
-IN_STATE = edges.EdgeDefinition("LocatedIn", "CITY", "STATE", "CITY", "STATE", "GAZETTEER", "GAZETTEER", both_ways=True, precondition="NUM >= 0")
-EDGES_SQL = """(SELECT c AS source, s AS sink, 'LocatedIn' AS type, 'CITY-STATE' AS relation, 'GAZETTEER-GAZETTEER' AS attribute1, strftime(load_ts, '%Y%m%d') AS date, hour(load_ts) AS hour, strftime(try_strptime(start_date, '%Y%m%d'), '%Y%m%d') AS activity_date FROM city_event, unnest(city) AS a(c), unnest(state) AS b(s) WHERE num >= 0 AND c IS NOT NULL AND s IS NOT NULL
-  UNION ALL SELECT s, c, 'LocatedIn', 'STATE-CITY', 'GAZETTEER-GAZETTEER', strftime(load_ts, '%Y%m%d'), hour(load_ts), strftime(try_strptime(start_date, '%Y%m%d'), '%Y%m%d') FROM city_event, unnest(city) AS a(c), unnest(state) AS b(s) WHERE num >= 0 AND c IS NOT NULL AND s IS NOT NULL) AS e"""
+IN_STATE = edges.EdgeDefinition("LocatedIn", "CITY", "STATE", "CITY", "STATE", "GAZETTEER", "GAZETTEER", both_ways=True, precondition="NUM >= 0", attribute2="CODE", attribute3="CONTINENT")
+
+
+def _edge_rows(source: str, sink: str, relation: str) -> str:
+    return f"""SELECT {source} AS source, {sink} AS sink, 'LocatedIn' AS type, '{relation}' AS relation, 'GAZETTEER-GAZETTEER' AS attribute1, coalesce(code, '') AS attribute2, coalesce(continent, '') AS attribute3,
+  unnest(CASE WHEN active IS NULL OR day = active THEN [day] ELSE [day, active] END) AS date, unnest(CASE WHEN active IS NULL THEN ['A'] WHEN day = active THEN ['B'] ELSE ['A', 'C'] END) AS date_type,
+  'STANDARD' AS format, hour, day AS load_date, num AS seconds
+ FROM (SELECT *, strftime(load_ts, '%Y%m%d') AS day, hour(load_ts) AS hour, strftime(try_strptime(start_date, '%Y%m%d'), '%Y%m%d') AS active FROM city_event) AS v, unnest(city) AS a(c), unnest(state) AS b(s) WHERE num >= 0 AND c IS NOT NULL AND s IS NOT NULL"""
+
+
+EDGES_SQL = f"({_edge_rows('c', 's', 'CITY-STATE')} UNION ALL {_edge_rows('s', 'c', 'STATE-CITY')}) AS e"
+EDGE_KEYS = ", ".join(edges.KEYS)
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "city_event").withColumn("activity", F.try_to_timestamp("start_date", F.lit("yyyyMMdd")))
-    return edges.build(docs, Catalog.of(docs), [IN_STATE], "load_ts", "activity")
+    return edges.build(docs, Catalog.of(docs), [IN_STATE], "load_ts", "activity", "load_ts", "num")
 
 
-@query(f"SELECT source, sink, relation, date, count(*) AS count FROM {EDGES_SQL} GROUP BY ALL")
+@query(f"SELECT source, sink, relation, date, date_type, count(*) AS count FROM {EDGES_SQL} GROUP BY ALL")
 def edge_build(spark: SparkSession, sf: str) -> DataFrame:
-    return _edges(spark, sf).groupBy("source", "sink", "relation", "date").agg(F.count("*").alias("count"))
+    return _edges(spark, sf).groupBy("source", "sink", "relation", "date", "date_type").agg(F.count("*").alias("count"))
 
 
-@query(f"SELECT source, sink, type, relation, attribute1, date FROM {EDGES_SQL} WHERE regexp_full_match(source, 'BE.*', 'is') AND regexp_full_match(sink, '.*land', 'is') AND date BETWEEN '20150105' AND '20150131'")
+@query(f"SELECT {EDGE_KEYS} FROM {EDGES_SQL} WHERE regexp_full_match(source, 'BE.*', 'is') AND regexp_full_match(sink, '.*land', 'is') AND date BETWEEN '20150105' AND '20150131' AND date_type <> 'C'")
 def edge_query(spark: SparkSession, sf: str) -> DataFrame:
     return edges.query(_edges(spark, sf), "(SOURCE =~ 'BE.*') && (SINK =~ '.*LAND')", ("20150105", "20150131")).select(*edges.KEYS)
 
 
-@query(f"SELECT source, sink, date FROM {EDGES_SQL} WHERE lower(source) = 'nadel' AND NOT lower(sink) = 'norta' AND lower(relation) = 'city-state'")
+@query(f"SELECT source, sink, date FROM {EDGES_SQL} WHERE lower(source) = 'nadel' AND NOT lower(sink) = 'norta' AND lower(relation) = 'city-state' AND date_type <> 'C'")
 def edge_query_exclude(spark: SparkSession, sf: str) -> DataFrame:
     return edges.query(_edges(spark, sf), "SOURCE == 'NADEL' && SINK != 'NORTA' && RELATION == 'CITY-STATE'").select("source", "sink", "date")
 
 
-@query(f"SELECT source, sink, type, relation, attribute1, date, count(*) AS count, bit_or(CAST(1 AS INTEGER) << CAST(hour AS INTEGER)) AS hour_mask, concat_ws(',', {', '.join(f'count(*) FILTER (WHERE hour = {h})' for h in range(24))}) AS hours FROM {EDGES_SQL} GROUP BY source, sink, type, relation, attribute1, date")
+@query(f"SELECT source, sink, attribute2, attribute3, date FROM {EDGES_SQL} WHERE regexp_full_match(source, 'n.*', 'is') AND lower(attribute3) = 'aurrira' AND attribute2 <> '' AND date_type <> 'C'")
+def edge_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    return edges.query(_edges(spark, sf), "SOURCE =~ 'N.*' && ATTRIBUTE3 == 'AURRIRA' && ATTRIBUTE2 != ''").select("source", "sink", "attribute2", "attribute3", "date")
+
+
+@query(f"""SELECT {EDGE_KEYS}, count(*) AS count, bit_or(CAST(1 AS INTEGER) << CAST(hour AS INTEGER)) AS hour_mask, min(load_date) AS load_date, concat_ws(',', {', '.join(f'count(*) FILTER (WHERE hour = {h})' for h in range(24))}) AS hours,
+concat_ws(',', {', '.join(f'count(*) FILTER (WHERE seconds >= {a} AND seconds < {b})' for a, b in zip([-(2**62), *edges.DURATIONS], [*edges.DURATIONS, 2**62]))}) AS durations FROM {EDGES_SQL} GROUP BY {EDGE_KEYS}""")
 def edge_combine_hours(spark: SparkSession, sf: str) -> DataFrame:
-    return edges.combine(_edges(spark, sf)).withColumn("hours", F.array_join(F.col("hours").cast("array<string>"), ","))
+    return edges.combine(_edges(spark, sf)).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("hours", "durations")})
 
 
 @query(f"SELECT source, type, count(*) AS count, count(DISTINCT date) AS days FROM {EDGES_SQL} GROUP BY source, type")
@@ -146,6 +172,16 @@ def edge_stats(spark: SparkSession, sf: str) -> DataFrame:
     return edges.merge(edges.combine(_edges(spark, sf))).groupBy("source", "type").agg(F.sum("count").alias("count"), F.count_distinct("date").alias("days"))
 
 
+@query(f"""
+SELECT source, sink, relation, format, date, count(*) AS count FROM {EDGES_SQL} WHERE lower(source) = 'nadel' AND date_type <> 'C' GROUP BY ALL
+UNION ALL SELECT source, NULL, split_part(relation, '-', 1), 'STATS', date, count(*) FROM {EDGES_SQL} WHERE lower(source) = 'nadel' AND date_type <> 'C' GROUP BY ALL""")
+def edge_stats_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A source's edges with the stats edges of its days."""
+    combined = edges.combine(_edges(spark, sf))
+    both = combined.unionByName(edges.stats_edges(combined))
+    return edges.query(both, "SOURCE == 'nadel'", include_stats=True).groupBy("source", "sink", "relation", "format", "date").agg(F.sum("count").alias("count"))
+
+
 @query()
 def edge_link_counts(spark: SparkSession, sf: str) -> DataFrame:
     return edges.link_counts(_edges(spark, sf)).select("source", "type", F.hll_sketch_estimate("links").alias("links"))
@@ -163,10 +199,17 @@ def edge_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return edges.dictionary(_edges(spark, sf))
 
 
-@query(f"SELECT source, sink, activity_date FROM {EDGES_SQL} WHERE lower(source) = 'nadel' AND activity_date BETWEEN '20150105' AND '20150120'")
-def edge_date_types(spark: SparkSession, sf: str) -> DataFrame:
-    return edges.query(_edges(spark, sf), "SOURCE == 'NADEL'", ("20150105", "20150120"), "activity_date").select("source", "sink", "activity_date")
+def _dated_edges(kind: str) -> None:
+    loaded, sorts = edges.DATE_TYPES[kind]
+    day = "load_date" if loaded else "date"
+    sql = f"SELECT source, sink, date, date_type FROM {EDGES_SQL} WHERE lower(source) = 'nadel' AND {day} BETWEEN '20150105' AND '20150120'" + (f" AND date_type IN ({', '.join(repr(x) for x in sorts)})" if sorts else "")
+    name = "edge_date_types" if kind == "ACTIVITY" else f"edge_date_{kind.lower()}"
+    QUERIES[name] = lambda spark, sf: edges.query(_edges(spark, sf), "SOURCE == 'NADEL'", ("20150105", "20150120"), kind).select("source", "sink", "date", "date_type")
+    ORACLES[name] = sql
+
 
+for _kind in edges.DATE_TYPES:
+    _dated_edges(_kind)
 
 # ---- joins and hierarchies ------------------------------------------------------------------------
 
@@ -217,8 +260,7 @@ def ancestor_query(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT l_orderkey AS root, count(*) AS children, sum(CASE WHEN l_quantity = 50 THEN 1 ELSE 0 END)::BIGINT AS hits FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_quantity = 50)")
 def tld_query(spark: SparkSession, sf: str) -> DataFrame:
     """Top-level documents of which any child satisfies the query, with all of their children counted."""
-    hit = (F.col("l_quantity") == 50).cast("bigint")
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("root")).agg(F.count("*").alias("children"), F.sum(hit).alias("hits")).where("hits > 0")
+    return services.top_level(table(spark, sf, "lineitem"), "l_orderkey", F.col("l_quantity") == 50)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-01-08')")
@@ -309,16 +351,24 @@ def _nested(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.struct(user.alias("user"), F.col("value")).alias("event"))).alias("j"))
 
 
-@query("SELECT event_id, 'event.user.id' AS name, CAST(user_id AS VARCHAR) AS value FROM events WHERE user_id IS NOT NULL UNION ALL SELECT event_id, 'event.user.tags', event_type FROM events WHERE event_type IS NOT NULL UNION ALL SELECT event_id, 'event.user.tags', 'x' FROM events")
+def _flat_sql(*names: str) -> str:
+    columns = zip(names, ("CAST(user_id AS VARCHAR)", "event_type", "'x'", "CAST(value AS VARCHAR)"))
+    return " UNION ALL ".join(f"SELECT event_id, '{n}' AS name, {c} AS value FROM events WHERE {c} IS NOT NULL" for n, c in columns)
+
+
+@query(_flat_sql("event.user.id", "event.user.tags", "event.user.tags", "event.value"))
 def json_flatten_normal(spark: SparkSession, sf: str) -> DataFrame:
-    flat = ingest.flatten_json(_nested(spark, sf), "j", "NORMAL").select("event_id", F.inline("fields"))
-    return flat.where("name like 'event.user.%'")
+    return ingest.flatten_json(_nested(spark, sf), "j", "NORMAL").select("event_id", F.inline("fields"))
 
 
-@query("SELECT event_id, 'id.event_0.user_0.id_0' AS name, CAST(user_id AS VARCHAR) AS value FROM events WHERE user_id IS NOT NULL UNION ALL SELECT event_id, 'tags.event_0.user_0.tags_0', event_type FROM events WHERE event_type IS NOT NULL UNION ALL SELECT event_id, 'tags.event_0.user_0.tags_1', 'x' FROM events")
+@query(_flat_sql("id.event_0.user_0.id_0", "tags.event_0.user_0.tags_0", "tags.event_0.user_0.tags_1", "value.event_0.value_0"))
 def json_flatten_grouped(spark: SparkSession, sf: str) -> DataFrame:
-    flat = ingest.flatten_json(_nested(spark, sf), "j", "GROUPED").select("event_id", F.inline("fields"))
-    return flat.where("name like '%.user_0.%'")
+    return ingest.flatten_json(_nested(spark, sf), "j", "GROUPED").select("event_id", F.inline("fields"))
+
+
+@query(_flat_sql("event.user.id.event_0.user_0.id_0", "event.user.tags.event_0.user_0.tags_0", "event.user.tags.event_0.user_0.tags_1", "event.value.event_0.value_0"))
+def json_flatten_both(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.flatten_json(_nested(spark, sf), "j", "GROUPED_AND_NORMAL").select("event_id", F.inline("fields"))
 
 
 @query("SELECT uid, event_id, load_ts, CASE WHEN country IS NOT NULL AND code IS NOT NULL THEN country || '_' || code END AS country_code FROM city_event")
@@ -405,29 +455,24 @@ def event_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def metrics_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return services.metrics_summary(table(spark, sf, "events"), ["event_type"], "value")
 
 
 @query("""
 SELECT lifecycle, count(*) AS n, count(error_code) AS errors, count(*) FILTER (WHERE setup_time >= 0 AND setup_time < 1000) AS fast, CAST(sum(num_results) AS BIGINT) AS results FROM query_metric WHERE create_date >= 1420588800000 GROUP BY lifecycle""")
 def dashboard_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Query metrics over a time range."""
-    m = table(spark, sf, "query_metric").where("create_date >= 1420588800000")
-    return m.groupBy("lifecycle").agg(F.count("*").alias("n"), F.count("error_code").alias("errors"), F.count_if(F.expr("setup_time >= 0 AND setup_time < 1000")).alias("fast"), F.sum("num_results").alias("results"))
+    return services.dashboard(table(spark, sf, "query_metric"), ["lifecycle"], 1420588800000, "create_date", "error_code", "setup_time", "num_results")
 
 
 @query("SELECT query_id, num_updates, received_at FROM query_metric WHERE lower(trim(query_user)) = 'hurntesk15' AND setup_time > 500")
 def query_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's own metrics."""
-    return table(spark, sf, "query_metric").where("lower(trim(query_user)) = 'hurntesk15' AND setup_time > 500").select("query_id", "num_updates", "received_at")
+    return services.metrics_of(table(spark, sf, "query_metric"), "query_user", "Hurntesk15 ", F.col("setup_time") > 500).select("query_id", "num_updates", "received_at")
 
 
 @query("SELECT source AS category, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY shard_id DESC, doc_id DESC) AS n FROM documents WHERE source IS NOT NULL) AS d WHERE n <= 5")
 def atom_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """The five newest documents of every category. The rank's limit is applied before rows are shuffled, too."""
-    rows = table(spark, sf, "documents").where("source is not null").select(F.col("source").alias("category"), "shard_id", "doc_id", "n_chars")
-    newest = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("shard_id"), F.desc("doc_id")))
-    return rows.withColumn("n", newest).where("n <= 5").select("category", "doc_id", "n_chars")
+    rows = table(spark, sf, "documents").select(F.col("source").alias("category"), "shard_id", "doc_id", "n_chars")
+    return services.feed(rows, "category", ["shard_id", "doc_id"], 5).select("category", "doc_id", "n_chars")
 
 
 POSTINGS = "(SELECT shard_id, datatype, field_name, norm_value, unnest(uid_list) AS uid FROM term_index) AS p"
@@ -447,14 +492,9 @@ def index_or_not(spark: SparkSession, sf: str) -> DataFrame:
     return indexsearch.search(table(spark, sf, "term_index"), jexl.parse("(CITY =~ 'be.*' || _ANYFIELD_ == 'pabeia') && !(ACCESS == 'public')"))
 
 
-@query("SELECT doc_id, term, array_to_string(list(pos - 1 ORDER BY pos), ',') AS offsets FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents WHERE lang = 'pl') AS d) AS e GROUP BY doc_id, term")
+@query("SELECT doc_id, term, array_to_string(list(pos - 1 ORDER BY pos), ',') AS offsets FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM documents) AS d) AS e GROUP BY doc_id, term")
 def term_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return _offsets(table(spark, sf, "documents").where("lang = 'pl'"))
-
-
-@query()
-def term_offsets_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Postings with positions of every document; ``term_offsets`` are those of one language, which its SQL can make."""
+    """Postings with positions of every document."""
     return _offsets(table(spark, sf, "documents"))
 
 

@@ -18,7 +18,8 @@ KEYS = {
 
 def over(name: str, df: DataFrame, exact: tuple[str, ...] = ()) -> EventQuery:
     """Event queries over a table of the data folder."""
-    catalog = Catalog.of(df, {n: EXACT for n in exact}, tokenized={"TEXT"} if name == "documents" else frozenset())  # type: ignore[arg-type]
+    model = {"LOAD_DATE": ["LOAD_TS"]} if name == "city_event" else {}
+    catalog = Catalog.of(df, {n: EXACT for n in exact}, model, tokenized={"TEXT"} if name == "documents" else frozenset())  # type: ignore[arg-type]
     day = {"city_event": "start_date"}.get(name)
     return EventQuery(df, catalog, KEYS[name], day, "datatype" if name in ("city_event", "documents") else None)
 
@@ -75,6 +76,17 @@ ROWS: dict[str, tuple[str, str, str]] = {
     "between_exclusive": ("lineitem", "f:between(L_QUANTITY, 1, false, 3, false)", "l_quantity > 1 AND l_quantity < 3"),
     "match_regex": ("part", "f:matchRegex(P_NAME, '(red|blue) .*')", "regexp_full_match(p_name, '(red|blue) .*', 'is')"),
     "include_text": ("city_event", "f:includeText(COUNTRY, 'DRALDOZIMIA') || f:includeText(CITY, 'Nadel')", "country = 'DRALDOZIMIA' OR coalesce(list_contains(city, 'Nadel'), false)"),
+    "between_long": ("city_event", "f:between(NUM, 400, 600)", "num BETWEEN 400 AND 600"),
+    "strict_marker": ("customer", "((_Lenient_ = true) && (C_ACCTBAL == 'lots' || ((_Strict_ = true) && (C_ACCTBAL > 9800))))", "c_acctbal > 9800"),
+    "value_marker": ("city_event", "((_Value_ = true) && (COUNTRY =~ 'ba.*'))", "regexp_full_match(country, 'ba.*', 'is')"),
+    "delayed_marker": ("city_event", "NUM > 500 && ((_Delayed_ = true) && (COUNTRY =~ 'ba.*'))", "num > 500 AND regexp_full_match(country, 'ba.*', 'is')"),
+    "no_expansion": ("city_event", "f:noExpansion('LOAD_DATE') && (LOAD_DATE == '20150110' || NUM > 990)", "num > 990"),
+    "numeric_coercion": ("customer", "C_ACCTBAL > '9000'", "c_acctbal > 9000"),
+    "extreme_times": ("city_event", "filter:getMaxTime(LOAD_TS) - filter:getMinTime(START_DATE) > 864000000", "epoch_ms(load_ts) - epoch_ms(try_strptime(start_date, '%Y%m%d')) > 864000000"),
+    "get_time": ("city_event", "filter:getMinTime(LOAD_TS) > filter:getTime('20150120')", "load_ts > TIMESTAMP '2015-01-20'"),
+    "get_next_time": ("city_event", "filter:getMaxTime(LOAD_TS) >= filter:getNextTime('20150120')", "load_ts >= TIMESTAMP '2015-01-21'"),
+    "get_max_value": ("city_event", "filter:getMaxValue(LOAD_TS) >= filter:getTime('20150121')", "load_ts >= TIMESTAMP '2015-01-21'"),
+    "get_min_value": ("city_event", "filter:getMinValue(LOAD_TS || START_DATE) < filter:getTime('20150105')", "least(epoch_ms(load_ts), coalesce(epoch_ms(try_strptime(start_date, '%Y%m%d')), epoch_ms(load_ts))) < epoch_ms(TIMESTAMP '2015-01-05')"),
     "set_size": ("city_event", "CITY.size() == 2", "len(list_filter(city, lambda x: x IS NOT NULL)) = 2"),
     "set_min": ("city_event", "CITY.min() < 'c'", "list_min(list_transform(city, lambda x: lower(x))) < 'c'"),
     "set_max": ("city_event", "CITY.max() > 'x'", "list_max(list_transform(city, lambda x: lower(x))) > 'x'"),
@@ -82,8 +94,7 @@ ROWS: dict[str, tuple[str, str, str]] = {
     "set_contains": ("city_event", "CITY.contains('CITY', 'Nadel')", "coalesce(list_contains(city, 'Nadel'), false)"),
     "content_phrase": ("documents", "content:phrase(TEXT, termOffsetMap, 'the', 'reverse', 'index')", "contains(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' the reverse index ')"),
     "content_adjacent": ("documents", "content:adjacent(TEXT, termOffsetMap, 'index', 'reverse')", "regexp_matches(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' (index reverse|reverse index) ')"),
-    "content_within": ("documents", "content:within(TEXT, 2, termOffsetMap, 'query', 'returned')", "regexp_matches(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' (query ([^ ]+ )?returned|returned ([^ ]+ )?query) ')"),
-    "content_scored_phrase": ("documents", "content:scoredPhrase(TEXT, 7, termOffsetMap, 'the', 'reverse', 'index')", "contains(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' the reverse index ')"),
+    "content_within": ("documents", "content:within(TEXT, 2, termOffsetMap, 'index', 'the')", "regexp_matches(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' (the ([^ ]+ )?index|index ([^ ]+ )?the) ')"),
     "geo_bbox": ("city_event", "geo:within_bounding_box(GEO, '0_-60', '45.5_60')", "g_lat BETWEEN 0 AND 45.5 AND g_lon BETWEEN -60 AND 60"),
     "geo_bbox_antimeridian": ("city_event", "geo:within_bounding_box(GEO, '-30_150', '30_-150')", "g_lat BETWEEN -30 AND 30 AND (g_lon >= 150 OR g_lon <= -150)"),
     "geo_circle": ("city_event", "geo:within_circle(GEO, '10_20', 25)", "(g_lat - 10) * (g_lat - 10) + (g_lon - 20) * (g_lon - 20) <= 625"),
@@ -101,7 +112,7 @@ LUCENE: dict[str, tuple[str, str, str]] = {
     "lucene_range": ("lineitem", "L_QUANTITY:[10 TO 12}", "l_quantity >= 10 AND l_quantity < 12"),
     "lucene_open_range": ("customer", "C_ACCTBAL:[9500 TO *]", "c_acctbal >= 9500"),
     "lucene_phrase": ("documents", "TEXT:\"the reverse index\"", "contains(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' the reverse index ')"),
-    "lucene_slop": ("documents", "TEXT:\"query returned\"~2", "regexp_matches(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' (query ([^ ]+ )?returned|returned ([^ ]+ )?query) ')"),
+    "lucene_slop": ("documents", "TEXT:\"index the\"~2", "regexp_matches(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' (the ([^ ]+ )?index|index ([^ ]+ )?the) ')"),
     "lucene_not": ("orders", "O_ORDERSTATUS:O NOT O_ORDERPRIORITY:1-URGENT", "lower(o_orderstatus) = 'o' AND NOT coalesce(lower(o_orderpriority) = '1-urgent', false)"),
     "lucene_or_and": ("orders", "O_ORDERSTATUS:P OR O_ORDERPRIORITY:1-URGENT AND O_TOTALPRICE:[300000 TO *]", "lower(o_orderstatus) = 'p' OR (lower(o_orderpriority) = '1-urgent' AND o_totalprice >= 300000)"),
     "lucene_functions": ("city_event", "#INCLUDE(OR, COUNTRY, baz.*, CONTINENT, aurt.*) AND #OCCURRENCE(CITY, >, 0)", "(coalesce(regexp_full_match(country, 'baz.*', 'is'), false) OR coalesce(regexp_full_match(continent, 'aurt.*', 'is'), false)) AND len(list_filter(city, lambda x: x IS NOT NULL)) > 0"),
@@ -110,6 +121,19 @@ LUCENE: dict[str, tuple[str, str, str]] = {
     "lucene_text": ("city_event", "#TEXT(CITY, Nadel)", "coalesce(list_contains(city, 'Nadel'), false)"),
     "lucene_evaluation_only": ("lineitem", "#EVALUATION_ONLY('L_QUANTITY: [1 TO 2}')", "l_quantity >= 1 AND l_quantity < 2"),
     "lucene_compare": ("city_event", "#COMPARE(CITY, <, ANY, STATE)", "list_min(list_transform(city, lambda x: lower(x))) < list_max(list_transform(state, lambda x: lower(x)))"),
+    "lucene_matches": ("part", "#MATCHES(P_NAME, (red|blue) .*)", "regexp_full_match(p_name, '(red|blue) .*', 'is')"),
+    "lucene_is_null": ("city_event", "#ISNULL(CODE)", "code IS NULL"),
+    "lucene_is_not_null": ("city_event", "#ISNOTNULL(CODE)", "code IS NOT NULL"),
+    "lucene_loaded": ("city_event", "#LOADED(20150110, 20150112)", "load_ts >= TIMESTAMP '2015-01-10' AND load_ts < TIMESTAMP '2015-01-13'"),
+    "lucene_loaded_after": ("city_event", "#LOADED(after, 20150130)", "load_ts >= TIMESTAMP '2015-01-31'"),
+    "lucene_time_function": ("city_event", "#TIME_FUNCTION(LOAD_TS, START_DATE, '-', '>', 864000000L)", "epoch_ms(load_ts) - epoch_ms(try_strptime(start_date, '%Y%m%d')) > 864000000"),
+    "lucene_get_all_matches": ("city_event", "#GET_ALL_MATCHES(CITY, be.*)", "len(list_filter(city, lambda x: regexp_full_match(x, 'be.*', 'is'))) > 0"),
+    "lucene_at_least": ("city_event", "#MATCHES_AT_LEAST_COUNT_OF(2, CITY, be.*, na.*)", "len(list_filter(city, lambda x: regexp_full_match(x, 'be.*', 'is'))) > 0 AND len(list_filter(city, lambda x: regexp_full_match(x, 'na.*', 'is'))) > 0"),
+    "lucene_jexl": ("city_event", "COUNTRY:ba* #JEXL('NUM > 500')", "num > 500 AND regexp_full_match(country, 'ba.*', 'is')"),
+    "lucene_lenient": ("customer", "#LENIENT(C_ACCTBAL) AND (C_ACCTBAL:lots OR C_ACCTBAL:[9800 TO *])", "c_acctbal >= 9800"),
+    "lucene_no_expansion": ("city_event", "#NOEXPANSION(LOAD_DATE) AND (LOAD_DATE:20150110 OR NUM:[990 TO *])", "num >= 990"),
+    "lucene_geowave": ("city_event", "#INTERSECTS(GEO, 'POLYGON((0 0, 40 0, 0 40, 0 0))')", "g_lat >= 0 AND g_lon >= 0 AND g_lat + g_lon <= 40"),
+    "lucene_geowave_within": ("city_event", "#WITHIN(GEO, 'POLYGON((-60 0, 60 0, 60 45, -60 45, -60 0))')", "g_lat > 0 AND g_lat < 45 AND g_lon > -60 AND g_lon < 60"),
     "lucene_geo": ("city_event", "#GEO(circle, GEO, 10_20, 25)", "(g_lat - 10) * (g_lat - 10) + (g_lon - 20) * (g_lon - 20) <= 625"),
 }
 

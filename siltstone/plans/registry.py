@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import core_problems, query_documents, query_graph, query_predicates
+from siltstone.plans import core_problems, query_documents, query_extra, query_graph, query_predicates
 
-MODULES = [core_problems, query_predicates, query_documents, query_graph]
+MODULES = [core_problems, query_predicates, query_documents, query_graph, query_extra]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,8 @@ from oracle import connect, difference
 from siltstone.plans import registry
 
 #: Queries whose operator Spark has no expression for.
-PYTHON = {"geowave_within_box", "geowave_intersects", "json_flatten_normal", "json_flatten_grouped", "visibility_filter", "masked_values"}
+PYTHON = {"geowave_within_box", "geowave_intersects", "json_flatten_normal", "json_flatten_grouped", "json_flatten_both", "visibility_filter", "masked_values"}
+PYTHON |= {"geowave_contains", "geowave_covers", "geowave_covered_by", "geowave_overlaps", "geowave_crosses", "lucene_geowave", "lucene_geowave_within"}
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 

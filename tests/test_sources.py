@@ -179,11 +179,24 @@ def test_joins(spark):
 
 
 def test_edges_merge(spark):
-    e = spark.createDataFrame([("a", "b", "t", "r", "", "20240101", h, "20240101") for h in (0, 5, 5)], "source string, sink string, type string, relation string, attribute1 string, date string, hour int, activity_date string")
+    rows = [("a", "b", "t", "r", "", "", "", "20240101", "B", "STANDARD", h, d, n) for h, d, n in ((0, "20240103", 9), (5, "20240102", 10), (5, None, 99_999))]
+    e = spark.createDataFrame(rows, ", ".join(f"{k} string" for k in edges.KEYS) + ", hour int, load_date string, seconds long")
     twice = edges.merge(edges.combine(e).unionByName(edges.combine(e))).first()
+    assert twice["durations"] == [2, 2, 0, 0, 0, 0, 2] and twice["load_date"] == "20240102"
     assert twice["count"] == 6 and twice["hours"][5] == 4 and twice["hour_mask"] == 0b100001
 
 
+def test_grouped_edges_and_refusals(spark):
+    field = lambda *vs: [(v, c) for v, c in vs]
+    docs = spark.createDataFrame([(field(("x", "0"), ("y", "1")), field(("p", "1"), ("q", "2")))], "a array<struct<value:string,ctx:string>>, b array<struct<value:string,ctx:string>>").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    ends = lambda grouped: {(r["source"], r["sink"]) for r in edges.build(docs, Catalog.of(docs), [edges.EdgeDefinition("t", "A", "B", grouped=grouped)], "at").collect()}
+    assert ends(True) == {("y", "p")} and ends(False) == {("x", "p"), ("x", "q"), ("y", "p"), ("y", "q")}
+    e = edges.build(docs, Catalog.of(docs), [edges.EdgeDefinition("t", "A", "B")], "at")
+    for text, kind in (("SINK == 'p'", "EVENT"), ("SOURCE == 'x' || SINK == 'p'", "EVENT"), ("SOURCE != 'x'", "EVENT"), ("SOURCE == 'x'", "WHEN")):
+        with pytest.raises(QueryError):
+            edges.query(e, text, date_type=kind)
+
+
 def test_uid_lists(spark):
     rows = [("few", ["a", "b", None, "a"], ["b", "z"], None, 9), ("few", None, [], False, 1), ("flag", ["a"], None, True, 5), ("flag", ["a"], None, False, 2), ("none", [], None, None, 3)]
     rows += [("many", [str(i)], ["7"] if i == 3 else None, None, 1) for i in range(30)] + [("gone", ["a"], [str(i) for i in range(30)], None, 1)]

@@ -12,7 +12,7 @@ def test_terms_of_all_documents(spark, tmp_path):
     for d, _, _, text in docs:
         for k, w in enumerate(re.findall(r"[^\W_]+", (text or "").lower())):
             want.setdefault((d, w), []).append(k)
-    got = query_graph.term_offsets_all(spark, str(tmp_path)).collect()
+    got = query_graph.term_offsets(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["term"], r["offsets"]) for r in got) == sorted((*k, ",".join(map(str, v))) for k, v in want.items())
-    got = query_documents.term_frequency_all(spark, str(tmp_path)).collect()
+    got = query_documents.term_frequency(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == sorted((*k, len(v), v[0]) for k, v in want.items())
