@@ -134,10 +134,21 @@ TOLD = {chr(c) for lo, hi in ALPHABET for c in range(lo, hi + 1)} | {c for e in
 OTHER = "字"
 
 
-def _near(c: str) -> str:
+class _Near(dict):
+    """Each character as its neighbours see it."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = out = _seen(c)
+        return out
+
+
+def _seen(c: str) -> str:
     return c if "a" <= c <= "z" else "0" if c.isdigit() else " " if c.isspace() else c if c < "\x80" or c in TOLD else OTHER
 
 
+_near = _Near().__getitem__
+
+
 def _class(c: str) -> str:
     if c == " " or c == "0":
         return c
@@ -158,6 +169,17 @@ def _finder() -> ahocorasick.Automaton:
     return found
 
 
+#: Places with something other than ASCII, with what is near; no pattern reaches more than ``MARGIN`` beyond such a place.
+PLACES = re.compile(r"[^\x00-\x7f](?:[\x00-\x7f]{0,6}[^\x00-\x7f])*")
+MARGIN = 3
+
+
+def _hits(found: ahocorasick.Automaton, text: str) -> Iterator:
+    """(end, value) of every pattern in the text; long runs of ASCII are not looked at."""
+    for m in PLACES.finditer(text):
+        yield from found.iter(text, max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN))
+
+
 HELD = "\0"
 
 
@@ -173,7 +195,7 @@ def evidence(text: str) -> set[str]:
     if sum(i in foreign or _odd(t[i], t[i + 1], t[i + 2]) for i in at) * 4 >= len(at) or SWAPPED.search(text):
         return set()
     explained: dict[str, dict[int, str]] = {}
-    for end, (size, readings) in _finder().iter(text):
+    for end, (size, readings) in _hits(_finder(), text):
         for r, c in readings.items():
             explained.setdefault(r, {}).update((i, c) for i in range(end - size + 1, end + 1) if text[i] > "\x7f")
     held: dict[int, set[str]] = {}
@@ -226,6 +248,7 @@ class Usage:
 
     def __init__(self, counts: dict[str, int], kinds: dict[str, int] | None = None):
         """``kinds`` are the sums over classes of neighbours, where ``counts`` doesn't hold all triples."""
+        self.worked_out: dict[tuple, float] = {}
         self.kinds: Counter[str] = Counter(kinds)
         for t, n in counts.items() if kinds is None else ():
             self.kinds[kind_of(t)] += n
@@ -233,6 +256,14 @@ class Usage:
 
     def of(self, a: str, c: str, b: str, own: int = 0) -> float:
         """Log of the smoothed document frequency; ``own`` takes the document itself out."""
+        known = self.worked_out.get((a, c, b, own))
+        if known is None:
+            if len(self.worked_out) > 500_000:
+                self.worked_out.clear()
+            known = self.worked_out[a, c, b, own] = self._of(a, c, b, own)
+        return known
+
+    def _of(self, a: str, c: str, b: str, own: int) -> float:
         kind = self.kinds.get(_class(a) + c + _class(b), 0)
         return math.log(max(0, self.counts.get(a + c + b, 0) - own) + 0.002 * max(0, kind - own) + 0.01)
 
@@ -371,9 +402,9 @@ class Mender:
         best: list[tuple[int, int, str, float]] = []
         most = 0.0
         for p in sorted(pairs):
-            table, spans, odd, changed = _table(PAIRS[p]), [], False, 0
+            whole, spans, odd, changed = text.translate(_table(PAIRS[p])), [], False, 0
             for a, b, word in words:
-                mended = word.translate(table)
+                mended = whole[a:b]
                 if mended == word:
                     continue
                 changed += 1
@@ -395,7 +426,7 @@ class Mender:
         garbled, now, seen = False, text, {text}
         while True:  # until nothing is gained any more: a text may have been garbled any number of times
             us, pairs, beyond = [], 0, set()
-            for end, (sequence, some, readings) in self.found.iter(now):
+            for end, (sequence, some, readings) in _hits(self.found, now):
                 if sequence is not None:
                     us.append((end, sequence))
                 pairs |= some
