@@ -9,8 +9,9 @@ which keeps a group with most of the rows harmless.
 
 The error of a digest can't be bounded in advance for all inputs, so it is certified: a second pass counts,
 for each reported percentile, the values below and up to it, which gives its exact rank. Each value meets the
-estimates of its finest group, which carry those of the wider groups along, by a join on the group and a salt, so a
-group with most of the values is spread over tasks; the counts of wider groups are sums of those.
+estimates of its finest group, which carry those of the wider groups along, by a join on the group; groups with more
+than 1 / ``HEAVY_SHARE`` of all values, so fewer than that many, are spread over salts, so no task gets most of the
+values whichever join Spark takes by size; the counts of wider groups are sums of those.
 
 Memory is bounded whatever the number of groups: a task clusters ``BUFFER_ROWS`` rows at a time and passes them on, and
 where digests are finished the rows come sorted by group, so that only the last group stays open.
@@ -35,6 +36,7 @@ from siltstone.workers import with_code
 
 DELTA = 400
 BUFFER_ROWS = 400_000
+HEAVY_SHARE = 1000
 SALTS = 16
 
 
@@ -203,13 +205,19 @@ def certify(values: DataFrame, est: DataFrame, fine: list[str], levels: dict[str
     first; ``est`` has ``level``, ``fine``, with nulls for what a level doesn't keep, and ``est``.
     """
     same = lambda a, b, cs: [a[c].eqNullSafe(b[f"_{c}"]) for c in cs]
+    finest = est.where(F.col("level") == next(iter(levels)))
+    total = finest.agg(F.sum("n")).first()[0] or 0
+    is_heavy = F.col("n") * HEAVY_SHARE > total
     wide: DataFrame | None = None
     for i, (level, keep) in enumerate(levels.items()):
-        e = est.where(F.col("level") == level).select(*[F.col(c).alias(f"_{c}" if i else c) for c in keep], F.col("est").alias(f"est_{i}"))
+        e = est.where(F.col("level") == level).select(*[F.col(c).alias(f"_{c}" if i else c) for c in keep], *(["n"] if i == 0 else []), F.col("est").alias(f"est_{i}"))
         wide = e if wide is None else wide.join(e, same(wide, e, keep) if keep else F.lit(True), "left").drop(*[f"_{c}" for c in keep])
-    salt = F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")
-    groups = wide.select(*[F.col(c).alias(f"_{c}") for c in fine], *[f"est_{i}" for i in range(len(levels))], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    rows = values.select(*fine, F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)").withColumn("salt", salt)
+    salts = F.sequence(F.lit(0), F.when(is_heavy, F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    groups = wide.select(*[F.col(c).alias(f"_{c}") for c in fine], *[f"est_{i}" for i in range(len(levels))], F.explode(salts).alias("_salt"))
+    heavy = finest.where(is_heavy).select(*[F.col(c).alias(f"_{c}") for c in fine], F.lit(True).alias("heavy"))
+    rows = values.select(*fine, F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)")
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    rows = rows.join(F.broadcast(heavy), same(rows, heavy, fine), "left").select(*fine, "value", salt.alias("salt"))
     joined = rows.join(groups, [*same(rows, groups, fine), F.col("salt") == F.col("_salt")])
     name = lambda kind, i, j: f"{kind}_{i}_{j}"
     test = {"lt": lambda e: F.col("value") < e, "le": lambda e: F.col("value") <= e}

@@ -115,3 +115,32 @@ def test_many_pairs_align_as_single_ones(monkeypatch):
     a, b = make(40), make(20)
     scores, runs = leaks.align_many(a, b)
     assert [(int(s), int(k)) for s, k in zip(scores, runs)] == [plain(list(x), list(y)) for x, y in zip(a, b)]
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    """Items over many blocks, one longer than a block, and an item id of several passages."""
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, text(r.choice([12, 30, 200]))) for i in range(12)] + [(3, text(20)), (3, text(15))]
+    docs = [(d, " ".join([text(30), " ".join(leaks.words(r.choice(items)[1])[: r.choice([8, 14, 60])]), text(500 if d % 9 == 0 else 10)])) for d in range(60)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for edited in (False, True):
+        whole = {tuple(x) for x in leaks.find_leaks(df, it, edited).where("run >= 12").select("doc_id", "item_id", "run").collect()}
+        monkeypatch.setattr(leaks, "BLOCK_WORDS", 60)
+        assert {tuple(x) for x in leaks.find_leaks(df, it, edited).where("run >= 12").select("doc_id", "item_id", "run").collect()} == whole
+        monkeypatch.undo()
+        assert {x[:2] for x in whole} == brute(docs, items)
+
+
+def test_one_long_item_widens_only_its_own_stretches(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    long, short = [f"a{i}" for i in range(3000)], [f"b{i}" for i in range(12)]
+    known = type("Known", (), {"value": leaks.reaches([long, short])})()
+    text = " ".join(["x"] * 500 + short + ["y"] * 500)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text]})
+    [out] = leaks.find_stretches(known)(iter([batch]))
+    assert out.column("start").to_pylist() == [500 - 24] and len(out.column("words")[0]) == 12 + 2 * 24
+    assert np.array(out.column("at")[0].as_py()).tolist() == list(range(24, 32))

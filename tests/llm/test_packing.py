@@ -55,3 +55,30 @@ def test_configurations_reach_the_optimum():
     columns, amounts = packing.configurations(np.array([51, 27, 21]), np.array([10.0, 20.0, 20.0]), 100)
     assert (columns.T @ np.array([51, 27, 21]) <= 100).all()
     assert np.allclose(columns @ amounts, [10, 20, 20]) and amounts.sum() <= 15.3
+
+
+def test_files_make_no_difference(spark):
+    """The containers follow from the rows, however these lie in partitions; repeated ids are kept."""
+    rows = [(i % 70, 100 + 37 * i % 900) for i in range(200)] + [(1, 500)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    first, second = (sorted(map(tuple, packing.containers(d, 2048, 50).collect())) for d in (df.repartition(1), df.repartition(7, "n_tokens")))
+    assert first == second and len(first) == 205
+
+
+@pytest.mark.parametrize("n", [1, 5, 47, 48, 49])
+def test_few_large_items_are_grouped_too(n):
+    sizes = np.array([700 + 10 * (i % 7) for i in range(n)])
+    used = np.bincount(packing.pack(sizes, 2048), weights=sizes)
+    assert used.max() <= 2048 and len(used) <= -(-n // 2) + 1
+
+
+def test_knapsack_against_brute_force():
+    from itertools import combinations_with_replacement
+
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        sizes, prices = np.unique(r.integers(9, 60, 5)), None
+        prices = r.random(len(sizes))
+        best = max(sum(prices[i] for i in c) for k in range(0, 12) for c in combinations_with_replacement(range(len(sizes)), k) if sum(sizes[i] for i in c) <= 100)
+        took = packing._Knapsack(sizes, 100).best(prices)
+        assert took @ sizes <= 100 and abs(took @ prices - best) < 1e-9
