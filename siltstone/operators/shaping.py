@@ -93,6 +93,12 @@ def latest_versions(df: DataFrame, by: list[str], version: str) -> DataFrame:
     return df.join(top, on & F.col(version).eqNullSafe(F.col("_top"))).drop("_top", *[f"_{b}" for b in by])
 
 
+def within_time(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
+    """Rows whose own time lies in a range, bounds included; plain comparisons, which reach the scan."""
+    kind = df.schema[column].dataType
+    return df.where((F.col(column) >= F.lit(start).cast(kind)) & (F.col(column) <= F.lit(end).cast(kind)))
+
+
 def mask(df: DataFrame, column: str, masked: str, visible: Column) -> DataFrame:
     """The plain value for those who may see it, else the masked one."""
     return df.withColumn(column, F.when(truth(visible), F.col(column)).otherwise(F.col(masked))).drop(masked)

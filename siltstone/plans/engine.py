@@ -32,7 +32,8 @@ class EventQuery:
     event day and ``datatype`` that of the document's type; a query's date range and datatypes refer to them.
     ``parent`` is the column of the parent's id, the first of ``ids``, where documents form a hierarchy. ``masked``
     says of masked columns which column holds the masked value and which condition shows the plain one. ``views``
-    names the columns of views of a document's content.
+    names the columns of views of a document's content. ``mappers`` turn the first of ``ids`` into what callers see,
+    by the name that a query asks for. ``forced`` is a condition that every query must meet, whatever it says itself.
 
     ``index``, a table of postings, narrows a query before documents are read: the parts of its condition that name
     terms of indexed fields are answered from it, and only the documents that it names are looked at (``index_keys``
@@ -53,6 +54,8 @@ class EventQuery:
     parent: str | None = None
     masked: dict[str, tuple[str, Column]] = field(default_factory=dict)
     views: dict[str, str] = field(default_factory=dict)
+    mappers: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+    forced: str | None = None
     index: DataFrame | None = None
     index_keys: tuple[str, ...] = ("shard_id", "datatype")
 
@@ -65,6 +68,8 @@ class EventQuery:
         node = extract(node, options)
         for rule in self.rules if node is not None else []:
             node = rule(node)
+        if self.forced is not None:
+            node = conjunction([p for p in (node, jexl.parse(self.forced)) if p is not None])
         if options.other.get("ignore.nonexistent.fields", "true").lower() == "false":
             known = self._catalog(options)
             if unknown := sorted(f for f in fields(node) if not f.startswith("_") and f.lower() != "termoffsetmap" and not known.lookup(f)):
@@ -177,6 +182,11 @@ class EventQuery:
             df = aggregate.group(df, self.catalog, o.group, o.aggregates)
         if o.rename:
             df = shaping.rename(df, self.catalog, o.rename) if not o.group else df.select(*[F.col(c).alias(n) for c in df.columns for n in o.rename.get(c, [c])])
+        mapper = o.other.get("return.uid.mapper")
+        if mapper is not None:
+            if mapper not in self.mappers:
+                raise jexl.QueryError(f"no mapper {mapper}")
+            df = df.withColumn(self.ids[0], self.mappers[mapper](F.col(self.ids[0])))
         if o.other.get("raw.data.only", "false").lower() == "true":
             df = df.select(*[c for c in df.columns if c in self.docs.columns])
         return df.limit(o.max_results) if o.max_results is not None else df

@@ -110,12 +110,12 @@ class Options:
 #: Options that the engine reads by name.
 OTHER = {
     "ignore.nonexistent.fields", "model.name", "date.type", "include.grouping.context", "matching.field.sets", "include.child.count", "include.parent",
-    "include.hierarchy.fields", "raw.data.only", "content.view.name", "content.view.all", "filter.masked.values", "transform.content.to.uid", "query.syntax",
+    "include.hierarchy.fields", "raw.data.only", "content.view.name", "content.view.all", "filter.masked.values", "return.uid.mapper",
 }
 #: Options that can't change a result here: they tune or place work that Spark plans, or name what a catalog already says.
 NO_EFFECT = {
-    "query.profile", "model.table.name", "group.fields.batch.size", "date.index.time.travel", "raw.types", "non.event.key.prefixes",
-    "visibility.interpreter", "return.uid.mapper", "query.context.uid.mapper",
+    "query.profile", "query.syntax", "model.table.name", "transform.content.to.uid", "group.fields.batch.size", "date.index.time.travel", "raw.types", "non.event.key.prefixes",
+    "visibility.interpreter", "query.context.uid.mapper",
 }
 
 FUNCTIONS = {

@@ -402,3 +402,22 @@ def filtered_logic(spark: SparkSession, sf: str) -> DataFrame:
     q = lambda: on(spark, sf, "customer").matching("C_ACCTBAL > 9000").select("c_custkey")
     none = spark.createDataFrame([], "c_custkey bigint")
     return joins.composite([joins.filtered(q, none, True), joins.filtered(q, none, False)])
+
+
+@query("SELECT 'id-' || c_custkey AS c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000 AND c_nationkey < 5")
+def mapped_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers as a caller sees them, of a logic that lets nothing but some nations through."""
+    q = replace(on(spark, sf, "customer"), mappers={"PUBLIC": lambda c: F.concat(F.lit("id-"), c.cast("string"))}, forced="C_NATIONKEY < 5")
+    return q.run("C_ACCTBAL > 9000", options=with_options(return_uid_mapper="PUBLIC")).select("c_custkey", "c_acctbal")
+
+
+@query(f"SELECT {EVENT} FROM city_event WHERE load_ts BETWEEN TIMESTAMP '2015-01-10' AND TIMESTAMP '2015-01-12'")
+def time_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return shaping.within_time(table(spark, sf, "city_event"), "load_ts", "2015-01-10 00:00:00", "2015-01-12 00:00:00").select(*KEYS["city_event"])
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS value FROM customer")
+def read_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "sequence")
+    table(spark, sf, "customer").select(F.col("c_custkey").cast("string"), "c_name").rdd.map(tuple).saveAsSequenceFile(path)
+    return ingest.read_sequence(spark, path)

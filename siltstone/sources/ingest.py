@@ -99,6 +99,12 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
+def read_sequence(spark: SparkSession, path: str) -> DataFrame:
+    """key, value of Hadoop sequence files, as text; Spark has no other reader for them than one that makes rows one by one."""
+    rows = spark.sparkContext.sequenceFile(path).map(lambda kv: (str(kv[0]), None if kv[1] is None else str(kv[1])))
+    return spark.createDataFrame(rows, "key string, value string")
+
+
 def read_lines(spark: SparkSession, path: str, most: int) -> DataFrame:
     """Lines of at most ``most`` characters; longer ones are cut and marked."""
     return spark.read.text(path).select(F.substring("value", 1, most).alias("line"), (F.length("value") > most).alias("cut"))

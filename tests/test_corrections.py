@@ -139,3 +139,23 @@ def test_the_core_goes_without_the_subpackage(monkeypatch):
     monkeypatch.setitem(sys.modules, "siltstone.llm.registry", None)
     monkeypatch.delattr(sys.modules.get("siltstone.llm", object()), "registry", raising=False)
     assert "p1_found" in e.queries() and not any(n.startswith("p3_") for n in e.queries())
+
+
+def test_extension_points(spark, monkeypatch):
+    from siltstone.lang import lucene
+    from siltstone.lang.ast import Call, Ident, Lit
+
+    df = spark.createDataFrame([("1", "a", 3), ("2", "a", 9), ("3", "b", 5)], "id string, k string, n int")
+    q = EventQuery(df, Catalog.of(df), ["id"], mappers={"M": lambda c: F.concat(F.lit("x"), c)}, forced="N > 3")
+    assert {r["id"] for r in q.run("K == 'a'", options=Options(other={"return.uid.mapper": "M"})).collect()} == {"x2"}
+    with pytest.raises(QueryError):
+        q.run("K == 'a'", options=Options(other={"return.uid.mapper": "none"}))
+    monkeypatch.setitem(aggregate.OWN, "spread", lambda c: F.max(c) - F.min(c))
+    assert {(r["K"], r["N_SPREAD"]) for r in aggregate.group(df, Catalog.of(df), ["K"], {"spread": ["N"]}).collect()} == {("a", 6), ("b", 0)}
+    monkeypatch.setattr(lucene, "F_NAMES", dict(lucene.F_NAMES))
+
+    @lucene.function("STARTS")
+    def starts(args):
+        return Call("filter", "includeRegex", (Ident(args[0]), Lit(args[1] + ".*")))
+
+    assert str(lucene.to_tree("#STARTS(K, a)")) == "filter:includeRegex(K, 'a.*')"
