@@ -192,7 +192,7 @@ def evidence(text: str) -> set[str]:
     at = [m.start() for m in NON_ASCII.finditer(text)]
     t = f" {text} "
     foreign = {m.start() + k for m in FOREIGN.finditer(text) for k in range(len(m[0]))}
-    if sum(i in foreign or _odd(t[i], t[i + 1], t[i + 2]) for i in at) * 4 >= len(at) or SWAPPED.search(text):
+    if sum(i in foreign or may_be_odd(t[i + 1]) and _odd(t[i], t[i + 1], t[i + 2]) for i in at) * 4 >= len(at) or SWAPPED.search(text):
         return set()
     explained: dict[str, dict[int, str]] = {}
     for end, (size, readings) in _hits(_finder(), text):
@@ -230,6 +230,23 @@ def _odd(a: str, c: str, b: str) -> bool:
     return c not in JOINERS and a.isalpha() and b.isalpha() or c in STRAY and (a.isalpha() or b.isalpha())
 
 
+class _MayBeOdd(dict):
+    """Whether a character is odd in some neighbourhood; small letters and most signs of words are in none."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = out = c.isupper() or c in STRAY or not (c.isalnum() or c in JOINERS)
+        return out
+
+
+may_be_odd = _MayBeOdd().__getitem__
+
+
+def _holds_odd(text: str) -> bool:
+    """Whether a spelling of a text is out of the question somewhere."""
+    t = f" {text} "
+    return any(c in TOLD and _odd(_near(t[i]), c, _near(t[i + 2])) for i, c in ((m.start(), m[0]) for m in NON_ASCII.finditer(text)) if may_be_odd(c))
+
+
 def _mixed(word: str) -> bool:
     """Whether Cyrillic and Latin letters meet, or European ones meet those of a script further on."""
     if not word or max(word) < "\u0400":
@@ -295,6 +312,7 @@ class Mender:
     def __init__(self, counts: dict[str, int], kinds: dict[str, int] | None = None, patterns: dict[str, int] | None = None):
         self.usage = Usage(counts, kinds)
         self.known = {k[1] for k in self.usage.kinds}
+        self.gains: dict[tuple[str, str, str, str], tuple[float, bool]] = {}
         self.readings = known_sequences()
         self.found = ahocorasick.Automaton()
         patterns = neighbourhoods(counts, kinds) if patterns is None else patterns
@@ -379,6 +397,15 @@ class Mender:
 
     def _gain_of_word(self, left: str, word: str, mended: str, right: str) -> tuple[float, bool]:
         """How much more usual a word becomes, and whether its spelling can't be an author's."""
+        key = (left, word, mended, right)
+        known = self.gains.get(key)
+        if known is None:
+            if len(self.gains) > 200_000:
+                self.gains.clear()
+            known = self.gains[key] = self._work_out(*key)
+        return known
+
+    def _work_out(self, left: str, word: str, mended: str, right: str) -> tuple[float, bool]:
         was, now = f"{left}{word}{right}", f"{left}{mended}{right}"
         gain, odd = 0.0, False
         for i, c in enumerate(word):
@@ -441,7 +468,7 @@ class Mender:
             else:
                 # Characters that no text has give way to what a pair of one-byte encodings explains.
                 # A spelling that can't be an author's is looked into even where the corpus is too small to tell.
-                if any(_odd(*t) for t in triples(now)):
+                if _holds_odd(now):
                     pairs = (1 << len(PAIRS)) - 1
                 if whole:
                     spans = whole
