@@ -44,7 +44,8 @@ def p8_checked(spark: SparkSession, sf: str) -> DataFrame:
     documents = by_doc.agg(F.count("*").alias("n_documents"), F.count_if(F.col("n_tokens") == 0).alias("n_without_tokens"), F.count_if(torn).alias("n_torn"), F.count_if(F.col("n") != need).alias("n_split_without_need"))
     used = pieces.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))
     full = used.agg(F.count_if(F.col("used") > packing.CAPACITY).alias("n_over"), (F.count("*") * packing.CAPACITY <= F.coalesce(F.sum("used"), F.lit(0)) * 1.01 + 2 * packing.CAPACITY).alias("tight"))
-    return documents.withColumn("k", F.lit(1)).join(full.withColumn("k", F.lit(1)), "k").drop("k")
+    both = documents.unionByName(full, allowMissingColumns=True)  # a row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
